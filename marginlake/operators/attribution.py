@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginlake.functions.attribution import platform_claims, resolve_attribution
-from marginlake.functions.money import ratio_or_zero, zero_if_null
+from marginlake.functions.money import money_sum, ratio_or_zero, zero_if_null
 
 
 def attribute_orders(
@@ -63,11 +63,11 @@ def claimed_vs_resolved(
         .groupBy(*by, "e.channel")
         .agg(
             F.sum("e.won").alias("resolved_orders"),
-            F.sum("e.claimed").alias("claimed_revenue"),
-            F.sum("e.earned").alias("resolved_revenue"),
+            money_sum("e.claimed").alias("claimed_revenue"),
+            money_sum("e.earned").alias("resolved_revenue"),
         )
     )
-    spent = ads.groupBy(*by, "channel").agg(F.sum("ad_spend").alias("spend"))
+    spent = ads.groupBy(*by, "channel").agg(money_sum("ad_spend").alias("spend"))
     spend = zero_if_null(F.col("spend"))
     return sums.join(spent, [*by, "channel"], "left").select(
         *by,

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginlake.functions.calendar import month_index, month_of, months_between, recency_days
-from marginlake.functions.money import percent_or_null, ratio_or_null
+from marginlake.functions.money import money_sum, percent_or_null, ratio_or_null
 from marginlake.functions.segments import loyalty_tier, rfm_segment, segment_label, segment_rank
 from marginlake.functions.text import month_label
 from marginlake.operators.staging import COMPLETED, completed_only, orders_counted
@@ -34,8 +34,8 @@ def customer_ltv(
             F.min("order_date").alias("first_order_date"),
             F.max("order_date").alias("last_order_date"),
             orders_counted(unique_ids).alias("total_lifetime_orders"),
-            F.sum("gross_revenue").alias("lifetime_revenue"),
-            F.sum("net_margin").alias("lifetime_net_margin"),
+            money_sum("gross_revenue").alias("lifetime_revenue"),
+            money_sum("net_margin").alias("lifetime_net_margin"),
         )
     )
     return sums.withColumn("customer_segment", loyalty_tier(F.col("total_lifetime_orders")))
@@ -44,7 +44,7 @@ def customer_ltv(
 def tier_revenue_share(ltv: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     """Customers, revenue and revenue share per loyalty tier (at most three rows)."""
     sums = ltv.groupBy(*by, "customer_segment").agg(
-        F.count(F.lit(1)).alias("customers"), F.sum("lifetime_revenue").alias("revenue")
+        F.count(F.lit(1)).alias("customers"), money_sum("lifetime_revenue").alias("revenue")
     )
     total = F.sum("revenue").over(Window.partitionBy(*by))
     return sums.withColumn("revenue_share_pct", percent_or_null(F.col("revenue"), total))
@@ -64,7 +64,7 @@ def cohort_retention(
         completed_only(orders, completed)
         .where(F.col("customer_id").isNotNull())
         .groupBy(*customer, month_of(F.col("order_date")).alias("month"))
-        .agg(F.sum("gross_revenue").alias("revenue"), F.sum("net_margin").alias("profit"))
+        .agg(money_sum("gross_revenue").alias("revenue"), money_sum("net_margin").alias("profit"))
         .withColumn("cohort_month", F.min("month").over(Window.partitionBy(*customer)))
     )
     cohorts = (
@@ -72,8 +72,8 @@ def cohort_retention(
         .groupBy(*by, "cohort_month", "month_number")
         .agg(
             F.count(F.lit(1)).alias("active_customers"),
-            F.sum("revenue").alias("cohort_revenue"),
-            F.sum("profit").alias("cohort_net_profit"),
+            money_sum("revenue").alias("cohort_revenue"),
+            money_sum("profit").alias("cohort_net_profit"),
         )
     )
     start = Window.partitionBy(*by, "cohort_month").orderBy("month_number")
@@ -113,7 +113,7 @@ def cycle_churn(
         .groupBy(*by, F.col("nth").alias("subscription_cycle"))
         .agg(
             F.count("customer_id").alias("active_subscribers"),
-            F.sum("gross_revenue").alias("cycle_gross_revenue"),
+            money_sum("gross_revenue").alias("cycle_gross_revenue"),
             F.count("gross_revenue").alias("_priced"),
         )
     )
@@ -175,8 +175,9 @@ def customer_rollup(
             F.min("order_date").alias("first_order_at"),
             F.max("order_date").alias("last_order_at"),
             F.count_if(paid).alias("order_count"),
-            F.round(
-                F.coalesce(F.sum(F.when(paid, F.col("gross_revenue"))), F.lit(0)), 2
+            F.coalesce(
+                money_sum(F.when(paid, F.col("gross_revenue"))),
+                F.lit(0).cast("decimal(20,2)"),
             ).alias("total_spend"),
         )
     )
@@ -199,7 +200,7 @@ def segment_summary(segmented: DataFrame, *, by: Sequence[str] = ()) -> DataFram
     """Customers, spend and share per segment; ``position`` is the display order."""
     sums = segmented.groupBy(*by, "segment").agg(
         F.count(F.lit(1)).alias("customers"),
-        F.sum("total_spend").alias("total_spend"),
+        money_sum("total_spend").alias("total_spend"),
         F.sum("order_count").alias("_orders"),
     )
     n = F.col("customers").cast("double")
@@ -221,7 +222,7 @@ def customer_kpis(segmented: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     """Customer count, average lifetime value and VIP count."""
     sums = segmented.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_customers"),
-        F.sum("total_spend").alias("_spend"),
+        money_sum("total_spend").alias("_spend"),
         F.count_if(F.col("segment") == "vip").alias("vip_customers"),
     )
     n = F.col("total_customers").cast("double")

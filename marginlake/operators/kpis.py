@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginlake.functions.calendar import days_before, in_window, moment, month_of
-from marginlake.functions.money import float_ratio_or_zero, percent_change, zero_if_null
+from marginlake.functions.money import float_ratio_or_zero, money_sum, percent_change, zero_if_null
 from marginlake.functions.text import day_label
 
 PAID = "paid"
@@ -24,7 +24,7 @@ OPEX_RATE = "0.1"
 
 
 def _sum_if(condition: Column, value: Column) -> Column:
-    return zero_if_null(F.sum(F.when(condition, value)))
+    return zero_if_null(money_sum(F.when(condition, value)))
 
 
 def _pair(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -51,10 +51,10 @@ def overview(
     paid = orders.where(F.col("status") == completed)
     placed, day = F.col("order_date"), F.col("date").cast("timestamp")
     sold = paid.groupBy(*by).agg(
-        zero_if_null(F.sum("gross_revenue")).alias("revenue"),
+        zero_if_null(money_sum("gross_revenue")).alias("revenue"),
         F.count(F.lit(1)).alias("orders"),
-        zero_if_null(F.sum("cogs")).alias("cogs"),
-        zero_if_null(F.sum("shipping_cost")).alias("shipping"),
+        zero_if_null(money_sum("cogs")).alias("cogs"),
+        zero_if_null(money_sum("shipping_cost")).alias("shipping"),
         *[
             _sum_if(in_window(placed, *w), F.col("gross_revenue")).alias(f"{k}_revenue")
             for k, w in windows.items()
@@ -62,7 +62,7 @@ def overview(
         *[F.count_if(in_window(placed, *w)).alias(f"{k}_orders") for k, w in windows.items()],
     )
     spent = ads.groupBy(*by).agg(
-        zero_if_null(F.sum("spend")).alias("spend"),
+        zero_if_null(money_sum("spend")).alias("spend"),
         *[
             _sum_if(in_window(day, *w), F.col("spend")).alias(f"{k}_spend")
             for k, w in windows.items()
@@ -159,12 +159,12 @@ def daily_trend(
         orders.where(F.col("status") == completed)
         .where(in_window(F.col("order_date"), start.cast("timestamp"), end.cast("timestamp")))
         .groupBy(*by, F.to_date("order_date").alias("date"))
-        .agg(F.sum("gross_revenue").alias("revenue"), F.count(F.lit(1)).alias("orders"))
+        .agg(money_sum("gross_revenue").alias("revenue"), F.count(F.lit(1)).alias("orders"))
     )
     spent = (
         ads.where(in_window(F.col("date").cast("timestamp"), start.cast("timestamp"), end.cast("timestamp")))
         .groupBy(*by, F.to_date("date").alias("date"))
-        .agg(F.sum("spend").alias("ad_spend"))
+        .agg(money_sum("spend").alias("ad_spend"))
     )
     if by:
         owners = orders.select(*by).union(ads.select(*by)).distinct()
@@ -203,12 +203,15 @@ def channel_breakdown(
     sold = (
         orders.where((F.col("status") == completed) & F.col("acquisition_channel").isin(listed))
         .groupBy(*by, F.col("acquisition_channel").alias("channel"))
-        .agg(F.sum("gross_revenue").alias("revenue"), F.count(F.lit(1)).alias("orders"))
+        .agg(money_sum("gross_revenue").alias("revenue"), F.count(F.lit(1)).alias("orders"))
     )
     spent = (
         ads.where(F.col("channel").isin(listed))
         .groupBy(*keys)
-        .agg(*[F.sum(c).alias(c) for c in ("spend", "impressions", "clicks", "conversions")])
+        .agg(
+            money_sum("spend").alias("spend"),
+            *[F.sum(c).alias(c) for c in ("impressions", "clicks", "conversions")],
+        )
     )
     if by:
         owners = orders.select(*by).union(ads.select(*by)).distinct()

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginlake.functions.money import (
+    money_sum,
     percent_or_null,
     percent_or_zero,
     ratio_or_null,
@@ -47,8 +48,8 @@ def daily_unit_economics(
     if extended:
         order_extras = {
             "total_customers": F.count_distinct("customer_id"),
-            "total_cogs": F.sum("cogs"),
-            "total_shipping": F.sum("shipping_cost"),
+            "total_cogs": money_sum("cogs"),
+            "total_shipping": money_sum("shipping_cost"),
         }
         ad_extras = {"total_clicks": F.sum("clicks"), "total_impressions": F.sum("impressions")}
 
@@ -58,15 +59,15 @@ def daily_unit_economics(
         .groupBy(*keys)
         .agg(
             orders_counted(unique_ids).alias("n"),
-            F.sum("gross_revenue").alias("revenue"),
-            F.sum("net_margin").alias("margin"),
+            money_sum("gross_revenue").alias("revenue"),
+            money_sum("net_margin").alias("margin"),
             *[c.alias(name) for name, c in order_extras.items()],
         )
     )
     spent = (
         ads.withColumnRenamed("ad_date", "date")
         .groupBy(*keys)
-        .agg(F.sum("ad_spend").alias("spend"), *[c.alias(name) for name, c in ad_extras.items()])
+        .agg(money_sum("ad_spend").alias("spend"), *[c.alias(name) for name, c in ad_extras.items()])
     )
     n, revenue, spend = (zero_if_null(F.col(c)) for c in ("n", "revenue", "spend"))
     return sold.join(spent, keys, "full_outer").select(
@@ -99,16 +100,16 @@ def channel_pnl(
         .groupBy(*keys)
         .agg(
             orders_counted(unique_ids).alias("n"),
-            F.sum("gross_revenue").alias("revenue"),
-            F.sum("cogs").alias("goods"),
-            F.sum("shipping_cost").alias("shipping"),
-            F.sum(F.col("gross_revenue") - F.col("cogs") - F.col("shipping_cost")).alias("profit"),
+            money_sum("gross_revenue").alias("revenue"),
+            money_sum("cogs").alias("goods"),
+            money_sum("shipping_cost").alias("shipping"),
+            money_sum(F.col("gross_revenue") - F.col("cogs") - F.col("shipping_cost")).alias("profit"),
         )
     )
     spent = (
         ads.withColumnRenamed("ad_date", "date")
         .groupBy(*keys)
-        .agg(F.sum("ad_spend").alias("spend"))
+        .agg(money_sum("ad_spend").alias("spend"))
     )
     n, revenue, goods, shipping, profit, spend = (
         zero_if_null(F.col(c)) for c in ("n", "revenue", "goods", "shipping", "profit", "spend")
@@ -145,10 +146,10 @@ def channel_profitability(
         orders_counted(unique_ids).alias("total_orders_placed"),
         F.count_if(kept).alias("completed_orders"),
         F.count_if(F.col("status") == refunded).alias("refunded_orders"),
-        F.sum("gross_revenue").alias("gross_revenue_volume"),
-        F.sum("cogs").alias("total_cogs"),
-        F.sum("shipping_cost").alias("total_shipping"),
-        F.sum(contribution).alias("total_net_profit"),
+        money_sum("gross_revenue").alias("gross_revenue_volume"),
+        money_sum("cogs").alias("total_cogs"),
+        money_sum("shipping_cost").alias("total_shipping"),
+        money_sum(contribution).alias("total_net_profit"),
     )
     return sums.select(
         *by,
@@ -187,8 +188,8 @@ def attribution_share(
         .groupBy(*by, "acquisition_channel")
         .agg(
             orders_counted(unique_ids).alias("attributed_orders"),
-            F.sum("gross_revenue").alias("attributed_revenue"),
-            F.sum("net_margin").alias("attributed_gross_margin"),
+            money_sum("gross_revenue").alias("attributed_revenue"),
+            money_sum("net_margin").alias("attributed_gross_margin"),
             F.count("gross_revenue").alias("_priced"),
         )
     )
@@ -218,7 +219,7 @@ def sales_velocity(
     if unique_ids:
         # Days first: the second grouping then counts a few rows per channel.
         per_day = done.groupBy(*keys, "order_date").agg(
-            F.count("order_id").alias("n"), F.sum("gross_revenue").alias("revenue")
+            F.count("order_id").alias("n"), money_sum("gross_revenue").alias("revenue")
         )
         sums = per_day.groupBy(*keys).agg(
             F.sum("n").alias("total_units_sold"),
@@ -229,7 +230,7 @@ def sales_velocity(
         sums = done.groupBy(*keys).agg(
             F.count_distinct("order_id").alias("total_units_sold"),
             F.count_distinct("order_date").alias("days"),
-            F.sum("gross_revenue").alias("total_channel_revenue"),
+            money_sum("gross_revenue").alias("total_channel_revenue"),
         )
     velocity = ratio_or_null(F.col("total_units_sold"), F.col("days"))
     return sums.withColumn("daily_burn_velocity", velocity).select(

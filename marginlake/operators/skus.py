@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginlake.functions.money import percent_or_null, ratio_or_null, zero_if_null
+from marginlake.functions.money import money_sum, percent_or_null, ratio_or_null, zero_if_null
 from marginlake.operators.detect import z_score
 
 
@@ -28,19 +28,21 @@ def sku_margins(
     order = [*by, "order_id"]
     per_line = lines.groupBy(*order, "sku").agg(
         F.sum("units").alias("units"),
-        F.sum("line_revenue").alias("revenue"),
-        F.sum("line_cogs").alias("goods"),
+        money_sum("line_revenue").alias("revenue"),
+        money_sum("line_cogs").alias("goods"),
         F.sum(F.when(F.col("returned"), F.col("units")).otherwise(F.lit(0))).alias("back"),
-        F.sum(F.when(F.col("returned"), F.col("line_revenue"))).alias("refund"),
+        money_sum(F.when(F.col("returned"), F.col("line_revenue"))).alias("refund"),
     )
     totals = (
         lines.groupBy(*order)
-        .agg(F.sum("line_revenue").alias("order_revenue"))
+        .agg(money_sum("line_revenue").alias("order_revenue"))
         .join(orders.select(*order, "shipping_cost"), order)
     )
+    # These widths leave the quotient 15 decimals, so rounding to six is exact.
     share = F.round(
-        (F.col("shipping_cost").cast("decimal(10,2)") * F.col("revenue").cast("decimal(18,2)"))
-        / F.nullif(F.col("order_revenue").cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)")),
+        F.col("shipping_cost").cast("decimal(10,2)")
+        * F.col("revenue").cast("decimal(14,2)")
+        / F.nullif(F.col("order_revenue"), F.lit(0)).cast("decimal(14,2)"),
         6,
     )
     sums = (
@@ -50,9 +52,9 @@ def sku_margins(
             F.count(F.lit(1)).alias("orders"),
             F.sum("units").alias("units_sold"),
             F.sum("back").alias("units_returned"),
-            F.sum("revenue").alias("gross_revenue"),
-            zero_if_null(F.sum("refund")).alias("refunded_revenue"),
-            F.sum("goods").alias("total_cogs"),
+            money_sum("revenue").alias("gross_revenue"),
+            zero_if_null(money_sum("refund")).alias("refunded_revenue"),
+            money_sum("goods").alias("total_cogs"),
             F.round(zero_if_null(F.sum(share)), 2).alias("allocated_shipping"),
         )
     )

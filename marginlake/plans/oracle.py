@@ -691,7 +691,8 @@ def _oracle() -> dict[str, str]:
       tot as (select order_id, sum(revenue) as total from li group by 1),
       s as (
         select sku, count(*) as n, sum(units) as units, sum(back) as back, sum(rev) as rev, coalesce(sum(refund), 0) as refund, sum(goods) as goods,
-          round(coalesce(sum({ratio('5 * rev', 'total', 6)}), 0), 2) as ship
+          round(cast(sum((cast(10000000 as hugeint) * cast(rev * 100 as hugeint) + cast(total * 100 as hugeint))
+            // (2 * cast(total * 100 as hugeint))) as decimal(28,0)) * cast(0.000001 as decimal(7,6)), 2) as ship
         from pl join tot on pl.order_id = tot.order_id group by 1),
       p as (select *, rev - refund - goods - ship as profit from s)
       select sku, {big('n', 'orders')}, {big('units', 'units_sold')}, {big('back', 'units_returned')}, {dbl('rev', 'gross_revenue')}, {dbl('refund', 'refunded_revenue')},

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marginlake import schemas
 from marginlake.functions.identity import pseudonym
-from marginlake.functions.money import dec
+from marginlake.functions.money import dec, default_cogs
 
 # Fixed values used where a feed leaves a field out.
 STOREFRONT_CHANNEL = "Shopify Web"
@@ -69,7 +69,7 @@ def storefront_orders(pages: DataFrame) -> DataFrame:
         F.concat(F.lit("CUST_"), F.coalesce("o.customer.id", F.lit(GUEST))).alias("customer_id"),
         F.col("o.created_at").alias("order_date"),
         price.alias("gross_revenue"),
-        F.round(price * dec("0.35", 3, 2), 2).cast("decimal(12,2)").alias("cogs"),
+        default_cogs(price).alias("cogs"),
         _amount(F.col("o.total_shipping_price_set.shop_money.amount"), DEFAULT_SHIPPING).alias(
             "shipping_cost"
         ),
@@ -110,7 +110,7 @@ def order_events(events: DataFrame, *, salt: str, arrived: str | None = None) ->
         pseudonym(F.coalesce("customer_id", F.lit(GUEST)), salt).alias("customer_id"),
         at.alias("order_date"),
         revenue.alias("gross_revenue"),
-        F.round(revenue * dec("0.35", 3, 2), 2).cast("decimal(12,2)").alias("cogs"),
+        default_cogs(revenue).alias("cogs"),
         dec(DEFAULT_SHIPPING, 10, 2).alias("shipping_cost"),
         F.lit(STOREFRONT_CHANNEL).alias("acquisition_channel"),
         F.lit("Completed").alias("status"),

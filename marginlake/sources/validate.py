@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginlake.functions.money import dec
+from marginlake.functions.money import default_cogs
 
 
 @dataclass(frozen=True)
@@ -49,67 +51,63 @@ def _text(df: DataFrame, f: Field) -> Column:
     return F.when(F.lower(text).isin("", "nan"), F.lit(None)).otherwise(text)
 
 
-def _problem(f: Field, text: Column) -> Column:
-    """Why the cell cannot be stored, or NULL."""
+def _is_bad(f: Field, text: Column) -> Column:
+    """Whether the cell cannot be stored; one cast per cell, no message."""
+    bad = F.lit(False)
+    if f.type != "string":
+        bad = text.isNotNull() & text.try_cast(f.type).isNull()
+    elif f.max_length is not None:
+        bad = F.coalesce(F.length(text) > f.max_length, F.lit(False))
+    if f.required:
+        bad = text.isNull() | (text == "") | bad
+    return bad
+
+
+def _reason(f: Field, text: Column) -> Column:
+    """Why a bad cell cannot be stored, NULL for a good one."""
     if f.type == "string":
-        if f.max_length is None:
-            problem = F.lit(None).cast("string")
-        else:
-            problem = F.when(
-                F.length(text) > f.max_length, F.lit(f"{f.name}: longer than {f.max_length}")
-            )
+        why = F.lit(f"{f.name}: longer than {f.max_length}")
     elif f.type == "timestamp":
-        problem = F.when(
-            text.isNotNull() & text.try_cast(f.type).isNull(),
-            F.concat(F.lit(f"{f.name}: not a timestamp: "), text),
-        )
+        why = F.concat(F.lit(f"{f.name}: not a timestamp: "), text)
     else:
         number = text.try_cast("double")
-        problem = (
-            F.when(
-                text.isNotNull() & (number.isNull() | F.isnan(number)),
-                F.concat(F.lit(f"{f.name}: not a number: "), text),
-            )
-            .when(
-                text.isNotNull() & text.try_cast(f.type).isNull(),
-                F.concat(F.lit(f"{f.name}: out of range: "), text),
-            )
-        )
-    if f.required:
-        problem = F.when(
-            text.isNull() | (text == ""), F.lit(f"{f.name}: missing")
-        ).otherwise(problem)
-    return problem
+        what = F.when(number.isNull() | F.isnan(number), "not a number").otherwise("out of range")
+        why = F.concat(F.lit(f"{f.name}: "), what, F.lit(": "), text)
+    missing = F.when(text.isNull() | (text == ""), F.lit(f"{f.name}: missing"))
+    return F.when(_is_bad(f, text), missing.otherwise(why))
 
 
 def check_orders(raw: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Typed order columns plus ``_reasons`` (array) and ``_payload`` (the raw row).
+    """Typed order columns plus ``_ok``, ``_reasons`` (array) and ``_payload`` (the raw row).
 
-    Pure column expressions: one narrow projection, no shuffle, no Python.
+    Pure column expressions: one narrow projection, no shuffle, no Python. Reasons
+    and payload are only computed where the dead letters are read.
     """
     cells = {f.name: _text(raw, f) for f in ORDER_FIELDS}
-    reasons = F.array_compact(F.array(*[_problem(f, cells[f.name]) for f in ORDER_FIELDS]))
+    bad = reduce(or_, [_is_bad(f, cells[f.name]) for f in ORDER_FIELDS])
+    reasons = F.array_compact(F.array(*[_reason(f, cells[f.name]) for f in ORDER_FIELDS]))
     revenue = cells["gross_revenue"].try_cast("decimal(12,2)")
     typed = []
     for f in ORDER_FIELDS:
         value = cells[f.name] if f.type == "string" else cells[f.name].try_cast(f.type)
         if f.name == "cogs":
-            fallback = F.round(revenue * dec("0.35", 3, 2), 2).cast(f.type)
-            value = F.coalesce(value, fallback)
+            value = F.coalesce(value, default_cogs(revenue))
         elif f.default is not None:
             value = F.coalesce(value, F.lit(f.default).cast(f.type))
         typed.append(value.alias(f.name))
     payload = F.to_json(F.struct(*[F.col(c) for c in raw.columns if c not in keep]))
-    return raw.select(*typed, *keep, reasons.alias("_reasons"), payload.alias("_payload"))
+    return raw.select(
+        *typed, *keep, (~bad).alias("_ok"), reasons.alias("_reasons"), payload.alias("_payload")
+    )
 
 
 def good_orders(checked: DataFrame) -> DataFrame:
-    return checked.where(F.size("_reasons") == 0).drop("_reasons", "_payload")
+    return checked.where("_ok").drop("_ok", "_reasons", "_payload")
 
 
 def quarantined(checked: DataFrame, source: str) -> DataFrame:
     """Dead-letter rows: source_system, raw_payload, error_reason, failed_at."""
-    return checked.where(F.size("_reasons") > 0).select(
+    return checked.where("not _ok").select(
         F.lit(source[:50]).alias("source_system"),
         F.col("_payload").alias("raw_payload"),
         F.array_join("_reasons", "; ").alias("error_reason"),
@@ -126,6 +124,6 @@ def split_orders(raw: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
 def ingest_counters(checked: DataFrame) -> DataFrame:
     """One row: successful and quarantined row counts (duplicates count, empty gives 0)."""
     return checked.agg(
-        F.count_if(F.size("_reasons") == 0).alias("successful"),
-        F.count_if(F.size("_reasons") > 0).alias("quarantined"),
+        F.count_if(F.col("_ok")).alias("successful"),
+        F.count_if(~F.col("_ok")).alias("quarantined"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginlake.functions.money import dec
@@ -51,36 +51,48 @@ def current_plans(events: DataFrame) -> DataFrame:
     """The plan each user ends up on: the latest of checkouts and cancellations.
 
     A cancellation names only the billing customer; it counts for the user who
-    checked out under that customer before it.
+    first checked out under that customer, if it came later. One pass: events fold
+    to one row per (customer, user) before anything is grouped by customer.
     """
-    bought = _checkouts(events).select(
-        "user_id",
-        "customer",
-        F.struct("received_at", "seq").alias("at"),
-        F.coalesce("metadata.plan", F.lit(DEFAULT_PLAN)).alias("plan"),
-    )
-    owners = (
-        bought.where(F.col("customer").isNotNull())
-        .groupBy("customer")
-        .agg(F.min_by("user_id", "at").alias("user_id"), F.min("at").alias("since"))
+    bought = F.col("type") == CHECKOUT
+    user = F.coalesce("metadata.userId", "client_reference_id").try_cast("long")
+    at = F.struct("received_at", "seq")
+    plan = F.coalesce("metadata.plan", F.lit(DEFAULT_PLAN))
+    folded = (
+        events.where(F.col("type").isin(CHECKOUT, CANCELLED))
+        .select("customer", F.when(bought, user).alias("user_id"), bought.alias("bought"), at.alias("at"), plan.alias("plan"))
+        .where(~F.col("bought") | (F.col("user_id") > 0))
+        .groupBy("customer", "user_id")
+        .agg(
+            F.max(F.when(F.col("bought"), F.struct("at", "plan"))).alias("latest"),
+            F.min(F.when(F.col("bought"), F.col("at"))).alias("first_at"),
+            F.max(F.when(~F.col("bought"), F.col("at"))).alias("cancelled_at"),
+        )
     )
-    cancelled = (
-        events.where(F.col("type") == CANCELLED)
-        .select("customer", F.struct("received_at", "seq").alias("at"))
-        .groupBy("customer")
-        .agg(F.max("at").alias("at"))
+    # Checkouts without a customer cannot be cancelled: they stay apart by user.
+    account = F.coalesce("customer", F.concat(F.lit("user:"), F.col("user_id").cast("string")))
+    within = Window.partitionBy("account")
+    owner = F.min(F.when(F.col("user_id").isNotNull(), F.struct("first_at", "user_id"))).over(within)
+    ended = F.max("cancelled_at").over(within)
+    accounts = (
+        folded.withColumn("account", account)
+        .withColumn("owner", owner)
+        .withColumn("ended", ended)
+        .where(F.col("user_id").isNotNull())
     )
-    ended = (
-        cancelled.join(owners, "customer")
-        .where(F.col("at") > F.col("since"))
-        .select("user_id", "at", F.lit(CANCELLED_PLAN).alias("plan"))
+    is_ended = (F.col("owner.user_id") == F.col("user_id")) & (F.col("ended") > F.col("first_at"))
+    cancelled = F.when(
+        is_ended, F.struct(F.col("ended").alias("at"), F.lit(CANCELLED_PLAN).alias("plan"))
     )
     return (
-        bought.select("user_id", "at", "plan")
-        .unionByName(ended)
+        accounts.select("user_id", F.greatest("latest", cancelled).alias("state"))
         .groupBy("user_id")
-        .agg(F.max_by("plan", "at").alias("plan"), F.max("at").alias("at"))
-        .select("user_id", "plan", F.col("at.received_at").alias("changed_at"))
+        .agg(F.max("state").alias("state"))
+        .select(
+            "user_id",
+            F.col("state.plan").alias("plan"),
+            F.col("state.at.received_at").alias("changed_at"),
+        )
     )
 
 

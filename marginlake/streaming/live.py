@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginlake.functions.money import ratio_or_zero
+from marginlake.functions.money import money_sum, ratio_or_zero
 from marginlake.operators.staging import COMPLETED
 
 
@@ -52,7 +52,10 @@ def daily_flows(
     return (
         sold.unionByName(spent)
         .groupBy(F.window("at", "1 day").alias("day"))
-        .agg(*[F.sum(c).alias(c) for c in ("n", "revenue", "margin", "spend")])
+        .agg(
+            F.sum("n").alias("n"),
+            *[money_sum(c).alias(c) for c in ("revenue", "margin", "spend")],
+        )
         .select(F.to_date("day.start").alias("date"), "n", "revenue", "margin", "spend")
     )
 
@@ -109,15 +112,15 @@ def corrected_days(
         .groupBy("date")
         .agg(
             F.count_distinct("order_id").alias("n"),
-            F.sum("gross_revenue").alias("revenue"),
-            F.sum(margin).alias("margin"),
+            money_sum("gross_revenue").alias("revenue"),
+            money_sum(margin).alias("margin"),
         )
     )
     spent = (
         ads.withColumn("date", F.to_date("date"))
         .join(days, "date", "left_semi")
         .groupBy("date")
-        .agg(F.sum("spend").alias("spend"))
+        .agg(money_sum("spend").alias("spend"))
     )
     filled = days.join(sold, "date", "left").join(spent, "date", "left")
     return economics_of(filled.na.fill(0, ["n", "revenue", "margin", "spend"]))
