@@ -52,15 +52,19 @@ def _text(df: DataFrame, f: Field) -> Column:
 
 
 def _is_bad(f: Field, text: Column) -> Column:
-    """Whether the cell cannot be stored; one cast per cell, no message."""
-    bad = F.lit(False)
-    if f.type != "string":
-        bad = text.isNotNull() & text.try_cast(f.type).isNull()
-    elif f.max_length is not None:
-        bad = F.coalesce(F.length(text) > f.max_length, F.lit(False))
-    if f.required:
-        bad = text.isNull() | (text == "") | bad
-    return bad
+    """Whether the cell cannot be stored: one test per cell, no message.
+
+    Kept small on purpose: the tests of all cells form one filter, which has to
+    stay within what the JVM compiles as a single method.
+    """
+    if f.type == "string":
+        if f.required:
+            return ~F.coalesce(F.length(text).between(1, f.max_length), F.lit(False))
+        if f.max_length is None:
+            return F.lit(False)
+        return F.coalesce(F.length(text) > f.max_length, F.lit(False))
+    unreadable = text.try_cast(f.type).isNull()
+    return unreadable if f.required else text.isNotNull() & unreadable
 
 
 def _reason(f: Field, text: Column) -> Column:
