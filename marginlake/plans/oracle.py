@@ -671,6 +671,14 @@ def _oracle() -> dict[str, str]:
       al as (select * from b union all select * from c)
       select user_id, plan from al qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1"""
 
+    q["i4_throttle_audit"] = f"""with recursive w(user_id, anchor) as (
+        select user_id, min(ts) from events group by 1
+        union all
+        select w.user_id, min(e.ts) from w join events e on e.user_id = w.user_id and e.ts > w.anchor + interval 432000 second group by 1),
+      b as (select e.user_id, max(w.anchor) as anchor from events e join w on w.user_id = e.user_id and w.anchor <= e.ts group by e.user_id, e.event_id),
+      c as (select user_id, anchor, count(*) as n from b group by 1, 2)
+      select cast(user_id as varchar) as key, {stamp('anchor', 'window_start')}, {big('n', 'events')}, {big('least(n, 10)', 'allowed')}, {big('n - least(n, 10)', 'rejected')} from c"""
+
     active = f"{_HALF_DAILY}, act as (select date, cac, roas, rev from d where rev > 0)"
     refunds = f"""rf as (select date, {pct('r', 'n')} as rate from (
       select cast(order_date as date) as date, count(case when status = 'refunded' then 1 end) as r, count(distinct order_id) as n from h group by 1) z0)"""

@@ -32,7 +32,7 @@ from marginlake.plans import warehouse
 from marginlake.schemas import INSIGHTS_PAGE, ORDER_EVENT, STOREFRONT_PAGE
 from marginlake.session import work_dir
 from marginlake.sources import files, merge, sinks, validate
-from marginlake.streaming import billing, changelog, ingest, live
+from marginlake.streaming import billing, changelog, ingest, live, throttle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -652,6 +652,18 @@ def i3_current_plans(spark, sf):
     return billing.current_plans(events).select("user_id", "plan")
 
 
+@query
+def i4_throttle_audit(spark, sf):
+    return throttle.audit(
+        b.table(spark, sf, "events"),
+        work_dir(spark, "throttle"),
+        key="user_id",
+        at="ts",
+        limit=10,
+        window=5 * 86_400,
+    )
+
+
 # -- promised analyses --------------------------------------------------------------
 
 

@@ -13,6 +13,7 @@ def spark(tmp_path_factory):
         **{
             "spark.sql.shuffle.partitions": "8",
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
+            "spark.sql.maxMetadataStringLength": "2000",  # whole pushed filters in plan text
             "spark.python.sql.dataFrameDebugging.enabled": "false",
         },
     )
