@@ -14,6 +14,7 @@ META = "Meta Ads"
 GOOGLE = "Google Ads"
 TIKTOK = "TikTok Ads"
 OWNED = "Organic, Direct & Klaviyo Email"
+CHANNELS = (AMAZON, META, GOOGLE, TIKTOK, OWNED)
 
 MARKETPLACE_TIER = ("TIER_3_MARKETPLACE", 1.0)
 CLICK_TIER = ("TIER_1_CLICK_ID", 0.95)
@@ -98,15 +99,12 @@ def resolve_attribution(
     return verdict.otherwise(_verdict(OWNED, ORGANIC_TIER))
 
 
-def platform_claims(landing_url: Column, utm_source: Column, order_tags: Column) -> Column:
-    """Every channel with any evidence for the order: what platforms would each claim."""
+def platform_claims(
+    landing_url: Column, utm_source: Column, order_tags: Column
+) -> dict[str, Column]:
+    """Channel -> whether its platform has any evidence to claim the order."""
     url, source, tags = _text(landing_url), _text(utm_source), _text(order_tags)
-    claims = [
-        F.when(
-            _mentions(tags, AMAZON_TAGS) | _mentions(source, AMAZON_SOURCES), F.lit(AMAZON)
-        )
-    ]
+    claims = {AMAZON: _mentions(tags, AMAZON_TAGS) | _mentions(source, AMAZON_SOURCES)}
     for channel, params in CLICK_PARAMS.items():
-        evidence = _has_param(url, params) | _mentions(source, UTM_SOURCES[channel])
-        claims.append(F.when(evidence, F.lit(channel)))
-    return F.array_compact(F.array(*claims))
+        claims[channel] = _has_param(url, params) | _mentions(source, UTM_SOURCES[channel])
+    return claims

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginlake.functions.attribution import platform_claims, resolve_attribution
+from marginlake.functions.attribution import CHANNELS, platform_claims, resolve_attribution
 from marginlake.functions.money import money_sum, ratio_or_zero, zero_if_null
 
 
@@ -38,34 +38,42 @@ def claimed_vs_resolved(
 ) -> DataFrame:
     """Revenue each platform would claim, revenue it earned, and both ROAS figures.
 
-    An order yields one row per claiming channel (at most four) plus its resolved
-    one, summed map-side, so the extra rows never leave the task.
+    The channels are few and fixed, so every order adds to conditional sums in one
+    row, which is turned into one row per channel after the aggregation.
     """
-    u, s, t = F.col(url), F.col(source), F.col(tags)
-    resolved = resolve_attribution(u, s, t)["channel"]
-    zero = F.lit(0).cast("decimal(12,2)")
-    revenue = F.col("gross_revenue").cast("decimal(12,2)")
-
-    def entry(channel, claimed, earned, order):
-        return F.struct(
-            channel.alias("channel"),
-            claimed.alias("claimed"),
-            earned.alias("earned"),
-            order.alias("won"),
-        )
-
-    claims = F.transform(
-        platform_claims(u, s, t), lambda c: entry(c, revenue, zero, F.lit(0))
+    inputs = (F.col(url), F.col(source), F.col(tags))
+    claims = platform_claims(*inputs)
+    no = F.lit(False)
+    flagged = orders.select(
+        *by,
+        F.col("gross_revenue").cast("decimal(12,2)").alias("revenue"),
+        resolve_attribution(*inputs)["channel"].alias("winner"),
+        *[claims.get(c, no).alias(f"claim{i}") for i, c in enumerate(CHANNELS)],
     )
-    win = F.array(entry(resolved, zero, revenue, F.lit(1)))
-    sums = (
-        orders.select(*by, F.explode(F.concat(claims, win)).alias("e"))
-        .groupBy(*by, "e.channel")
-        .agg(
-            F.sum("e.won").alias("resolved_orders"),
-            money_sum("e.claimed").alias("claimed_revenue"),
-            money_sum("e.earned").alias("resolved_revenue"),
+    revenue = F.col("revenue")
+    totals, rows = [], []
+    for i, c in enumerate(CHANNELS):
+        won, claimed = F.col("winner") == c, F.col(f"claim{i}")
+        totals += [
+            F.count_if(won).alias(f"won{i}"),
+            F.count_if(won | claimed).alias(f"seen{i}"),
+            zero_if_null(money_sum(F.when(claimed, revenue))).alias(f"claimed{i}"),
+            zero_if_null(money_sum(F.when(won, revenue))).alias(f"earned{i}"),
+        ]
+        rows.append(
+            F.struct(
+                F.lit(c).alias("channel"),
+                F.col(f"seen{i}").alias("seen"),
+                F.col(f"won{i}").alias("resolved_orders"),
+                F.col(f"claimed{i}").alias("claimed_revenue"),
+                F.col(f"earned{i}").alias("resolved_revenue"),
+            )
         )
+    sums = (
+        flagged.groupBy(*by)
+        .agg(*totals)
+        .select(*by, F.inline(F.array(*rows)))
+        .where(F.col("seen") > 0)
     )
     spent = ads.groupBy(*by, "channel").agg(money_sum("ad_spend").alias("spend"))
     spend = zero_if_null(F.col("spend"))

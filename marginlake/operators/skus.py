@@ -11,28 +11,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginlake.functions.money import money_sum, percent_or_null, ratio_or_null, zero_if_null
+from marginlake.functions.money import dec, money_sum, percent_or_null, ratio_or_null, zero_if_null
 from marginlake.operators.detect import z_score
 
 
 def sku_margins(
     lines: DataFrame, orders: DataFrame, *, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Units, revenue, cost, refunds and margin per SKU.
+    """Lines, units, revenue, cost, refunds and margin per SKU.
 
     Order shipping is split over the lines by their share of the order's revenue
-    (six decimals per SKU and order). Order totals are a map-side combined
-    aggregate joined back to the lines, not a window over the lines of an order:
-    an oversized order is then a skewed join partition that AQE can split.
+    (six decimals per line). The lines move once, to meet the order totals, and are
+    then summed per SKU before moving again. Totals come from a map-side combined
+    aggregate and a join, not from a window over the lines of an order: an oversized
+    order is then a skewed join partition, which adaptive execution can split.
     """
     order = [*by, "order_id"]
-    per_line = lines.groupBy(*order, "sku").agg(
-        F.sum("units").alias("units"),
-        money_sum("line_revenue").alias("revenue"),
-        money_sum("line_cogs").alias("goods"),
-        F.sum(F.when(F.col("returned"), F.col("units")).otherwise(F.lit(0))).alias("back"),
-        money_sum(F.when(F.col("returned"), F.col("line_revenue"))).alias("refund"),
-    )
     totals = (
         lines.groupBy(*order)
         .agg(money_sum("line_revenue").alias("order_revenue"))
@@ -41,21 +35,26 @@ def sku_margins(
     # These widths leave the quotient 15 decimals, so rounding to six is exact.
     share = F.round(
         F.col("shipping_cost").cast("decimal(10,2)")
-        * F.col("revenue").cast("decimal(14,2)")
+        * F.col("line_revenue").cast("decimal(14,2)")
         / F.nullif(F.col("order_revenue"), F.lit(0)).cast("decimal(14,2)"),
         6,
     )
+    # Summed as whole millionths, like money as whole cents.
+    millionths = F.sum((share * 1_000_000).cast("long")).cast("decimal(19,0)")
+    back = F.col("returned")
     sums = (
-        per_line.join(totals, order, "left")
+        lines.join(totals, order, "left")
         .groupBy(*by, "sku")
         .agg(
-            F.count(F.lit(1)).alias("orders"),
+            F.count(F.lit(1)).alias("order_lines"),
             F.sum("units").alias("units_sold"),
-            F.sum("back").alias("units_returned"),
-            money_sum("revenue").alias("gross_revenue"),
-            zero_if_null(money_sum("refund")).alias("refunded_revenue"),
-            money_sum("goods").alias("total_cogs"),
-            F.round(zero_if_null(F.sum(share)), 2).alias("allocated_shipping"),
+            F.sum(F.when(back, F.col("units")).otherwise(F.lit(0))).alias("units_returned"),
+            money_sum("line_revenue").alias("gross_revenue"),
+            zero_if_null(money_sum(F.when(back, F.col("line_revenue")))).alias("refunded_revenue"),
+            money_sum("line_cogs").alias("total_cogs"),
+            F.round(zero_if_null(millionths * dec("0.000001", 7, 6)), 2)
+            .cast("decimal(20,2)")
+            .alias("allocated_shipping"),
         )
     )
     profit = (

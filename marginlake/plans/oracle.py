@@ -517,6 +517,7 @@ def _oracle() -> dict[str, str]:
       {dbl("sum(ad_spend) * case when channel = 'Meta Ads' then 1 else 2 end", 'spend')}, {big('sum(impressions)', 'impressions')},
       {big('sum(clicks)', 'clicks')}, 'USD' as currency from a group by ad_date, channel, campaign_id"""
 
+    q["a7_workspace_scan"] = f"with {RAW} select workspace_id, {big('count(*)', 'orders')}, {dbl('sum(gross_revenue)', 'revenue')} from raw group by 1"
     q["b1_stg_orders"] = f"""with {STORE} select order_id, customer_id, {stamp('order_timestamp')}, {day('order_date')}, {dbl('gross_revenue')}, {dbl('cogs')},
       {dbl('shipping_cost')}, acquisition_channel, status, {big('is_completed_order')}, {dbl('net_margin')} from o"""
     q["b2_stg_ad_spend"] = f"with {ADS} select {day('ad_date')}, channel, {dbl('ad_spend')}, clicks, impressions from a"
@@ -631,6 +632,10 @@ def _oracle() -> dict[str, str]:
           when dl >= 1 then 'Blended CAC is up ' || {fixed('dl', 0)} || '% in the last 14 days. Watch your least efficient channel.'
           else 'Blended CAC is holding steady at ' || {currency('cac')} || '.' end as body,
         case when dl <= -1 then 'positive' when dl >= 1 then 'negative' else 'neutral' end as tone from z"""
+    q["g3_g6_insights"] = " union all ".join(
+        f"select position, title, body, tone from ({q[n]}) z{i}"
+        for i, n in enumerate(("g3_channel_insight", "g4_profit_insight", "g5_repeat_insight", "g6_cac_insight"))
+    )
     newest_day = "nd as (select * from mer where rev > 0 order by date desc limit 1)"
     brief = f"""{day('nd.date', 'date')}, {big('n', 'total_orders')}, {dbl('rev', 'gross_revenue')}, {dbl('spend', 'total_ad_spend')}, {dbl('profit', 'net_cash_profit')},
       {dbl('roas', 'marketing_efficiency_ratio')}, {dbl('cac', 'blended_cac')},
@@ -646,6 +651,9 @@ def _oracle() -> dict[str, str]:
     q["h9_fx"] = f"""with {RAW} select order_id, cast(round(gross_revenue * case k % 8 when 1 then cast(1.08 as decimal(10,6)) when 6 then cast(1.08 as decimal(10,6))
       when 2 then cast(1.28 as decimal(10,6)) when 3 then cast(0.74 as decimal(10,6)) when 4 then cast(0.65 as decimal(10,6))
       when 5 then cast(0.0119 as decimal(10,6)) else cast(1 as decimal(10,6)) end, 2) as double) as gross_usd from raw"""
+    q["c9_fx_table"] = q["h9_fx"]
+    q["x10_hashed_ids"] = """select 'CUST_' || left(sha256(cast(c_custkey as varchar) || '_salt'), 16) as customer_id,
+      'CUST_' || left(sha256(c_name || '_salt'), 16) as name, c_mktsegment as market from customer"""
     q["h10_pseudonym"] = f"with {RAW} select order_id, 'CUST_' || left(sha256(customer_id || '_salt'), 16) as customer_token from raw"
     q["h18_segments"] = f"""with {HALF}, {_SEGMENTED} select customer_id, {big('rec', 'recency_days')}, sg.segment, label as segment_label
       from sg join lab on sg.segment = lab.segment"""
@@ -658,6 +666,7 @@ def _oracle() -> dict[str, str]:
       cast(0 as double) as taxes, cast(0 as double) as discounts, 'Organic / Direct' as acquisition_channel, 'Completed' as status, 'USD' as currency
       from raw where k % 101 <> 0"""
     q["i2_live_daily"] = D1
+    q["i2_corrected_days"] = f"{_STORE_DAILY} select {_DAILY_COLS} from d where date in (select order_date from o where status = 'Refunded')"
     ev = """ev as (
       select event_id, ts, user_id, event_type, 'cus_' || cast(user_id as varchar) as customer, event_id % 2 = 0 as even,
         cast(value * 100 as bigint) as cents from events)"""
@@ -693,17 +702,16 @@ def _oracle() -> dict[str, str]:
       r as (select *, {pct('back', 'units')} as rate from g)
       select sku, {day('period')}, {big('units')}, {big('back', 'units_returned')}, cast(rate as double) as return_rate_pct, {_Z} as z_score,
         coalesce(abs({_Z}) >= 3, false) as is_anomaly from {zscore('r', 'rate', 'period', 'sku')} z"""
-    q["x4_sku_margin"] = f"""with {LINES}, pl as (
-      select order_id, sku, sum(units) as units, sum(revenue) as rev, sum(goods) as goods, sum(case when returned then units else 0 end) as back,
-        sum(case when returned then revenue end) as refund from li group by 1, 2),
+    q["x4_sku_margin"] = f"""with {LINES},
       tot as (select order_id, sum(revenue) as total from li group by 1),
       s as (
-        select sku, count(*) as n, sum(units) as units, sum(back) as back, sum(rev) as rev, coalesce(sum(refund), 0) as refund, sum(goods) as goods,
-          round(cast(sum((cast(10000000 as hugeint) * cast(rev * 100 as hugeint) + cast(total * 100 as hugeint))
+        select sku, count(*) as n, sum(units) as units, sum(case when returned then units else 0 end) as back, sum(revenue) as rev,
+          coalesce(sum(case when returned then revenue end), 0) as refund, sum(goods) as goods,
+          round(cast(sum((cast(10000000 as hugeint) * cast(revenue * 100 as hugeint) + cast(total * 100 as hugeint))
             // (2 * cast(total * 100 as hugeint))) as decimal(28,0)) * cast(0.000001 as decimal(7,6)), 2) as ship
-        from pl join tot on pl.order_id = tot.order_id group by 1),
+        from li join tot on li.order_id = tot.order_id group by 1),
       p as (select *, rev - refund - goods - ship as profit from s)
-      select sku, {big('n', 'orders')}, {big('units', 'units_sold')}, {big('back', 'units_returned')}, {dbl('rev', 'gross_revenue')}, {dbl('refund', 'refunded_revenue')},
+      select sku, {big('n', 'order_lines')}, {big('units', 'units_sold')}, {big('back', 'units_returned')}, {dbl('rev', 'gross_revenue')}, {dbl('refund', 'refunded_revenue')},
         {dbl('goods', 'total_cogs')}, {dbl('ship', 'allocated_shipping')}, {dbl('profit', 'net_profit')}, {dbl(pct('back', 'units'), 'return_rate_pct')},
         {dbl(pct('profit', 'rev'), 'net_margin_pct')} from p"""
     q["x5_stock_runway"] = f"""with {LINES}, s as (

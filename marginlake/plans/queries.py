@@ -7,6 +7,7 @@ into plain types (decimals to double, dates to text) for comparison with SQL.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,8 @@ from pyspark.sql import types as T
 
 from marginlake.functions import text
 from marginlake.functions.calendar import moment
-from marginlake.functions.currency import to_base
-from marginlake.functions.identity import pseudonym
+from marginlake.functions.currency import FX_RATES, convert_with_table, to_base
+from marginlake.functions.identity import hash_identifiers, pseudonym
 from marginlake.operators import (
     attribution,
     customers,
@@ -189,6 +190,18 @@ def a5_order_events(spark, sf):
     return files.order_events(events, salt=b.SALT, arrived="ts")
 
 
+@query
+def a7_workspace_scan(spark, sf):
+    o = b.store_orders(spark, sf)
+    per_tenant = [
+        staging.for_workspace(o, ws)
+        .groupBy("workspace_id")
+        .agg(F.count(F.lit(1)).alias("orders"), F.sum("gross_revenue").alias("revenue"))
+        for ws in ("ws0", "ws1", "ws2", "ws3")
+    ]
+    return reduce(DataFrame.unionByName, per_tenant)
+
+
 @query
 def a8_good_orders(spark, sf):
     return validate.split_orders(b.raw_order_feed(spark, sf), "feed")[0]
@@ -529,6 +542,17 @@ def g6_cac_insight(spark, sf):
     return insights.cac_insight(_overview(spark, sf))
 
 
+@query
+def g3_g6_insights(spark, sf):
+    o, a = _half_year(spark, sf)
+    return insights.insights(
+        kpis.channel_breakdown(o, a),
+        kpis.window_profit(o, a, as_of=b.MID_MONTH),
+        _matrix(spark, sf),
+        _overview(spark, sf),
+    )
+
+
 @query
 def g7_briefing(spark, sf):
     return insights.morning_briefing(_mer(spark, sf))
@@ -563,6 +587,15 @@ def h9_fx(spark, sf):
     )
 
 
+@query
+def c9_fx_table(spark, sf):
+    rates = spark.createDataFrame(list(FX_RATES.items()), "code string, rate string")
+    out = convert_with_table(
+        b.foreign_orders(spark, sf), rates, amount="gross_revenue", currency="currency", out="gross_usd"
+    )
+    return out.select("order_id", "gross_usd")
+
+
 @query
 def h10_pseudonym(spark, sf):
     o = b.store_orders(spark, sf)
@@ -640,6 +673,14 @@ def i2_live_daily(spark, sf):
     return live.economics_of(live.latest_days(updates))
 
 
+@query
+def i2_corrected_days(spark, sf):
+    """Days whose orders were refunded after the fact, recomputed from the merged orders."""
+    o = b.store_orders(spark, sf)
+    touched = o.where(F.col("status") == "Refunded").select(F.to_date("order_date").alias("date"))
+    return live.corrected_days(o, touched, b.store_ad_spend(spark, sf))
+
+
 @query
 def i3_payments(spark, sf):
     events = billing.parse_events(b.billing_events(spark, sf))
@@ -727,3 +768,13 @@ def x9_resolved_channel_pnl(spark, sf):
     landed = attribution.attribute_orders(b.landing_orders(spark, sf))
     o = staging.stage_orders(landed.withColumn("acquisition_channel", F.col("channel")))
     return marts.channel_pnl(o, staging.stage_ad_spend(b.store_ad_spend(spark, sf)))
+
+
+@query
+def x10_hashed_ids(spark, sf):
+    people = b.table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("string").alias("customer_id"),
+        F.col("c_name").alias("name"),
+        F.col("c_mktsegment").alias("market"),
+    )
+    return hash_identifiers(people, ["customer_id", "name"], b.SALT)

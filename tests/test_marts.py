@@ -158,7 +158,7 @@ def test_sku_margin_splits_shipping_by_revenue(spark):
     orders = orders_frame(spark, [order(1, ship="8"), order(2, ship="4")])
     x, y = dicts(skus.sku_margins(lines, orders), "sku")
     assert (x["allocated_shipping"], y["allocated_shipping"]) == (6, 2)
-    assert (x["orders"], x["units_sold"], y["return_rate_pct"]) == (2, 4, 100)
+    assert (x["order_lines"], x["units_sold"], y["return_rate_pct"]) == (2, 4, 100)
     assert y["net_profit"] == 25 - 25 - 10 - 2
 
 
