@@ -666,7 +666,11 @@ def _oracle() -> dict[str, str]:
       cast(0 as double) as taxes, cast(0 as double) as discounts, 'Organic / Direct' as acquisition_channel, 'Completed' as status, 'USD' as currency
       from raw where k % 101 <> 0"""
     q["i2_live_daily"] = D1
-    q["i2_corrected_days"] = f"{_STORE_DAILY} select {_DAILY_COLS} from d where date in (select order_date from o where status = 'Refunded')"
+    # A touched day without sales or spend is still reported, as zeros.
+    q["i2_corrected_days"] = f"""{_STORE_DAILY}, td as (select distinct order_date as date from o where status = 'Refunded')
+      select {day('td.date', 'date')}, {big('coalesce(n, 0)', 'total_orders')}, {dbl('coalesce(rev, 0)', 'total_revenue')}, {dbl('coalesce(spend, 0)', 'total_ad_spend')},
+        {dbl('coalesce(profit, 0)', 'net_profit')}, {dbl('coalesce(cac, 0)', 'blended_cac')}, {dbl('coalesce(roas, 0)', 'blended_roas')}
+      from td left join d on td.date = d.date"""
     ev = """ev as (
       select event_id, ts, user_id, event_type, 'cus_' || cast(user_id as varchar) as customer, event_id % 2 = 0 as even,
         cast(value * 100 as bigint) as cents from events)"""
