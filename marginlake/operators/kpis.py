@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginlake.functions.calendar import days_before, in_window, moment, month_of
@@ -129,7 +129,7 @@ def _as_datetime(as_of: dt.datetime | str) -> dt.datetime:
     return as_of if isinstance(as_of, dt.datetime) else dt.datetime.fromisoformat(as_of)
 
 
-def _day_list(spark: SparkSession, first: dt.date, days: int) -> Column:
+def _day_list(first: dt.date, days: int) -> Column:
     last = first + dt.timedelta(days=days - 1)
     return F.explode(
         F.sequence(F.lit(first), F.lit(last), F.expr("INTERVAL 1 DAY"))
@@ -170,7 +170,7 @@ def daily_trend(
         owners = orders.select(*by).union(ads.select(*by)).distinct()
     else:
         owners = spark.range(1).select()
-    calendar = owners.select(*by, _day_list(spark, first, days).alias("date"))
+    calendar = owners.select(*by, _day_list(first, days).alias("date"))
     return (
         calendar.join(sold, keys, "left")
         .join(spent, keys, "left")

@@ -61,10 +61,7 @@ def test_reasons(spark):
 
 def _batch(spark, rows):
     frame = orders_frame(spark, [r for _, r in rows])
-    seqs = {(r[0], r[3], r[7], r[1]): s for s, r in rows}
-    pairs = spark.createDataFrame([(s, *r) for s, r in rows], "seq int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema.fields))
-    assert len(seqs) <= len(rows)
-    return pairs
+    return spark.createDataFrame([(s, *r) for s, r in rows], "seq int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema.fields))
 
 
 def test_upsert_keeps_first_identity_and_last_money(spark):
