@@ -41,6 +41,7 @@ FEATURES = (
     ("word_length", lambda: F.log(F.col("word_chars") / F.col("n_words")), 0.12),
     ("symbols", lambda: F.sqrt(F.col("n_symbols") / F.col("n_words")), 0.1),
     ("dup_lines", lambda: F.log1p(F.col("n_dup_lines")), 0.5),
+    ("capitals", lambda: F.sqrt(F.col("n_capitals") / F.col("word_chars")), 0.12),
     ("repeats", lambda: F.sqrt(F.col("n_repeat_words") / F.col("n_words")), 0.08),
 )
 DIMENSIONS = len(FEATURES)
@@ -48,10 +49,12 @@ X = [f"x{i}" for i in range(DIMENSIONS)]
 PAIRS = [(i, j) for i in range(DIMENSIONS) for j in range(i, DIMENSIONS)]
 
 
-def count(text: str | None) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of one whole text."""
+def count(text: str | None) -> tuple[int, ...]:
+    """The counts of one whole text, as ``COUNTS`` names them; capitals are A to Z."""
     text = text or ""
     tokens = words(text)
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    capitals = int(np.count_nonzero((raw - np.uint8(65)) < 26))
     n = len(tokens)
     chars = len(text) - sum(map(text.count, "\t\n\x0b\x0c\r "))
     symbols = sum(map(text.count, SYMBOLS))
@@ -67,14 +70,14 @@ def count(text: str | None) -> tuple[int, int, int, int, int]:
             np.add.at(edge, begins, 1)
             np.add.at(edge, begins + WINDOW, -1)
             repeated = int((np.cumsum(edge)[:n] > 0).sum())
-    return n, chars, symbols, len(lines) - len(set(lines)), repeated
+    return n, chars, symbols, len(lines) - len(set(lines)), repeated, capitals
 
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals")
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the five counts of every document. Null texts count as empty."""
+    """doc_id, lang, source and the counts of every document. Null texts count as empty."""
 
     def step(cols):
         found = [count(t.as_py()) for t in cols["text"]]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from marginlake.llm import bpe, mixing, quality, warc
+from marginlake.llm import bpe, fingerprints, mixing, quality, warc
 from marginlake.llm.common import table
 
 
@@ -31,15 +31,20 @@ def op7_mixing(spark, sf_dir):
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_fingerprints(spark, sf_dir):
+    return fingerprints.edit_report(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark, sf_dir):
     found = quality.judge(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *quality.COUNTS, "base_failed", "kept", "distance")
+    return found.select("doc_id", *quality.COUNTS[:5], "base_failed", "kept", "n_capitals", "distance")
 
 
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
+    "op8_fingerprints": op8_fingerprints,
     "op9_quality": op9_quality,
 }
 
