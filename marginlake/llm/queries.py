@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from marginlake.llm import bpe, fingerprints, mixing, quality, warc
+from marginlake.llm import bpe, fingerprints, mixing, quality, substrings, warc
 from marginlake.llm.common import table
 
 
@@ -40,12 +40,20 @@ def op9_quality(spark, sf_dir):
     return found.select("doc_id", *quality.COUNTS[:5], "base_failed", "kept", "n_capitals", "distance")
 
 
+def op10_substrings(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    found = substrings.remove_repeats(docs)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
     "op8_fingerprints": op8_fingerprints,
     "op9_quality": op9_quality,
+    "op10_substrings": op10_substrings,
 }
 
 ORACLE = {
