@@ -14,21 +14,25 @@ from __future__ import annotations
 
 import base64
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginlake.llm.common import by_batch
 
-#: Entries of the piece cache of one task; beyond them it starts anew.
-CACHED_PIECES = 400_000
+#: Pieces that each of the two generations of a task's cache holds.
+CACHED_PIECES = 300_000
 #: Remembered pairs of tokens; beyond them their table starts anew.
-KNOWN_PAIRS = 1_000_000
+KNOWN_PAIRS = 400_000
 #: Longer pieces are encoded but not cached.
 CACHED_BYTES = 48
+#: Texts of about so many characters are split and encoded together.
+TOGETHER = 2_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,7 +48,7 @@ class Vocabulary:
         self.ids = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self._parts: dict[int, tuple[int, int] | None] = {}
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
         self.longest = max(map(len, ranks))
         # Every ending of a token -> the token that consists of it, or -1: a walk
         # to the left stops where no token goes on.
@@ -96,7 +100,7 @@ class Vocabulary:
         """Whether BPE of the two tokens' bytes gives back the two tokens."""
         if len(self.known) > KNOWN_PAIRS:
             self.known.clear()
-        fits = self.known[left, right] = self.reachable(right) and self._boundary_holds(left, right)
+        fits = self.known[left << 32 | right] = self.reachable(right) and self._boundary_holds(left, right)
         return fits
 
     def _boundary_holds(self, left: int, right: int) -> bool:
@@ -136,7 +140,7 @@ class PrefixTable:
             before = last[i - n]
             if before < 0:
                 fits = v.reachable(t)
-            elif (fits := known.get((before, t))) is None:
+            elif (fits := known.get(before << 32 | t)) is None:
                 fits = v.fits(before, t)
             if fits:
                 last.append(t)
@@ -149,6 +153,11 @@ class PrefixTable:
         for i in range(start + 1, len(self.data) + 1):
             self._extend(self.data, self.last, i)
 
+    def truncate(self, size: int) -> None:
+        """Shorten the data to its first ``size`` bytes."""
+        self.data = self.data[:size]
+        del self.last[size + 1 :]
+
     def edit(self, start: int, end: int, new: bytes) -> int:
         """Replace bytes [start, end); returns how many entries were computed.
 
@@ -180,23 +189,54 @@ class PrefixTable:
         return out[::-1]
 
 
+def common_prefix(a: bytes, b: bytes) -> int:
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[:mid] == b[:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
 class PieceCache(dict):
-    """Piece of text -> its token ids, as the bytes of 32-bit numbers."""
+    """Piece of text -> its token ids, as the bytes of 32-bit numbers.
+
+    When it is full it becomes the older generation, from which pieces that
+    are met again come back.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.older = vocabulary, {}
+
+    def learn(self, pieces: set[str]) -> None:
+        """Encode pieces in byte order, so that each starts from the prefix table of the one before."""
+        missing = []
+        for piece in pieces:
+            if piece in self.older:
+                self[piece] = self.older[piece]
+            else:
+                missing.append((piece.encode("utf-8", "surrogatepass"), piece))
+        missing.sort()
+        table, ids = PrefixTable(self.vocabulary), self.vocabulary.ids
+        for data, piece in missing:
+            whole = ids.get(data)
+            if whole is not None:
+                found = [whole]
+            else:
+                same = common_prefix(table.data, data)
+                table.truncate(same)
+                table.append(data[same:])
+                found = table.tokens()
+            self[piece] = array("i", found).tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        data = piece.encode("utf-8", "surrogatepass")
-        whole = self.vocabulary.ids.get(data)
-        found = [whole] if whole is not None else PrefixTable(self.vocabulary, data).tokens()
-        ids = array("i", found).tobytes()
-        if len(data) <= CACHED_BYTES:
-            if len(self) >= CACHED_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
+    def forget(self) -> None:
+        """Called between texts: drop what is too long to keep, start a generation if this one is full."""
+        if len(self) >= CACHED_PIECES:
+            self.older = {k: v for k, v in self.items() if len(k) <= CACHED_BYTES}
+            self.clear()
 
 
 def piece_pattern(pattern: str) -> regex.Pattern:
@@ -213,8 +253,29 @@ class TextEncoder:
         self.cache = PieceCache(self.vocabulary)
 
     def encode(self, text: str | None) -> np.ndarray:
-        found = self.pieces.findall(text or "")
-        return np.frombuffer(b"".join(map(self.cache.__getitem__, found)), dtype=np.int32)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        out, cache = [], self.cache
+        for some in together(texts):
+            found = [self.pieces.findall(t or "") for t in some]
+            cache.learn(set().union(*found).difference(cache))
+            out += [np.frombuffer(b"".join(map(cache.__getitem__, f)), dtype=np.int32) for f in found]
+            cache.forget()
+        return out
+
+
+def together(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Consecutive texts in groups of some million characters."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t or "")
+        if size >= TOGETHER:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
 
 
 def _per_process(cache: dict, key: str, build):
@@ -242,7 +303,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
         encoder = _per_process(_ENCODERS, key, lambda: TextEncoder(sent.value, pattern))
 
         def step(cols):
-            rows = [encoder.encode(t.as_py()) for t in cols["__text"]]
+            rows = encoder.encode_all(cols["__text"].to_pylist())
             ends = np.cumsum([0, *map(len, rows)])
             return cols | {
                 ids: pa.ListArray.from_arrays(
@@ -269,11 +330,12 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", data: str = "decode
 
         def step(cols):
             lists = cols[ids]
-            flat = lists.flatten().to_pylist()
-            n = [x or 0 for x in pa.compute.list_value_length(lists).to_pylist()]
-            ends = np.cumsum([0, *n])
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum([0, *(x or 0 for x in pa.compute.list_value_length(lists).to_pylist())])
             get = tokens.__getitem__
-            return cols | {data: [b"".join(map(get, flat[a:b])) for a, b in zip(ends[:-1], ends[1:], strict=True)]}
+            return cols | {
+                data: [b"".join(map(get, flat[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            }
 
         return step
 
