@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from marginlake.llm.common import U64, hashes, mix, windows, words
+from marginlake.llm.common import U64, hashes, mix, windows
 
 SHINGLE_WORDS = 5
 EMPTY = np.uint32(0xFFFFFFFF)
@@ -22,10 +22,10 @@ def shingles(text: str | None, k: int = SHINGLE_WORDS) -> np.ndarray:
 
     Fewer words than ``k`` are one shingle, no words none.
     """
-    tokens = words(text)
+    tokens = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes.lower() knows A-Z only
     if not tokens:
         return np.empty(0, U64)
-    h = hashes([t.lower() for t in tokens])  # bytes.lower() knows A-Z only
+    h = hashes(tokens)
     return np.unique(windows(h, min(k, len(h))))
 
 
@@ -69,3 +69,13 @@ def likeness(a: np.ndarray, b: np.ndarray, bins: int, bits: int) -> np.ndarray:
     same = ~np.unpackbits(a ^ b, axis=1).reshape(len(a), bins, bits).any(axis=2)
     chance = 0.5**bits
     return np.clip((same.mean(axis=1) - chance) / (1 - chance), 0.0, 1.0)
+
+
+def bands(signature: np.ndarray, rows: int) -> np.ndarray:
+    """A bucket key for every ``rows`` consecutive bins, different for each band."""
+    count = signature.shape[1] // rows
+    cut = signature[:, : count * rows].astype(U64).reshape(len(signature), count, rows)
+    key = np.broadcast_to(np.arange(1, count + 1, dtype=U64) * _CHOICE, cut.shape[:2]).copy()
+    for j in range(rows):
+        key = mix(key ^ cut[:, :, j]) + U64(j)
+    return key

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from marginlake.llm import bpe, fingerprints, mixing, quality, substrings, warc
+from marginlake.llm import bpe, fingerprints, mixing, neardup, quality, substrings, warc
 from marginlake.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op2_byte_bpe(spark, sf_dir):
     )
 
 
+def op4_near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark, sf_dir):
     found = warc.archive_pages(table(spark, sf_dir, "pages"), warc.archive_folder(spark))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -49,6 +53,7 @@ def op10_substrings(spark, sf_dir):
 
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_near_duplicates": op4_near_duplicates,
     "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
     "op8_fingerprints": op8_fingerprints,
