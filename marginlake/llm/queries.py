@@ -5,10 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from marginlake.llm import bpe, fingerprints, mixing, neardup, quality, substrings, warc
+from marginlake.llm import bpe, fingerprints, language, mixing, neardup, quality, substrings, warc
 from marginlake.llm.common import table
 
 
+def op1_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs.select("doc_id", "text"), language.fit(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op2_byte_bpe(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -52,6 +58,7 @@ def op10_substrings(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_language": op1_language,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_near_duplicates": op4_near_duplicates,
     "op6_warc": op6_warc,
