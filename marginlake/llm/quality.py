@@ -202,7 +202,8 @@ def estimate(rows: DataFrame) -> DataFrame:
     step takes all documents within the 97.5 % distance. Each step is one job
     that returns a bounded table: bins of levels.
     """
-    middle = rows.groupBy("level").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m_{x}") for x in X])
+    medians = rows.groupBy("level").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m_{x}") for x in X])
+    middle = store(medians, "quality-medians")
     spread = (
         rows.join(middle, "level")
         .groupBy("level")
