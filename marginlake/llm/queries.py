@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from marginlake.llm import bpe, fingerprints, language, mixing, neardup, quality, substrings, warc
+from marginlake.llm import bpe, fingerprints, htmltext, language, mixing, neardup, quality, substrings, warc
 from marginlake.llm.common import table
 
 
@@ -27,6 +27,11 @@ def op2_byte_bpe(spark, sf_dir):
     )
 
 
+def op3_html_text(spark, sf_dir):
+    found = htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), htmltext.train())
+    return found.select("page_id", "url", "text", "n_chars")
+
+
 def op4_near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ def op10_substrings(spark, sf_dir):
 QUERIES = {
     "op1_language": op1_language,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_html_text": op3_html_text,
     "op4_near_duplicates": op4_near_duplicates,
     "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
