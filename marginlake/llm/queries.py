@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from marginlake.llm import bpe, fingerprints, htmltext, language, mixing, neardup, quality, substrings, warc
+from marginlake.llm import bpe, fingerprints, htmltext, language, licenses, mixing, neardup, quality, substrings, warc
 from marginlake.llm.common import table
 
 
@@ -36,6 +36,14 @@ def op4_near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark, sf_dir):
+    """Documents as files: the source is the top folder, the language the one below."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string"))
+    found = licenses.scan(docs.select("doc_id", "text", path.alias("path")))
+    return found.select("doc_id", "path", "license", "how", "score", "from_path")
+
+
 def op6_warc(spark, sf_dir):
     found = warc.archive_pages(table(spark, sf_dir, "pages"), warc.archive_folder(spark))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -67,6 +75,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_html_text": op3_html_text,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_licenses": op5_licenses,
     "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
     "op8_fingerprints": op8_fingerprints,
