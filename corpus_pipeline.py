@@ -1,10 +1,70 @@
-"""From raw documents to token ids: language, near copies, repeated passages, mixture, tokens."""
+"""From raw documents to token ids: language, near copies, repeated passages, mixture, tokens.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it
+kept. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marginlake.llm import bpe, language, mixing, neardup, substrings
+from marginlake.llm.common import store, table
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters; those without a language get the predicted one."""
+    return language.keep_identified(docs)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the least id."""
+    return neardup.drop_copies(docs)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that an earlier document has; documents of nothing else go."""
+    found = substrings.remove_repeats(docs)
+    left = found.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return left.withColumn("n_chars", chars).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the order in which the mixture serves them, repeated as it takes them."""
+    return mixing.mix(docs)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, lang, n_tokens, ids, and whether the decoded ids are the text."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    return coded.select(
+        "doc_id",
+        "source",
+        "lang",
+        F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
+        (F.encode(F.coalesce("text", F.lit("")), "UTF-8") == F.col("decoded")).alias("exact"),
+    )
+
+
+STAGES = [
+    ("language", language_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("substrings", substring_stage),
+    ("mixing", mixing_stage),
+    ("tokens", token_stage),
+]
+
+#: A trained network decides in the first stage, which SQL cannot express; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

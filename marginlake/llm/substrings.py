@@ -48,12 +48,13 @@ NO_ID = -(1 << 63)
 WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, *more: str) -> DataFrame:
     """key (doc_id; null is smaller than all), tag (tells apart texts of one id), text."""
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"),
         F.hash("text").alias("tag"),
         F.col("text").cast("string").alias("text"),
+        *more,
     )
 
 
@@ -312,25 +313,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     its own. An empty table gives no rows. Columns n_words and n_removed are
     replaced.
     """
-    keep = [f for f in docs.schema.fields if f.name not in ("n_words", "n_removed")]
-    found = (
-        repeated_windows(docs).groupBy("key", "tag").agg(F.collect_list("positions").alias("__windows"))
-    )
-    wanted = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__key"),
-        F.hash("text").alias("__tag"),
-        *[F.col(f"`{f.name}`") for f in keep],
-    )
-    joined = wanted.join(found, (F.col("__key") == F.col("key")) & (F.col("__tag") == F.col("tag")), "left")
+    keep = [f.name for f in docs.schema.fields if f.name not in ("n_words", "n_removed")]
+    rest = [c for c in keep if c != "text"]
+    found = repeated_windows(docs).groupBy("key", "tag").agg(F.collect_list("positions").alias("hits"))
+    rows = _keyed(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")), "rest")
+    joined = rows.join(found, ["key", "tag"], "left").select("rest", "text", "hits")
 
     def step(cols):
         texts, n, removed = [], [], []
-        for text, hits in zip(cols["text"].to_pylist(), cols.pop("__windows").to_pylist(), strict=True):
+        for text, hits in zip(cols["text"].to_pylist(), cols.pop("hits").to_pylist(), strict=True):
             new, a, b = cut(text, hits) if hits else (text, len(words(text)), 0)
             texts.append(new)
             n.append(a)
             removed.append(b)
         return cols | {"text": texts, "n_words": n, "n_removed": removed}
 
-    schema = [*((f.name, f.dataType) for f in keep), ("n_words", "long"), ("n_removed", "long")]
-    return by_batch(joined.select(*[F.col(f"`{f.name}`") for f in keep], "__windows"), lambda: step, schema)
+    schema = [("rest", joined.schema["rest"].dataType), ("text", "string"), ("n_words", "long"), ("n_removed", "long")]
+    out = by_batch(joined, lambda: step, schema)
+    return out.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in keep], "n_words", "n_removed")
