@@ -63,14 +63,15 @@ def default_cogs(revenue: Column, type_: str = MONEY) -> Column:
 
 
 def money_sum(amount: Column | str) -> Column:
-    """Exact sum of amounts with at most two decimals, as decimal(20,2).
+    """Exact sum of amounts, as decimal(20,2).
 
-    Adds whole cents as 64-bit integers: an aggregation buffer of one machine word
+    Every amount is rounded half up to two decimals first; doubles and finer
+    decimals lose nothing but what lies below a cent. Adds whole cents as 64-bit integers: an aggregation buffer of one machine word
     where a decimal sum needs an arbitrary-precision object per added row. Sums
     beyond 90 quadrillion fail loudly instead of wrapping.
     """
     c = F.col(amount) if isinstance(amount, str) else amount
-    cents = F.sum((c * 100).cast("long"))
+    cents = F.sum(F.round(c * 100, 0).cast("long"))
     return (cents.cast("decimal(19,0)") * dec("0.01", 3, 2)).cast("decimal(20,2)")
 
 

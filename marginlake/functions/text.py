@@ -34,7 +34,8 @@ def currency_text(value: Column, compact: bool = False) -> Column:
 
 
 def number_text(value: Column) -> Column:
-    return F.format_number(value.cast("long"), 0)
+    """Thousands separators and up to three decimals, half up; no trailing zeros."""
+    return F.regexp_replace(grouped(value, 3), r"\.?0+$", "")
 
 
 def percent_text(value: Column, digits: int = 1) -> Column:

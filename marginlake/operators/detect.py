@@ -159,13 +159,14 @@ def roas_decay(pnl: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     """Channel days with spend whose ROAS is below break-even.
 
     Break-even ROAS is revenue over gross margin: below it, each ad dollar returns
-    less margin than it cost. Without margin no ROAS breaks even.
+    less margin than it cost. Without margin no ROAS breaks even: a day that spent
+    and sold nothing is below it.
     """
     revenue, spend = F.col("attributed_revenue"), F.col("channel_ad_spend")
     margin = revenue - F.col("attributed_cogs") - F.col("attributed_shipping")
     even = F.when(margin > 0, ratio_or_null(revenue, margin, scale=4))
     return (
-        pnl.where((spend > 0) & (revenue > 0))
+        pnl.where(spend > 0)
         .select(
             *by,
             "date",

@@ -1,5 +1,8 @@
 """The registered queries in plain SQL, as an independent check.
 
+Labels, channel names, segment names and report sentences are fixed values: they
+must equal what the operators return.
+
 Decimal quotients go through ``decimal(28,8)`` before rounding, because the SQL
 engine used for checking divides decimals as doubles.
 """
@@ -289,12 +292,15 @@ _LTV = """l as (
   from {src} where status = '{good}' group by 1),
 lt as (select *, case when n >= 4 then 'Champion (VIP)' when n >= 2 then 'Loyal Customer' else 'One-Time Buyer' end as tier from l)"""
 
-_COHORT = """f as (select customer_id, date_trunc('month', min(order_date)) as cohort from o where status = 'Completed' group by 1),
-act as (
-  select o.customer_id, cohort, (year(order_date) - year(cohort)) * 12 + month(order_date) - month(cohort) as m, gross_revenue, net_margin
-  from o join f on o.customer_id = f.customer_id where status = 'Completed'),
-cs as (select cohort, m, count(distinct customer_id) as n, sum(gross_revenue) as rev, sum(net_margin) as profit from act group by 1, 2),
-c as (select *, first_value(n) over (partition by cohort order by m) as size from cs)"""
+_COHORT = """dated as (
+  select customer_id, gross_revenue, net_margin, date_trunc('month', order_date) as month,
+    date_trunc('month', min(order_date) over (partition by customer_id)) as cohort
+  from o where status = 'Completed'),
+c as (
+  select cohort, datediff('month', cohort, month) as m, count(distinct customer_id) as n,
+    sum(gross_revenue) as rev, sum(net_margin) as profit, max(members) as size
+  from dated join (select cohort as born, count(distinct customer_id) as members from dated group by 1) on born = cohort
+  group by 1, 2)"""
 
 _MER = f"""{_STORE_DAILY}, mer as (select *, {pct0('profit', 'rev')} as margin_pct from d)"""
 _MER_COLS = ", ".join(
@@ -479,7 +485,8 @@ def _oracle() -> dict[str, str]:
       {big('sum(l_linenumber)', 'clicks')}, {big("sum(case when l_returnflag <> 'A' then l_quantity else 0 end)", 'impressions')}
       from lineitem where cast(l_shipdate as date) between date '2001-06-30' - interval 365 day and date '2001-06-30' group by l_shipdate"""
     revenue = "coalesce(case when event_type <> 'click' then cast(value as decimal(12,2)) end, 0)"
-    q["a5_order_events"] = f"""select case when event_type <> 'view' then cast(event_id as varchar) else 'ORD_' || cast(floor(epoch(ts)) as bigint) end as order_id,
+    q["a5_order_events"] = f"""select case when event_type <> 'view' then cast(event_id as varchar) else 'ORD_' || cast(floor(epoch(ts)) as bigint) || '_'
+        || left(md5(case when event_type <> 'error' then cast(user_id as varchar) else '' end || '|' || case when event_type <> 'click' then cast(cast(value as decimal(12,2)) as varchar) else '' end), 12) end as order_id,
       'CUST_' || left(sha256(case when event_type <> 'error' then cast(user_id as varchar) else 'GUEST' end || '_salt'), 16) as customer_id,
       {stamp('ts', 'order_date')}, {dbl(revenue, 'gross_revenue')}, {dbl(f'round({revenue} * {_C35}, 2)', 'cogs')},
       cast(5 as double) as shipping_cost, 'Shopify Web' as acquisition_channel, 'Completed' as status from events"""
@@ -534,10 +541,11 @@ def _oracle() -> dict[str, str]:
     q["d3_channel_profitability"] = D3
     q["f1_ordered_marts"] = D3
     q["d4_attribution_share"] = f"""with {STORE}, g as (
-      select acquisition_channel, count(distinct order_id) as n, sum(gross_revenue) as rev, sum(net_margin) as margin, count(gross_revenue) as c
-      from o where status = 'Completed' group by 1), t as (select sum(gross_revenue) as total from o where status = 'Completed')
+      select acquisition_channel, count(distinct order_id) as n, sum(gross_revenue) as rev, sum(net_margin) as margin,
+        count(gross_revenue) as c, sum(sum(gross_revenue)) over () as total
+      from o where status = 'Completed' group by 1)
       select acquisition_channel, {big('n', 'attributed_orders')}, {dbl('rev', 'attributed_revenue')}, {dbl('margin', 'attributed_gross_margin')},
-        {dbl(ratio('rev', 'c'), 'average_order_value')}, {dbl(pct('rev', 'total'), 'revenue_share_pct')} from g cross join t"""
+        {dbl(ratio('rev', 'c'), 'average_order_value')}, {dbl(pct('rev', 'total'), 'revenue_share_pct')} from g"""
     q["d5_velocity"] = D5
     q["d5_velocity_keyed"] = D5
     q["d6_customer_ltv"] = f"""with {STORE}, {_LTV.format(src='o', good='Completed')} select customer_id, {day('first_d', 'first_order_date')},
@@ -545,14 +553,15 @@ def _oracle() -> dict[str, str]:
       {dbl('margin', 'lifetime_net_margin')}, tier as customer_segment from lt"""
     q["d7_cohort_retention"] = f"""with {STORE}, {_COHORT} select {day('cohort', 'cohort_month')}, {big('m', 'month_number')}, {big('n', 'active_customers')},
       {dbl('rev', 'cohort_revenue')}, {dbl('profit', 'cohort_net_profit')}, {big('size', 'initial_cohort_size')}, {dbl(pct('n', 'size'), 'retention_rate_pct')} from c"""
-    q["d8_cycle_churn"] = f"""with {STORE}, s as (
-      select customer_id, gross_revenue, row_number() over (partition by customer_id order by order_date, order_timestamp, order_id) as seq
-      from o where status = 'Completed'),
-      g as (select seq, count(distinct customer_id) as n, sum(gross_revenue) as rev, count(gross_revenue) as c from s where seq <= 6 group by 1),
-      t as (select count(distinct customer_id) as base from s where seq = 1),
-      u as (select *, lag(n, 1) over (order by seq) as before from g cross join t)
-      select {big('seq', 'subscription_cycle')}, {big('n', 'active_subscribers')}, {dbl('rev', 'cycle_gross_revenue')}, {dbl(ratio('rev', 'c'), 'average_cycle_value')},
-        {dbl(pct('n', 'base'), 'cycle_retention_pct')}, {dbl(f"round(100 - {pct('n', 'before', 8)}, 2)", 'cycle_churn_rate_pct')} from u"""
+    # Cycle k has the customers with k orders or more; its revenue is that of their k-th ones.
+    q["d8_cycle_churn"] = f"""with {STORE}, b as (
+      select list(gross_revenue order by order_date, order_timestamp, order_id) as paid from o where status = 'Completed' group by customer_id),
+      u as (
+        select k, count(*) filter (len(paid) >= k) as n, case when k > 1 then count(*) filter (len(paid) >= k - 1) end as before,
+          count(*) as base, sum(paid[k]) as rev, count(paid[k]) as c
+        from b, range(1, 7) r(k) group by k)
+      select {big('k', 'subscription_cycle')}, {big('n', 'active_subscribers')}, {dbl('rev', 'cycle_gross_revenue')}, {dbl(ratio('rev', 'c'), 'average_cycle_value')},
+        {dbl(pct('n', 'base'), 'cycle_retention_pct')}, {dbl(f"round(100 - {pct('n', 'before', 8)}, 2)", 'cycle_churn_rate_pct')} from u where n > 0"""
     q["d9_mer"] = f"{_MER} select {_MER_COLS} from mer"
     week = "wk as (select * from mer where rev > 0 order by date desc limit 7)"
     q["d10_daily_breakdown"] = f"{_MER}, {week} select {_MER_COLS} from wk"
@@ -700,7 +709,7 @@ def _oracle() -> dict[str, str]:
     gm = "rev - cogs - ship"
     q["x2_roas_decay"] = f"""{_STORE_PNL} select {day('date')}, channel, {dbl(ratio0('rev', 'spend'), 'channel_roas')},
       {dbl(f"case when {gm} > 0 then {ratio('rev', f'({gm})', 4)} end", 'break_even_roas')}, {gm} < spend as is_below_break_even
-      from p where spend > 0 and rev > 0"""
+      from p where spend > 0"""
     q["x3_return_spikes"] = f"""with {LINES}, g as (
       select sku, cast(date_trunc('month', line_date) as date) as period, sum(units) as units, sum(case when returned then units else 0 end) as back from li group by 1, 2),
       r as (select *, {pct('back', 'units')} as rate from g)

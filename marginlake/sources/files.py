@@ -52,10 +52,6 @@ def read_insights_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.INSIGHTS_PAGE).json(path)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 def _amount(c: Column, default: str) -> Column:
     return F.coalesce(c.cast("decimal(12,2)"), dec(default, 12, 2))
 
@@ -100,11 +96,13 @@ def order_events(events: DataFrame, *, salt: str, arrived: str | None = None) ->
     """Webhook order events as orders; the customer becomes a pseudonym.
 
     ``arrived`` names the arrival-time column; without it, arrival is now. An event
-    without an order id takes one from its arrival second.
+    without an order id takes one from its arrival second and a hash of what it says:
+    such events are one order only if they say the same in the same second.
     """
     at = F.col(arrived).cast("timestamp") if arrived else F.current_timestamp()
     revenue = F.coalesce(F.col("gross_revenue").cast("decimal(12,2)"), dec("0", 12, 2))
-    made_up_id = F.concat(F.lit("ORD_"), F.unix_seconds(at).cast("string"))
+    said = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("customer_id", "gross_revenue")])
+    made_up_id = F.concat(F.lit("ORD_"), F.unix_seconds(at).cast("string"), F.lit("_"), F.substring(F.md5(said), 1, 12))
     return events.select(
         F.coalesce("order_id", made_up_id).alias("order_id"),
         pseudonym(F.coalesce("customer_id", F.lit(GUEST)), salt).alias("customer_id"),

@@ -38,6 +38,9 @@ ORDER_FIELDS = (
 )
 
 
+FULL_DATE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]|$)"
+
+
 def _text(df: DataFrame, f: Field) -> Column:
     """The raw cell as text, NULL when the column or the value is missing."""
     if f.name not in df.columns:
@@ -64,6 +67,8 @@ def _is_bad(f: Field, text: Column) -> Column:
             return F.lit(False)
         return F.coalesce(F.length(text) > f.max_length, F.lit(False))
     unreadable = text.try_cast(f.type).isNull()
+    if f.type == "timestamp":  # a bare time or year is no date
+        unreadable = unreadable | ~text.rlike(FULL_DATE)
     return unreadable if f.required else text.isNotNull() & unreadable
 
 
@@ -112,7 +117,7 @@ def good_orders(checked: DataFrame) -> DataFrame:
 def quarantined(checked: DataFrame, source: str) -> DataFrame:
     """Dead-letter rows: source_system, raw_payload, error_reason, failed_at."""
     return checked.where("not _ok").select(
-        F.lit(source[:50]).alias("source_system"),
+        F.lit(source).alias("source_system"),
         F.col("_payload").alias("raw_payload"),
         F.array_join("_reasons", "; ").alias("error_reason"),
         F.current_timestamp().alias("failed_at"),

@@ -18,17 +18,19 @@ def daily_flows(
 ) -> DataFrame:
     """Running sums per day: orders, revenue, margin and spend.
 
-    Orders are de-duplicated by id within the watermark; orders and spend are
+    Completed orders are de-duplicated by id within the watermark, so an order
+    counts once it is first seen completed; what changes later is corrected by
+    ``corrected_days``. Orders and spend are
     signed flows of one stream, so one stateful aggregate replaces the outer join.
     Rows later than ``delay`` behind the newest event are dropped. State holds the
     ids of ``delay`` days and one row per open day.
     """
     zero = F.lit(0).cast("decimal(12,2)")
     done = (
-        orders.withColumn("at", F.col("order_date").cast("timestamp"))
+        orders.where(F.col("status") == completed)
+        .withColumn("at", F.col("order_date").cast("timestamp"))
         .withWatermark("at", delay)
         .dropDuplicatesWithinWatermark(["order_id"])
-        .where(F.col("status") == completed)
     )
     margin = F.col("gross_revenue") - F.col("cogs") - F.col("shipping_cost")
     sold = done.select(
@@ -101,7 +103,7 @@ def corrected_days(
     """Recompute whole days after corrections that a running sum cannot retract.
 
     ``current`` are the merged orders, ``touched`` the days (column ``date``) that
-    corrected orders belong to; only those days are read and summed.
+    corrected orders belong to; other days are filtered out before they are summed.
     """
     margin = F.col("gross_revenue") - F.col("cogs") - F.col("shipping_cost")
     days = touched.select("date").distinct()

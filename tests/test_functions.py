@@ -180,3 +180,23 @@ def test_other_text(spark):
     assert column(spark, text.multiplier_text(F.lit(3.0))) == "3.00x"
     assert column(spark, text.month_label(F.lit("2025-01-31").cast("date"))) == "Jan 25"
     assert column(spark, text.day_label(F.lit("2025-01-05").cast("date"))) == "Jan 5"
+
+
+def test_amounts_are_summed_by_the_cent_whatever_their_type(spark):
+    doubles = spark.createDataFrame([(0.29,), (1.005,), (-0.29,)], "x double")
+    assert doubles.agg(money_sum("x").alias("s")).collect()[0].s == Decimal("1.00")
+    fine = spark.createDataFrame([(Decimal("0.0199"),)] * 100, "x decimal(10,4)")
+    assert fine.agg(money_sum("x").alias("s")).collect()[0].s == Decimal("2.00")
+
+
+def test_number_text_keeps_three_decimals(spark):
+    for value, want in ((1234.567, "1,234.567"), (1234.5, "1,234.5"), (1200.0, "1,200"), (0.0004, "0")):
+        assert column(spark, text.number_text(F.lit(value))) == want
+
+
+def test_unknown_codes_pass_in_any_base(spark):
+    assert column(spark, to_base(dec("10.00"), F.lit("XYZ"), base="EUR")) == Decimal("10.00")
+    df = spark.createDataFrame([(1, Decimal("108.00"), "usd"), (2, Decimal("7.00"), "XYZ"), (3, Decimal("5.00"), "eur"), (4, Decimal("1.00"), None)], "id int, amt decimal(12,2), cur string")
+    rates = spark.createDataFrame([("EUR", "1.08"), ("eur ", "1.08"), ("USD", "1.0")], "code string, rate string")
+    out = dicts(convert_with_table(df, rates, amount="amt", currency="cur", out="v", base="EUR"), "id")
+    assert [r["v"] for r in out] == [Decimal("100.00"), Decimal("7.00"), Decimal("5.00"), Decimal("1.00")]
