@@ -192,7 +192,10 @@ def raw_order_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def billing_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event table as billing webhooks, as JSON text with its arrival time."""
+    """The event table as billing webhooks, as JSON text with its arrival time.
+
+    Users buy under two billing customers each, and share them with neighbours.
+    """
     user = F.col("user_id").cast("string")
     kind = (
         F.when(F.col("event_type") == "signup", "checkout.session.completed")
@@ -210,7 +213,7 @@ def billing_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(is_checkout, user).alias("userId"),
                     F.when(is_checkout & even, "enterprise").alias("plan"),
                 ).alias("metadata"),
-                F.concat(F.lit("cus_"), user).alias("customer"),
+                F.concat(F.lit("cus_"), (F.col("user_id") + F.col("event_id") % 2).cast("string")).alias("customer"),
                 F.when(even, (F.col("value") * 100).cast("long")).alias("amount_total"),
             ).alias("object")
         ).alias("data"),

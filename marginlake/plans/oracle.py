@@ -524,7 +524,7 @@ def _oracle() -> dict[str, str]:
       {dbl("sum(ad_spend) * case when channel = 'Meta Ads' then 1 else 2 end", 'spend')}, {big('sum(impressions)', 'impressions')},
       {big('sum(clicks)', 'clicks')}, 'USD' as currency from a group by ad_date, channel, campaign_id"""
 
-    q["a7_workspace_scan"] = f"with {RAW} select workspace_id, {big('count(*)', 'orders')}, {dbl('sum(gross_revenue)', 'revenue')} from raw group by 1"
+    q["a7_workspace_scan"] = f"with {RAW} select workspace_id, {big('count(*)', 'orders')}, {dbl('sum(gross_revenue)', 'revenue')} from raw group by 1 union all select 'ws1 alone', {big('count(*)', 'orders')}, {dbl('sum(gross_revenue)', 'revenue')} from raw where workspace_id = 'ws1'"
     q["b1_stg_orders"] = f"""with {STORE} select order_id, customer_id, {stamp('order_timestamp')}, {day('order_date')}, {dbl('gross_revenue')}, {dbl('cogs')},
       {dbl('shipping_cost')}, acquisition_channel, status, {big('is_completed_order')}, {dbl('net_margin')} from o"""
     q["b2_stg_ad_spend"] = f"with {ADS} select {day('ad_date')}, channel, {dbl('ad_spend')}, clicks, impressions from a"
@@ -681,25 +681,43 @@ def _oracle() -> dict[str, str]:
         {dbl('coalesce(profit, 0)', 'net_profit')}, {dbl('coalesce(cac, 0)', 'blended_cac')}, {dbl('coalesce(roas, 0)', 'blended_roas')}
       from td left join d on td.date = d.date"""
     ev = """ev as (
-      select event_id, ts, user_id, event_type, 'cus_' || cast(user_id as varchar) as customer, event_id % 2 = 0 as even,
+      select event_id, ts, user_id, event_type, 'cus_' || cast(user_id + event_id % 2 as varchar) as customer, event_id % 2 = 0 as even,
         cast(value * 100 as bigint) as cents from events)"""
     q["i3_payments"] = f"""with {ev.replace('cast(value * 100 as bigint)', 'cast(trunc(value * 100) as bigint)')} select user_id,
       {dbl('case when even then cents * cast(0.01 as decimal(3,2)) else 499 end', 'amount')}, 'usd' as currency, 'paid' as status, 'stripe' as provider,
       'cs_' || cast(event_id as varchar) as provider_id from ev where event_type = 'signup' and user_id > 0"""
+    # A cancellation hits the user whose checkout named the customer last, if that user has bought under no other since.
     q["i3_current_plans"] = f"""with {ev},
-      b as (select user_id, ts, event_id, case when even then 'enterprise' else 'pro' end as plan from ev where event_type = 'signup' and user_id > 0),
-      c as (select ev.user_id, ts, event_id, 'trial' as plan from ev where event_type = 'error'
-        and exists (select 1 from b where b.user_id = ev.user_id and (b.ts < ev.ts or (b.ts = ev.ts and b.event_id < ev.event_id)))),
-      al as (select * from b union all select * from c)
-      select user_id, plan from al qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1"""
-
-    q["i4_throttle_audit"] = f"""with recursive w(user_id, anchor) as (
-        select user_id, min(ts) from events group by 1
-        union all
-        select w.user_id, min(e.ts) from w join events e on e.user_id = w.user_id and e.ts > w.anchor + interval 432000 second group by 1),
-      b as (select e.user_id, max(w.anchor) as anchor from events e join w on w.user_id = e.user_id and w.anchor <= e.ts group by e.user_id, e.event_id),
-      c as (select user_id, anchor, count(*) as n from b group by 1, 2)
-      select cast(user_id as varchar) as key, {stamp('anchor', 'window_start')}, {big('n', 'events')}, {big('least(n, 10)', 'allowed')}, {big('n - least(n, 10)', 'rejected')} from c"""
+      b as (select *, (ts, event_id) as pt, case when even then 'enterprise' else 'pro' end as plan from ev where event_type = 'signup' and user_id > 0),
+      hit as (
+        select x.customer, (x.ts, x.event_id) as pt, arg_max(b.user_id, b.pt) as user_id
+        from ev x join b on b.customer = x.customer and b.pt < (x.ts, x.event_id) where x.event_type = 'error' group by 1, 2),
+      mine as (select user_id, max(pt) as pt, arg_max(plan, pt) as plan, arg_max(customer, pt) as customer from b group by 1)
+      select user_id, case when exists (
+          select 1 from hit where hit.user_id = mine.user_id and hit.customer = mine.customer and hit.pt > mine.pt)
+        then 'trial' else plan end as plan from mine"""
+    q["i3_activity"] = f"""with {ev},
+      b as (select *, (ts, event_id) as pt, case when even then 'enterprise' else 'pro' end as plan from ev where event_type = 'signup' and user_id > 0),
+      hit as (
+        select x.ts, x.event_id, x.customer, arg_max(b.user_id, b.pt) as user_id
+        from ev x join b on b.customer = x.customer and b.pt < (x.ts, x.event_id) where x.event_type = 'error' group by 1, 2, 3)
+      select user_id, 'billing.upgrade' as action, 'Upgraded to ' || plan || ' via Stripe' as detail, {stamp('ts', '"at"')} from b
+      union all select hit.user_id, 'billing.canceled', 'Subscription canceled — downgraded to Trial', {stamp('hit.ts', '"at"')} from hit
+      where hit.customer = (select arg_max(b.customer, b.pt) from b where b.user_id = hit.user_id and b.pt < (hit.ts, hit.event_id))"""
+    q["i3_stream_plans"] = q["i3_current_plans"]
+
+    for name, allowed, seconds in (("audit", 10, 600), ("hourly", 3, 3600), ("long", 10, 432_000)):
+        q[f"i4_throttle_{name}" if name != "audit" else "i4_throttle_audit"] = f"""with recursive e as (
+            select user_id, ts, count(*) as n from events group by all),
+          w(user_id, anchor) as (
+            select user_id, min(ts) from e group by 1
+            union all
+            select w.user_id, (select min(ts) from e where e.user_id = w.user_id and e.ts > w.anchor + interval {seconds} second) as nx
+            from w where nx is not null),
+          b as (select e.user_id, e.n, w.anchor from e asof join w on w.user_id = e.user_id and w.anchor <= e.ts),
+          c as (select user_id, anchor, sum(n) as n from b group by 1, 2)
+          select cast(user_id as varchar) as key, {stamp('anchor', 'window_start')}, {big('n', 'events')},
+            {big(f'least(n, {allowed})', 'allowed')}, {big(f'n - least(n, {allowed})', 'rejected')} from c"""
 
     active = f"{_HALF_DAILY}, act as (select date, cac, roas, rev from d where rev > 0)"
     refunds = f"""rf as (select date, {pct('r', 'n')} as rate from (

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -191,14 +190,12 @@ def a5_order_events(spark, sf):
 
 @query
 def a7_workspace_scan(spark, sf):
+    """All tenants in one scan, and one of them by itself."""
     o = b.store_orders(spark, sf)
-    per_tenant = [
-        staging.for_workspace(o, ws)
-        .groupBy("workspace_id")
-        .agg(F.count(F.lit(1)).alias("orders"), F.sum("gross_revenue").alias("revenue"))
-        for ws in ("ws0", "ws1", "ws2", "ws3")
-    ]
-    return reduce(DataFrame.unionByName, per_tenant)
+    sums = F.count(F.lit(1)).alias("orders"), F.sum("gross_revenue").alias("revenue")
+    everyone = o.groupBy("workspace_id").agg(*sums)
+    alone = staging.for_workspace(o, "ws1").agg(*sums).select(F.lit("ws1 alone").alias("workspace_id"), "orders", "revenue")
+    return everyone.unionByName(alone)
 
 
 @query
@@ -692,16 +689,41 @@ def i3_current_plans(spark, sf):
     return billing.current_plans(events).select("user_id", "plan")
 
 
+@query
+def i3_stream_plans(spark, sf):
+    """Billing events landed by a stream, then folded."""
+    root = work_dir(spark, "billing")
+    b.billing_events(spark, sf).repartition(3).write.parquet(f"{root}/in")
+    schema = "seq bigint, received_at timestamp, body string"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    billing.land_events(billing.parse_events(stream), f"{root}/log", f"{root}/checkpoint").awaitTermination()
+    return billing.current_plans(spark.read.parquet(f"{root}/log")).select("user_id", "plan")
+
+
+@query
+def i3_activity(spark, sf):
+    return billing.activity(billing.parse_events(b.billing_events(spark, sf)))
+
+
+def _throttled(spark, sf, limit, window):
+    events = b.table(spark, sf, "events")
+    return throttle.audit(events, work_dir(spark, "throttle"), key="user_id", at="ts", limit=limit, window=window)
+
+
 @query
 def i4_throttle_audit(spark, sf):
-    return throttle.audit(
-        b.table(spark, sf, "events"),
-        work_dir(spark, "throttle"),
-        key="user_id",
-        at="ts",
-        limit=10,
-        window=5 * 86_400,
-    )
+    return _throttled(spark, sf, limit=10, window=600)
+
+
+@query
+def i4_throttle_hourly(spark, sf):
+    return _throttled(spark, sf, limit=3, window=3600)
+
+
+@query
+def i4_throttle_long(spark, sf):
+    """Windows of five days: chains of windows with many events each."""
+    return _throttled(spark, sf, limit=10, window=5 * 86_400)
 
 
 # -- promised analyses --------------------------------------------------------------

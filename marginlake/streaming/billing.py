@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from marginlake.functions.money import dec
 from marginlake.schemas import BILLING_EVENT
 
-# Event names, plans and the amount assumed when none is given.
+# Event names, plans, activity texts and the amount assumed when none is given.
 CHECKOUT = "checkout.session.completed"
 CANCELLED = "customer.subscription.deleted"
 DEFAULT_PLAN = "pro"
 CANCELLED_PLAN = "trial"
 DEFAULT_CENTS = 49900
+UPGRADED, UPGRADED_DETAIL = "billing.upgrade", "Upgraded to %s via Stripe"
+ENDED, ENDED_DETAIL = "billing.canceled", "Subscription canceled — downgraded to Trial"
 
 
 def parse_events(landed: DataFrame, body: str = "body") -> DataFrame:
@@ -47,53 +49,78 @@ def payments(events: DataFrame) -> DataFrame:
     )
 
 
-def current_plans(events: DataFrame) -> DataFrame:
-    """The plan each user ends up on: the latest of checkouts and cancellations.
+def _before(key: str) -> WindowSpec:
+    return Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _owned_cancellations(events: DataFrame) -> DataFrame:
+    """user_id, at for each cancellation that hits a user.
 
-    A cancellation names only the billing customer; it counts for the user who
-    first checked out under that customer, if it came later. One pass: events fold
-    to one row per (customer, user) before anything is grouped by customer.
+    A cancellation names only the billing customer. It belongs to the user whose
+    checkout named that customer last before it, and counts if that user has not
+    bought under another customer since: a user keeps only the latest one.
     """
-    bought = F.col("type") == CHECKOUT
-    user = F.coalesce("metadata.userId", "client_reference_id").try_cast("long")
-    at = F.struct("received_at", "seq")
-    plan = F.coalesce("metadata.plan", F.lit(DEFAULT_PLAN))
-    folded = (
-        events.where(F.col("type").isin(CHECKOUT, CANCELLED))
-        .select("customer", F.when(bought, user).alias("user_id"), bought.alias("bought"), at.alias("at"), plan.alias("plan"))
-        .where(~F.col("bought") | (F.col("user_id") > 0))
-        .groupBy("customer", "user_id")
-        .agg(
-            F.max(F.when(F.col("bought"), F.struct("at", "plan"))).alias("latest"),
-            F.min(F.when(F.col("bought"), F.col("at"))).alias("first_at"),
-            F.max(F.when(~F.col("bought"), F.col("at"))).alias("cancelled_at"),
-        )
+    marks = events.where(F.col("type").isin(CHECKOUT, CANCELLED)).select(
+        F.col("customer").alias("customer"),
+        F.struct("received_at", "seq").alias("at"),
+        (F.col("type") == CANCELLED).alias("ends"),
+        F.when(
+            F.col("type") == CHECKOUT, F.coalesce("metadata.userId", "client_reference_id").try_cast("long")
+        ).alias("user_id"),
+    )
+    marks = marks.where(F.col("ends") | (F.col("user_id") > 0))
+    bought = F.when(~F.col("ends"), F.col("user_id"))
+    hits = (
+        marks.where(F.col("customer").isNotNull())
+        .withColumn("owner", F.last(bought, ignorenulls=True).over(_before("customer")))
+        .where(F.col("ends") & F.col("owner").isNotNull())
+        .select(F.col("owner").alias("user_id"), "at", "customer", F.lit(True).alias("ends"))
     )
-    # Checkouts without a customer cannot be cancelled: they stay apart by user.
-    account = F.coalesce("customer", F.concat(F.lit("user:"), F.col("user_id").cast("string")))
-    within = Window.partitionBy("account")
-    owner = F.min(F.when(F.col("user_id").isNotNull(), F.struct("first_at", "user_id"))).over(within)
-    ended = F.max("cancelled_at").over(within)
-    accounts = (
-        folded.withColumn("account", account)
-        .withColumn("owner", owner)
-        .withColumn("ended", ended)
-        .where(F.col("user_id").isNotNull())
+    own = marks.where(~F.col("ends")).select("user_id", "at", "customer", "ends")
+    latest = F.last(F.when(~F.col("ends"), F.struct("customer")), ignorenulls=True).over(_before("user_id"))
+    return (
+        own.unionByName(hits)
+        .withColumn("latest", latest)
+        .where(F.col("ends") & (F.col("latest.customer") == F.col("customer")))
+        .select("user_id", "at")
     )
-    is_ended = (F.col("owner.user_id") == F.col("user_id")) & (F.col("ended") > F.col("first_at"))
-    cancelled = F.when(
-        is_ended, F.struct(F.col("ended").alias("at"), F.lit(CANCELLED_PLAN).alias("plan"))
+
+
+def _upgrades(events: DataFrame) -> DataFrame:
+    return _checkouts(events).select(
+        "user_id",
+        F.struct("received_at", "seq").alias("at"),
+        F.coalesce("metadata.plan", F.lit(DEFAULT_PLAN)).alias("plan"),
     )
+
+
+def current_plans(events: DataFrame) -> DataFrame:
+    """The plan each user ends up on: the latest of checkouts and the cancellations that hit the user."""
+    ended = _owned_cancellations(events).select("user_id", "at", F.lit(CANCELLED_PLAN).alias("plan"))
     return (
-        accounts.select("user_id", F.greatest("latest", cancelled).alias("state"))
+        _upgrades(events)
+        .unionByName(ended)
         .groupBy("user_id")
-        .agg(F.max("state").alias("state"))
-        .select(
-            "user_id",
-            F.col("state.plan").alias("plan"),
-            F.col("state.at.received_at").alias("changed_at"),
-        )
+        .agg(F.max(F.struct("at", "plan")).alias("state"))
+        .select("user_id", F.col("state.plan").alias("plan"), F.col("state.at.received_at").alias("changed_at"))
+    )
+
+
+def activity(events: DataFrame) -> DataFrame:
+    """The activity rows of upgrades and cancellations: user_id, action, detail, at."""
+    bought = _upgrades(events).select(
+        "user_id",
+        F.lit(UPGRADED).alias("action"),
+        F.format_string(UPGRADED_DETAIL, "plan").alias("detail"),
+        F.col("at.received_at").alias("at"),
+    )
+    ended = _owned_cancellations(events).select(
+        "user_id",
+        F.lit(ENDED).alias("action"),
+        F.lit(ENDED_DETAIL).alias("detail"),
+        F.col("at.received_at").alias("at"),
     )
+    return bought.unionByName(ended)
 
 
 def land_events(stream: DataFrame, path: str, checkpoint: str):

@@ -1,132 +1,129 @@
 """Throttle audit: fixed windows per key, anchored at the first event.
 
 A window opens with an event later than the end of the key's previous window and
-lasts ``window`` seconds; of its events the first ``limit`` are allowed. Windows of
-one key chain, so time is cut into slots of one window length and slots run in
-order, each as a distributed job. A slot can open at most one window per key, which
-makes the slot's work two counts and a minimum per key: no task ever holds the
-events of a key.
+lasts ``window`` seconds; of its events the first ``limit`` are allowed.
+
+Every event knows the event that would open the next window, were it to open one
+itself: the first one later than its own time plus the window. The events that do
+open windows are those reached from the start of a chain, and a chain starts
+wherever a key was silent for longer than a window. Reached sets double their
+stride with every round, so rounds grow with the logarithm of the longest chain,
+whatever the length of the calendar. All joins and windows are by key and slot of
+time, so that the events of one key are spread like those of many.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Keys with more events than this in one slot are spread over this many tasks.
-HOT_EVENTS = 1_000_000
-SALTS = 32
+MICROS = 1_000_000
 
-STATE = "key string, anchor timestamp"
-COUNTS = "key string, anchor timestamp, events long"
 
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def _end(anchor: Column, window: int) -> Column:
-    return anchor + F.expr(f"INTERVAL {int(window)} SECONDS")
 
+def _moment(micros: Column) -> Column:
+    return F.timestamp_micros(micros)
 
-def _spread(events: DataFrame, state: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Salt the events of hot keys and copy their one state row to every salt.
-
-    The hot keys are broadcast: a slot has at most events / threshold of them.
-    """
-    flags = F.broadcast(hot.select("key", F.lit(True).alias("hot")))
-    zero = F.lit(0).cast("long")
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("at"), F.lit(SALTS))).otherwise(zero)
-    copies = F.when(F.col("hot"), F.sequence(zero, F.lit(SALTS - 1).cast("long")))
-    return (
-        events.join(flags, "key", "left").withColumn("salt", salt),
-        state.join(flags, "key", "left").select(
-            "key", "anchor", F.explode(F.coalesce(copies, F.array(zero))).alias("salt")
-        ),
-    )
 
+def _successors(times: DataFrame, span: int) -> DataFrame:
+    """key, t, next (the first event later than t + span, if any), starts (nothing in the span before t).
 
-def run_slot(
-    events: DataFrame, state: DataFrame, window: int, hot: DataFrame | None = None
-) -> DataFrame:
-    """Events per (key, window) within one slot, as (key, anchor, events).
-
-    ``events`` (key, at) must span at most ``window`` seconds and come after all
-    events behind ``state`` (key, anchor of the last window).
+    ``times``: distinct key, t (microseconds), slot = floor(t / span). What lies
+    within a span of an event is in its own slot or a neighbouring one, and the
+    event behind a whole empty slot starts a chain anyway. So each slot is
+    given copies of its neighbours' events as far as they matter: all of the
+    next slot, the first of the one after it, the last of the one before.
     """
-    keys = ["key"]
-    if hot is not None:
-        keys = ["key", "salt"]
-        events, state = _spread(events, state, hot)
-    opens = F.col("anchor").isNull() | (F.col("at") > _end(F.col("anchor"), window))
-    partial = (
-        events.join(state, keys, "left")
-        .groupBy(*keys, opens.alias("opened"))
-        .agg(
-            F.count(F.lit(1)).alias("events"),
-            F.min("at").alias("first"),
-            F.max("anchor").alias("anchor"),
-        )
+    ends = times.groupBy("key", "slot").agg(F.min("t").alias("low"), F.max("t").alias("high"))
+    row = lambda slot, t, asks, own: (
+        "key", slot.alias("slot"), t.alias("t"), F.lit(asks).alias("asks"), F.lit(own).alias("own"),
+    )
+    slot, t = F.col("slot"), F.col("t")
+    rows = (
+        times.select(*row(slot, t, 0, True))
+        .unionByName(times.select(*row(slot, t + span, 1, True)))
+        .unionByName(times.select(*row(slot - 1, t, 0, False)))
+        .unionByName(ends.select(*row(slot - 2, F.col("low"), 0, False)))
+        .unionByName(ends.select(*row(slot + 1, F.col("high"), 0, False)))
+    )
+    # Backwards in time the least event so far is the nearest later one; a
+    # question at the very time of an event comes before it and does not see it.
+    later = (
+        Window.partitionBy("key", "slot")
+        .orderBy(F.col("t").desc(), F.col("asks").desc())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    if hot is not None:
-        partial = partial.groupBy("key", "opened").agg(
-            F.sum("events").alias("events"),
-            F.min("first").alias("first"),
-            F.max("anchor").alias("anchor"),
+    # Events only; a slot's neighbours may bring one event twice.
+    earlier = Window.partitionBy("key", "slot", "asks").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+    looked = rows.withColumn("next", F.min(F.when(F.col("asks") == 0, t)).over(later)).withColumn(
+        "before", F.max("t").over(earlier)
+    )
+    answers = looked.where("own").groupBy("key", F.when(F.col("asks") == 1, t - span).otherwise(t).alias("t"))
+    return answers.agg(
+        F.max(F.when(F.col("asks") == 1, F.col("next"))).alias("next"),
+        F.max(F.when(F.col("asks") == 0, F.col("before"))).alias("before"),
+    ).select("key", "t", "next", (F.col("before").isNull() | (t - F.col("before") > span)).alias("starts"))
+
+
+def window_starts(times: DataFrame, span: int, root: str) -> DataFrame:
+    """key, t of every event that opens a window; tables of each round go to ``root``."""
+    linked = _stored(_successors(times, span), f"{root}/linked")
+    reached = linked.where("starts").select("key", "t")
+    jumps = linked.where("next is not null").select("key", "t", "next")
+    known, k = -1, 0
+    while True:
+        reached = _stored(reached, f"{root}/reached-{k}")
+        count = reached.count()
+        if count == known:
+            return reached
+        known, k = count, k + 1
+        ahead = reached.join(jumps, ["key", "t"]).select("key", F.col("next").alias("t"))
+        onward = jumps.select("key", F.col("t").alias("next"), F.col("next").alias("then"))
+        jumps = _stored(
+            jumps.join(onward, ["key", "next"]).select("key", "t", F.col("then").alias("next")), f"{root}/jumps-{k}"
         )
-    anchor = F.when(F.col("opened"), F.col("first")).otherwise(F.col("anchor"))
-    return partial.select("key", anchor.alias("anchor"), "events")
-
-
-def audit(
-    events: DataFrame,
-    root: str,
-    *,
-    key: str,
-    at: str,
-    limit: int,
-    window: int,
-    hot_events: int = HOT_EVENTS,
-) -> DataFrame:
+        reached = reached.unionByName(ahead).distinct()
+
+
+def audit(events: DataFrame, root: str, *, key: str, at: str, limit: int, window: int) -> DataFrame:
     """Windows per key with their events, allowed and rejected counts.
 
-    Lands the two needed columns once, in one folder per slot under ``root`` (a
-    shared folder); each slot then reads its own folder and writes its counts,
-    which carry the open windows to the next slot and cut the lineage.
+    ``root`` is a shared folder for the tables of the rounds. Events are counted
+    per key and instant first; only instants are linked and joined. Events
+    without a time are left out; a null key is a key like any other.
     """
-    spark = events.sparkSession
-    moment = F.col(at).cast("timestamp")
-    slot = F.floor(F.unix_seconds(moment) / F.lit(window)).cast("long")
-    events.select(
-        F.col(key).cast("string").alias("key"), moment.alias("at"), slot.alias("slot")
-    ).write.mode("overwrite").partitionBy("slot").parquet(f"{root}/events")
-
-    landed = spark.read.schema("key string, at timestamp, slot long").parquet(f"{root}/events")
-    per_key = landed.groupBy("slot", "key").count()
-    # One row per slot reaches the driver: bounded by the calendar, not by the events.
-    busiest = {
-        r["slot"]: r["most"] for r in per_key.groupBy("slot").agg(F.max("count").alias("most")).collect()
-    }
-    state = spark.createDataFrame([], STATE)
-    for s in sorted(busiest):
-        hot = None
-        if busiest[s] > hot_events:
-            hot = per_key.where((F.col("slot") == s) & (F.col("count") > hot_events))
-        mine = landed.where(F.col("slot") == s).select("key", "at")
-        path = f"{root}/counts/slot={s}"
-        run_slot(mine, state, window, hot).write.mode("overwrite").parquet(path)
-        # A window reaches into the next slot at most; older ones cannot matter again.
-        done = spark.read.schema(COUNTS).parquet(path)
-        state = done.groupBy("key").agg(F.max("anchor").alias("anchor"))
-    if not busiest:
-        return _report(spark.createDataFrame([], COUNTS), limit)
-    return _report(spark.read.schema(f"{COUNTS}, slot long").parquet(f"{root}/counts"), limit)
-
-
-def _report(counts: DataFrame, limit: int) -> DataFrame:
+    span = window * MICROS
+    none = F.col(key).isNull()
+    t = F.unix_micros(F.col(at).cast("timestamp"))
+    counted = events.where(F.col(at).isNotNull()).groupBy(
+        F.when(none, "-").otherwise(F.concat(F.lit("="), F.col(key).cast("string"))).alias("key"), t.alias("t")
+    )
+    instants = _stored(
+        counted.agg(F.count("*").alias("events")).withColumn("slot", F.floor(F.col("t") / span)), f"{root}/instants"
+    )
+    starts = window_starts(instants.select("key", "t", "slot"), span, root)
+    # Slots are as long as windows: each holds at most one start, and a window reaches into the next slot at most.
+    opened = starts.select("key", F.floor(F.col("t") / span).alias("slot"), F.col("t").alias("anchor"))
+    here = opened.withColumn("shift", F.lit(0))
+    there = opened.select("key", (F.col("slot") + 1).alias("slot"), "anchor", F.lit(1).alias("shift"))
+    both = here.unionByName(there).groupBy("key", "slot").agg(
+        F.max(F.when(F.col("shift") == 0, F.col("anchor"))).alias("own"),
+        F.max(F.when(F.col("shift") == 1, F.col("anchor"))).alias("earlier"),
+    )
+    placed = instants.join(both, ["key", "slot"]).withColumn(
+        "anchor", F.when(F.col("own") <= F.col("t"), F.col("own")).otherwise(F.col("earlier"))
+    )
     allowed = F.least(F.col("events"), F.lit(limit).cast("long"))
     return (
-        counts.groupBy("key", F.col("anchor").alias("window_start"))
+        placed.groupBy("key", "anchor")
         .agg(F.sum("events").alias("events"))
         .select(
-            "key",
-            "window_start",
+            F.when(F.col("key") != "-", F.substring("key", 2, 2_000_000_000)).alias("key"),
+            _moment(F.col("anchor")).alias("window_start"),
             "events",
             allowed.alias("allowed"),
             (F.col("events") - allowed).alias("rejected"),

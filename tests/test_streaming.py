@@ -149,6 +149,39 @@ def test_billing_fold(spark):
     assert (paid["cs_3"]["amount"], paid["cs_3"]["currency"]) == (99, "eur")
 
 
+def test_cancellation_hits_the_user_who_still_has_the_customer(spark):
+    rows = [
+        event("checkout.session.completed", 1, "cus_a", 1),
+        event("checkout.session.completed", 1, "cus_b", 2),
+        event("customer.subscription.deleted", None, "cus_a", 3),  # user 1 has cus_b by now
+        event("checkout.session.completed", 2, "cus_c", 4),
+        event("checkout.session.completed", 3, "cus_c", 5),
+        event("customer.subscription.deleted", None, "cus_c", 6),  # user 3 named it last
+    ]
+    events = billing.parse_events(spark.createDataFrame(rows, "seq long, received_at timestamp, body string"))
+    plans = {r["user_id"]: r["plan"] for r in dicts(billing.current_plans(events))}
+    assert plans == {1: "pro", 2: "pro", 3: "trial"}
+    log = [(r["user_id"], r["action"]) for r in dicts(billing.activity(events), "at")]
+    assert log == [(1, "billing.upgrade"), (1, "billing.upgrade"), (2, "billing.upgrade"), (3, "billing.upgrade"), (3, "billing.canceled")]
+
+
+def test_order_counts_once_it_is_completed(spark, tmp_path):
+    """Pending in one batch, completed in the next, completed again in the third."""
+    schema = "order_id string, order_date timestamp, gross_revenue decimal(12,2), cogs decimal(12,2), shipping_cost decimal(10,2), status string"
+    day = dt.datetime(2025, 1, 1)
+    for k, status in enumerate(("Pending", "Completed", "Completed")):
+        row = ("1", day, Decimal("10.00"), Decimal("3.00"), Decimal("1.00"), status)
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "o"))
+        ads = spark.createDataFrame([(day, Decimal("1.00"))], "date timestamp, spend decimal(12,2)")
+        if k == 0:
+            ads.coalesce(1).write.parquet(str(tmp_path / "a"))
+        o = spark.readStream.schema(schema).parquet(str(tmp_path / "o"))
+        a = spark.readStream.schema(ads.schema).parquet(str(tmp_path / "a"))
+        live.save_updates(live.daily_flows(o, a), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    updates = spark.read.option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out/batch=*"))
+    assert [(r["n"], r["revenue"], r["spend"]) for r in dicts(live.latest_days(updates))] == [(1, Decimal("10.00"), Decimal("1.00"))]
+
+
 def test_billing_stream_equals_batch(spark, tmp_path):
     landed = spark.createDataFrame(BILLING, "seq long, received_at timestamp, body string")
     landed.repartition(3).write.parquet(str(tmp_path / "in"))
@@ -173,16 +206,18 @@ def brute_force_windows(events, window, limit):
     return sorted((k, s, n, min(n, limit), max(n - limit, 0)) for (k, s), n in out.items())
 
 
-@pytest.mark.parametrize("hot_events", [1_000_000, 3])
-def test_throttle_equals_brute_force(spark, tmp_path, hot_events):
+@pytest.mark.parametrize("window", [1, 60, 600])
+def test_throttle_equals_brute_force(spark, tmp_path, window):
     rng = random.Random(5)
     base = dt.datetime(2025, 1, 1)
     events = [("hot" if rng.random() < 0.5 else f"k{rng.randrange(5)}", base + dt.timedelta(seconds=rng.randrange(4000))) for _ in range(300)]
     events += [("edge", base), ("edge", base + dt.timedelta(seconds=600)), ("edge", base + dt.timedelta(seconds=601))]
     df = spark.createDataFrame(events, "who string, ts timestamp")
-    got = throttle.audit(df, str(tmp_path / "t"), key="who", at="ts", limit=4, window=600, hot_events=hot_events)
+    events += [("ties", base + dt.timedelta(seconds=s)) for s in (5, 5, 5, 5, 5, 5)]
+    df = spark.createDataFrame(events, "who string, ts timestamp")
+    got = throttle.audit(df, str(tmp_path / "t"), key="who", at="ts", limit=4, window=window)
     rows = sorted((r["key"], r["window_start"], r["events"], r["allowed"], r["rejected"]) for r in dicts(got))
-    assert rows == brute_force_windows(events, 600, 4)
+    assert rows == brute_force_windows(events, window, 4)
 
 
 def test_throttle_of_nothing(spark, tmp_path):
