@@ -471,25 +471,33 @@ def _oracle() -> dict[str, str]:
     q: dict[str, str] = {}
 
     q["a1_ad_spend_csv"] = f"""with {ADS} select {day('ad_date', 'date')}, channel, {big('count(*)', 'n')}, {dbl('sum(ad_spend)', 'spend')},
-      {big('sum(clicks)', 'clicks')}, {big('sum(impressions)', 'impressions')} from a group by ad_date, channel"""
+      {big('sum(clicks)', 'clicks')}, {big('sum(impressions)', 'impressions')} from a where clicks % 50 <> 49 group by ad_date, channel"""
+    q["a1_quarantine"] = f"""with {ADS} select 'ad_spend_csv' as source_system, 'spend: not a number: n/a' as error_reason, {big('count(*)', 'n')}
+      from a where clicks % 50 = 49 having count(*) > 0"""
     q["a2_orders_export"] = f"""with {_FEED} select order_id, customer_id, {stamp('order_date')}, {dbl('gross_revenue')}, {dbl('cogs')},
       cast(0 as double) as shipping_cost, 'Organic / Direct' as acquisition_channel, 'Completed' as status, {_GOOD_TAIL}
       from feed where k % 101 <> 0 and k % 103 <> 0"""
     q["a3_storefront_orders"] = f"""select cast(o_orderkey as varchar) as order_id,
       'CUST_' || case when o_orderstatus = 'O' then 'GUEST' else cast(o_custkey as varchar) end as customer_id,
-      strftime(o_orderdate, '%Y-%m-%d') as order_date, {dbl(_GROSS, 'gross_revenue')}, {dbl(f'round({_GROSS} * {_C35}, 2)', 'cogs')},
+      {stamp('o_orderdate', 'order_date')}, {dbl(_GROSS, 'gross_revenue')}, {dbl(f'round({_GROSS} * {_C35}, 2)', 'cogs')},
       cast(case when o_orderpriority = '1-URGENT' then 9.5 else 5 end as double) as shipping_cost,
       case when o_orderpriority = '2-HIGH' then 'pos' else 'Shopify Web' end as acquisition_channel,
-      case when o_orderstatus = 'P' then 'Refunded' else 'Completed' end as status from orders"""
+      case when o_orderstatus = 'P' then 'Refunded' else 'Completed' end as status from orders where o_orderkey % 89 <> 0 and o_orderkey % 97 <> 0"""
+    q["a3_quarantine"] = f"""select 'storefront' as source_system, case when o_orderkey % 97 = 0 then 'malformed record' else 'gross_revenue: not a number: BAD' end as error_reason,
+      {big('count(*)', 'n')} from orders where o_orderkey % 89 = 0 or o_orderkey % 97 = 0 group by 2"""
     q["a4_ad_insights"] = f"""select {day('l_shipdate', 'date')}, 'Meta Ads' as channel, {dbl('sum(cast(l_extendedprice as decimal(12,2)))', 'spend')},
       {big('sum(l_linenumber)', 'clicks')}, {big("sum(case when l_returnflag <> 'A' then l_quantity else 0 end)", 'impressions')}
-      from lineitem where cast(l_shipdate as date) between date '2001-06-30' - interval 365 day and date '2001-06-30' group by l_shipdate"""
+      from lineitem where l_partkey % 83 <> 0 and cast(l_shipdate as date) between date '2001-06-30' - interval 365 day and date '2001-06-30' group by l_shipdate"""
+    q["a4_quarantine"] = f"""select 'insights' as source_system, 'spend: not a number: 1,5' as error_reason, {big('count(*)', 'n')} from lineitem
+      where l_partkey % 83 = 0 and cast(l_shipdate as date) between date '2001-06-30' - interval 365 day and date '2001-06-30' having count(*) > 0"""
     revenue = "coalesce(case when event_type <> 'click' then cast(value as decimal(12,2)) end, 0)"
     q["a5_order_events"] = f"""select case when event_type <> 'view' then cast(event_id as varchar) else 'ORD_' || cast(floor(epoch(ts)) as bigint) || '_'
         || left(md5(case when event_type <> 'error' then cast(user_id as varchar) else '' end || '|' || case when event_type <> 'click' then cast(cast(value as decimal(12,2)) as varchar) else '' end), 12) end as order_id,
       'CUST_' || left(sha256(case when event_type <> 'error' then cast(user_id as varchar) else 'GUEST' end || '_salt'), 16) as customer_id,
       {stamp('ts', 'order_date')}, {dbl(revenue, 'gross_revenue')}, {dbl(f'round({revenue} * {_C35}, 2)', 'cogs')},
-      cast(5 as double) as shipping_cost, 'Shopify Web' as acquisition_channel, 'Completed' as status from events"""
+      cast(5 as double) as shipping_cost, 'Shopify Web' as acquisition_channel, 'Completed' as status from events where event_type = 'click' or event_id % 79 <> 0"""
+    q["a5_quarantine"] = f"""select 'webhook' as source_system, 'gross_revenue: not a number: BAD' as error_reason, {big('count(*)', 'n')} from events
+      where event_type <> 'click' and event_id % 79 = 0 having count(*) > 0"""
     q["a8_good_orders"] = f"""with {_FEED} select order_id, customer_id, {stamp('order_date')}, {dbl('gross_revenue')}, {dbl('cogs')},
       cast(0 as double) as shipping_cost, coalesce(acquisition_channel, 'Organic / Direct') as acquisition_channel, status,
       {_GOOD_TAIL}, '' as landing_site from feed where k % 101 <> 0 and k % 103 <> 0"""

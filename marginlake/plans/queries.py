@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +30,7 @@ from marginlake.operators import (
 )
 from marginlake.plans import bindings as b
 from marginlake.plans import warehouse
-from marginlake.schemas import INSIGHTS_PAGE, ORDER_EVENT, STOREFRONT_PAGE
+from marginlake.schemas import ORDER_EVENT
 from marginlake.session import work_dir
 from marginlake.sources import files, merge, sinks, validate
 from marginlake.streaming import billing, changelog, ingest, live, throttle
@@ -108,23 +108,33 @@ def _mer(spark: SparkSession, sf: str) -> DataFrame:
 # -- sources, validation, merge, sinks ---------------------------------------
 
 
-@query
-def a1_ad_spend_csv(spark, sf):
+def _spend_csv(spark, sf):
+    """Ad spend as CSV files, some cells broken."""
     path = work_dir(spark, "ad-spend-csv")
     rows = b.store_ad_spend(spark, sf).select("date", "channel", "spend", "clicks", "impressions")
+    bad = F.col("clicks") % 50 == 49
+    rows = rows.withColumn("spend", F.when(bad, F.lit("n/a")).otherwise(F.col("spend").cast("string")))
     rows.write.option("header", True).csv(path)
-    return (
-        files.read_ad_spend_csv(spark, path)
-        .groupBy("date", "channel")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("spend").alias("spend"),
-            F.sum("clicks").alias("clicks"),
-            F.sum("impressions").alias("impressions"),
-        )
+    return files.read_ad_spend_csv(spark, path)
+
+
+@query
+def a1_ad_spend_csv(spark, sf):
+    good, _ = validate.split_ad_spend(_spend_csv(spark, sf), "ad_spend_csv")
+    return good.groupBy("date", "channel").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("spend").alias("spend"),
+        F.sum("clicks").alias("clicks"),
+        F.sum("impressions").alias("impressions"),
     )
 
 
+@query
+def a1_quarantine(spark, sf):
+    _, dead = validate.split_ad_spend(_spend_csv(spark, sf), "ad_spend_csv")
+    return dead.groupBy("source_system", "error_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def a2_orders_export(spark, sf):
     path = work_dir(spark, "orders-export")
@@ -135,10 +145,27 @@ def a2_orders_export(spark, sf):
     return good.drop("landing_site")
 
 
-@query
-def a3_storefront_orders(spark, sf):
+def _landed(df: DataFrame, body: Column, broken: Column, name: str) -> str:
+    """JSON documents of one page each as files; where ``broken``, cut off in the middle."""
+    path = work_dir(df.sparkSession, name)
+    text = F.to_json(body)
+    half = F.substring(text, F.lit(1), F.floor(F.length(text) / 2).cast("int"))
+    df.select(F.when(broken, half).otherwise(text).alias("value")).write.text(path)
+    return path
+
+
+ORDER_CELLS = (
+    "order_id", "customer_id", "order_date", "gross_revenue", "cogs", "shipping_cost", "acquisition_channel", "status",
+)
+
+
+def _reasons(dead: DataFrame) -> DataFrame:
+    return dead.groupBy("source_system", "error_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _storefront(spark, sf):
     key = F.col("o_orderkey")
-    price = F.col("o_totalprice").cast("decimal(12,2)").cast("string")
+    price = F.when(key % 89 == 0, "BAD").otherwise(F.col("o_totalprice").cast("decimal(12,2)").cast("string"))
     page = F.struct(
         F.array(
             F.struct(
@@ -155,37 +182,68 @@ def a3_storefront_orders(spark, sf):
             )
         ).alias("orders")
     )
-    landed = b.table(spark, sf, "orders").select(F.to_json(page).alias("body"))
-    pages = landed.select(F.from_json("body", STOREFRONT_PAGE).alias("p")).select("p.*")
-    return files.storefront_orders(pages)
+    path = _landed(b.table(spark, sf, "orders"), page, key % 97 == 0, "storefront")
+    rows = files.storefront_orders(files.read_storefront_pages(spark, path))
+    return validate.split_orders(rows, "storefront")
 
 
 @query
-def a4_ad_insights(spark, sf):
+def a3_storefront_orders(spark, sf):
+    return _storefront(spark, sf)[0].select(*ORDER_CELLS)
+
+
+@query
+def a3_quarantine(spark, sf):
+    """Broken pages and broken prices."""
+    return _reasons(_storefront(spark, sf)[1])
+
+
+def _insights(spark, sf):
+    part = F.col("l_partkey")
     day = F.struct(
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("date_start"),
-        F.col("l_extendedprice").cast("decimal(12,2)").cast("string").alias("spend"),
+        F.when(part % 83 == 0, "1,5").otherwise(F.col("l_extendedprice").cast("decimal(12,2)").cast("string")).alias("spend"),
         F.when(F.col("l_returnflag") != "A", F.col("l_quantity").cast("long").cast("string")).alias("impressions"),
         F.col("l_linenumber").cast("string").alias("clicks"),
     )
-    landed = b.table(spark, sf, "lineitem").select(F.to_json(F.struct(F.array(day).alias("data"))).alias("body"))
-    pages = landed.select(F.from_json("body", INSIGHTS_PAGE).alias("p")).select("p.*")
-    rows = files.ad_insights(pages, as_of=dt.date(2001, 6, 30), days_back=365)
-    return rows.groupBy("date", "channel").agg(
+    lines = b.table(spark, sf, "lineitem")
+    path = _landed(lines, F.struct(F.array(day).alias("data")), F.lit(False), "insights")
+    rows = files.ad_insights(files.read_insights_pages(spark, path), as_of=dt.date(2001, 6, 30), days_back=365)
+    return validate.split_ad_spend(rows, "insights")
+
+
+@query
+def a4_ad_insights(spark, sf):
+    return _insights(spark, sf)[0].groupBy("date", "channel").agg(
         *[F.sum(c).alias(c) for c in ("spend", "clicks", "impressions")]
     )
 
 
 @query
-def a5_order_events(spark, sf):
+def a4_quarantine(spark, sf):
+    return _reasons(_insights(spark, sf)[1])
+
+
+def _order_events(spark, sf):
+    value = F.when(F.col("event_id") % 79 == 0, "BAD").otherwise(F.col("value").cast("decimal(12,2)").cast("string"))
     body = F.struct(
         F.when(F.col("event_type") != "view", F.col("event_id").cast("string")).alias("order_id"),
         F.when(F.col("event_type") != "error", F.col("user_id").cast("string")).alias("customer_id"),
-        F.when(F.col("event_type") != "click", F.col("value").cast("decimal(12,2)").cast("string")).alias("gross_revenue"),
+        F.when(F.col("event_type") != "click", value).alias("gross_revenue"),
     )
     landed = b.table(spark, sf, "events").select(F.to_json(body).alias("body"), "ts")
     events = landed.select(F.from_json("body", ORDER_EVENT).alias("e"), "ts").select("e.*", "ts")
-    return files.order_events(events, salt=b.SALT, arrived="ts")
+    return validate.split_orders(files.order_events(events, salt=b.SALT, arrived="ts"), "webhook")
+
+
+@query
+def a5_order_events(spark, sf):
+    return _order_events(spark, sf)[0].select(*ORDER_CELLS)
+
+
+@query
+def a5_quarantine(spark, sf):
+    return _reasons(_order_events(spark, sf)[1])
 
 
 @query

@@ -7,10 +7,12 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marginlake import schemas
 from marginlake.functions.identity import pseudonym
-from marginlake.functions.money import dec, default_cogs
+from marginlake.functions.money import dec
+from marginlake.sources.validate import CORRUPT
 
 # Fixed values used where a feed leaves a field out.
 STOREFRONT_CHANNEL = "Shopify Web"
@@ -20,12 +22,22 @@ DEFAULT_SHIPPING = "5.0"
 DEFAULT_CAMPAIGN = "default_campaign"
 
 
+def _with_corrupt(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+
+
 def read_ad_spend_csv(spark: SparkSession, path: str) -> DataFrame:
-    """date, channel, spend, clicks, impressions; header row, fixed schema, no inference."""
+    """date, channel, spend, clicks, impressions as text, ready to validate.
+
+    Header row, fixed columns, no inference. A line of other columns is kept
+    whole in ``_corrupt_record``, and validation quarantines it.
+    """
+    cells = T.StructType([T.StructField(f.name, T.StringType()) for f in schemas.AD_SPEND_CSV.fields])
     return (
-        spark.read.schema(schemas.AD_SPEND_CSV)
+        spark.read.schema(_with_corrupt(cells))
         .option("header", True)
-        .option("mode", "FAILFAST")
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", CORRUPT)
         .csv(path)
     )
 
@@ -44,72 +56,87 @@ def read_orders_export(
     return raw.select(*[f.name for f in schemas.ORDERS.fields if f.name in raw.columns])
 
 
+def _read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(_with_corrupt(schema)).option("columnNameOfCorruptRecord", CORRUPT).json(path)
+
+
 def read_storefront_pages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.STOREFRONT_PAGE).json(path)
+    """Landed order pages; what is no JSON is kept in ``_corrupt_record``."""
+    return _read_json(spark, path, schemas.STOREFRONT_PAGE)
 
 
 def read_insights_pages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.INSIGHTS_PAGE).json(path)
+    """Landed insight pages; what is no JSON is kept in ``_corrupt_record``."""
+    return _read_json(spark, path, schemas.INSIGHTS_PAGE)
 
 
-def _amount(c: Column, default: str) -> Column:
-    return F.coalesce(c.cast("decimal(12,2)"), dec(default, 12, 2))
+def _corrupt(df: DataFrame) -> Column:
+    return F.col(CORRUPT) if CORRUPT in df.columns else F.lit(None).cast("string")
+
+
+def _rows_of(pages: DataFrame, items: str) -> DataFrame:
+    """A row for each item of a page, and one for each page that is none."""
+    kind = pages.schema[items].dataType
+    broken = _corrupt(pages)
+    all_items = F.when(broken.isNotNull(), F.array(F.lit(None).cast(kind.elementType))).otherwise(F.col(items))
+    return pages.select(F.explode(all_items).alias("i"), broken.alias(CORRUPT))
 
 
 def storefront_orders(pages: DataFrame) -> DataFrame:
-    """Flatten storefront order pages; works on batch and streaming frames alike."""
-    o = pages.select(F.explode("orders").alias("o"))
-    price = _amount(F.col("o.total_price"), "0")
+    """Storefront order pages as raw order rows: text, ready to validate.
+
+    Works on batch and streaming frames alike. Cost of goods is left to
+    validation, which also quarantines amounts and dates that are none.
+    """
+    o = _rows_of(pages, "orders")
     return o.select(
-        F.col("o.id").alias("order_id"),
-        F.concat(F.lit("CUST_"), F.coalesce("o.customer.id", F.lit(GUEST))).alias("customer_id"),
-        F.col("o.created_at").alias("order_date"),
-        price.alias("gross_revenue"),
-        default_cogs(price).alias("cogs"),
-        _amount(F.col("o.total_shipping_price_set.shop_money.amount"), DEFAULT_SHIPPING).alias(
-            "shipping_cost"
-        ),
-        F.coalesce("o.source_name", F.lit(STOREFRONT_CHANNEL)).alias("acquisition_channel"),
-        F.when(F.col("o.financial_status") == "refunded", "Refunded")
-        .otherwise("Completed")
-        .alias("status"),
+        F.col("i.id").alias("order_id"),
+        F.concat(F.lit("CUST_"), F.coalesce("i.customer.id", F.lit(GUEST))).alias("customer_id"),
+        F.col("i.created_at").alias("order_date"),
+        F.coalesce("i.total_price", F.lit("0")).alias("gross_revenue"),
+        F.coalesce("i.total_shipping_price_set.shop_money.amount", F.lit(DEFAULT_SHIPPING)).alias("shipping_cost"),
+        F.coalesce("i.source_name", F.lit(STOREFRONT_CHANNEL)).alias("acquisition_channel"),
+        F.when(F.col("i.financial_status") == "refunded", "Refunded").otherwise("Completed").alias("status"),
+        CORRUPT,
     )
 
 
 def ad_insights(
     pages: DataFrame, *, as_of: dt.date, days_back: int = 30, channel: str = AD_PLATFORM_CHANNEL
 ) -> DataFrame:
-    """Daily insights within [as_of - days_back, as_of], typed, under one channel name."""
-    d = pages.select(F.explode("data").alias("d"))
-    day = F.col("d.date_start").cast("date")
-    first = as_of - dt.timedelta(days=days_back)
-    return d.where(day.between(F.lit(first), F.lit(as_of))).select(
-        day.alias("date"),
+    """Daily insights within [as_of - days_back, as_of] as raw ad-spend rows: text, ready to validate.
+
+    Rows whose day cannot be read stay, for the quarantine.
+    """
+    d = _rows_of(pages, "data")
+    day = F.col("i.date_start").try_cast("date")
+    inside = day.between(F.lit(as_of - dt.timedelta(days=days_back)), F.lit(as_of))
+    return d.where(F.coalesce(inside, F.lit(True))).select(
+        F.col("i.date_start").alias("date"),
         F.lit(channel).alias("channel"),
-        _amount(F.col("d.spend"), "0").alias("spend"),
-        F.coalesce(F.col("d.clicks").cast("long"), F.lit(0)).alias("clicks"),
-        F.coalesce(F.col("d.impressions").cast("long"), F.lit(0)).alias("impressions"),
+        F.col("i.spend").alias("spend"),
+        F.col("i.clicks").alias("clicks"),
+        F.col("i.impressions").alias("impressions"),
+        CORRUPT,
     )
 
 
 def order_events(events: DataFrame, *, salt: str, arrived: str | None = None) -> DataFrame:
-    """Webhook order events as orders; the customer becomes a pseudonym.
+    """Webhook order events as raw order rows, ready to validate; the customer becomes a pseudonym.
 
     ``arrived`` names the arrival-time column; without it, arrival is now. An event
     without an order id takes one from its arrival second and a hash of what it says:
     such events are one order only if they say the same in the same second.
     """
     at = F.col(arrived).cast("timestamp") if arrived else F.current_timestamp()
-    revenue = F.coalesce(F.col("gross_revenue").cast("decimal(12,2)"), dec("0", 12, 2))
     said = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("customer_id", "gross_revenue")])
     made_up_id = F.concat(F.lit("ORD_"), F.unix_seconds(at).cast("string"), F.lit("_"), F.substring(F.md5(said), 1, 12))
     return events.select(
         F.coalesce("order_id", made_up_id).alias("order_id"),
         pseudonym(F.coalesce("customer_id", F.lit(GUEST)), salt).alias("customer_id"),
         at.alias("order_date"),
-        revenue.alias("gross_revenue"),
-        default_cogs(revenue).alias("cogs"),
-        dec(DEFAULT_SHIPPING, 10, 2).alias("shipping_cost"),
+        F.coalesce(F.col("gross_revenue").cast("string"), F.lit("0")).alias("gross_revenue"),
+        F.lit(DEFAULT_SHIPPING).alias("shipping_cost"),
         F.lit(STOREFRONT_CHANNEL).alias("acquisition_channel"),
         F.lit("Completed").alias("status"),
     )

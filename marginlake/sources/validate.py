@@ -1,7 +1,8 @@
-"""Order validation: typed rows out, bad rows to quarantine with their reasons."""
+"""Validation of orders and ad spend: typed rows out, bad rows to quarantine with their reasons."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -38,6 +39,18 @@ ORDER_FIELDS = (
 )
 
 
+# The ad-spend fields with their limits and defaults.
+AD_SPEND_FIELDS = (
+    Field("date", "date", required=True),
+    Field("channel", "string", required=True, max_length=100),
+    Field("spend", "decimal(12,2)", default="0"),
+    Field("clicks", "bigint", default="0"),
+    Field("impressions", "bigint", default="0"),
+)
+
+#: Where readers put a record that is none (broken JSON, a line of other columns).
+CORRUPT = "_corrupt_record"
+
 FULL_DATE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]|$)"
 
 
@@ -67,7 +80,7 @@ def _is_bad(f: Field, text: Column) -> Column:
             return F.lit(False)
         return F.coalesce(F.length(text) > f.max_length, F.lit(False))
     unreadable = text.try_cast(f.type).isNull()
-    if f.type == "timestamp":  # a bare time or year is no date
+    if f.type in ("timestamp", "date"):  # a bare time or year is no date
         unreadable = unreadable | ~text.rlike(FULL_DATE)
     return unreadable if f.required else text.isNotNull() & unreadable
 
@@ -76,8 +89,8 @@ def _reason(f: Field, text: Column) -> Column:
     """Why a bad cell cannot be stored, NULL for a good one."""
     if f.type == "string":
         why = F.lit(f"{f.name}: longer than {f.max_length}")
-    elif f.type == "timestamp":
-        why = F.concat(F.lit(f"{f.name}: not a timestamp: "), text)
+    elif f.type in ("timestamp", "date"):
+        why = F.concat(F.lit(f"{f.name}: not a {f.type}: "), text)
     else:
         number = text.try_cast("double")
         what = F.when(number.isNull() | F.isnan(number), "not a number").otherwise("out of range")
@@ -86,31 +99,51 @@ def _reason(f: Field, text: Column) -> Column:
     return F.when(_is_bad(f, text), missing.otherwise(why))
 
 
-def check_orders(raw: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Typed order columns plus ``_ok``, ``_reasons`` (array) and ``_payload`` (the raw row).
-
-    Pure column expressions: one narrow projection, no shuffle, no Python. Reasons
-    and payload are only computed where the dead letters are read.
-    """
-    cells = {f.name: _text(raw, f) for f in ORDER_FIELDS}
-    bad = reduce(or_, [_is_bad(f, cells[f.name]) for f in ORDER_FIELDS])
-    reasons = F.array_compact(F.array(*[_reason(f, cells[f.name]) for f in ORDER_FIELDS]))
-    revenue = cells["gross_revenue"].try_cast("decimal(12,2)")
+def _check(
+    raw: DataFrame, fields: tuple[Field, ...], keep: tuple[str, ...], fill: dict[str, Callable[[dict[str, Column]], Column]]
+) -> DataFrame:
+    cells = {f.name: _text(raw, f) for f in fields}
+    bad = reduce(or_, [_is_bad(f, cells[f.name]) for f in fields])
+    reasons = F.array(*[_reason(f, cells[f.name]) for f in fields])
+    if CORRUPT in raw.columns:
+        broken = F.col(CORRUPT).isNotNull()
+        bad = broken | bad
+        reasons = F.when(broken, F.array(F.lit("malformed record"))).otherwise(reasons)
     typed = []
-    for f in ORDER_FIELDS:
+    for f in fields:
         value = cells[f.name] if f.type == "string" else cells[f.name].try_cast(f.type)
-        if f.name == "cogs":
-            value = F.coalesce(value, default_cogs(revenue))
+        if f.name in fill:
+            value = F.coalesce(value, fill[f.name](cells))
         elif f.default is not None:
             value = F.coalesce(value, F.lit(f.default).cast(f.type))
         typed.append(value.alias(f.name))
     payload = F.to_json(F.struct(*[F.col(c) for c in raw.columns if c not in keep]))
     return raw.select(
-        *typed, *keep, (~bad).alias("_ok"), reasons.alias("_reasons"), payload.alias("_payload")
+        *typed,
+        *keep,
+        (~bad).alias("_ok"),
+        F.array_compact(reasons).alias("_reasons"),
+        payload.alias("_payload"),
     )
 
 
+def check_orders(raw: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Typed order columns plus ``_ok``, ``_reasons`` (array) and ``_payload`` (the raw row).
+
+    Pure column expressions: one narrow projection, no shuffle, no Python. Reasons
+    and payload are only computed where the dead letters are read.
+    """
+    cogs = lambda cells: default_cogs(cells["gross_revenue"].try_cast("decimal(12,2)"))
+    return _check(raw, ORDER_FIELDS, keep, {"cogs": cogs})
+
+
+def check_ad_spend(raw: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The same for ad spend: date, channel, spend, clicks, impressions."""
+    return _check(raw, AD_SPEND_FIELDS, keep, {})
+
+
 def good_orders(checked: DataFrame) -> DataFrame:
+    """The typed rows that passed, of orders or of ad spend."""
     return checked.where("_ok").drop("_ok", "_reasons", "_payload")
 
 
@@ -130,6 +163,12 @@ def split_orders(raw: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
     return good_orders(checked), quarantined(checked, source)
 
 
+def split_ad_spend(raw: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
+    """(good, dead letters) of ad-spend rows."""
+    checked = check_ad_spend(raw)
+    return good_orders(checked), quarantined(checked, source)
+
+
 def ingest_counters(checked: DataFrame) -> DataFrame:
     """One row: successful and quarantined row counts (duplicates count, empty gives 0)."""
     return checked.agg(

@@ -128,7 +128,14 @@ def test_storefront_pages(spark, tmp_path):
         ]
     }
     (tmp_path / "p.json").write_text(json.dumps(page))
-    rows = dicts(files.storefront_orders(files.read_storefront_pages(spark, str(tmp_path))), "order_id")
+    (tmp_path / "q.json").write_text('{"orders": [{"id": 3, "total_price": "BAD", "created_at": "2025-01-02"}]}\n{"orders": [{"id"')
+    raw = files.storefront_orders(files.read_storefront_pages(spark, str(tmp_path)))
+    good, dead = validate.split_orders(raw, "storefront")
+    rows = dicts(good, "order_id")
+    assert len(rows) == 2
+    letters = dicts(dead, "error_reason")
+    assert [r["error_reason"] for r in letters] == ["gross_revenue: not a number: BAD", "malformed record"]
+    assert json.loads(letters[1]["raw_payload"])["_corrupt_record"] == '{"orders": [{"id"'
     assert rows[0]["customer_id"] == "CUST_7" and rows[0]["cogs"] == Decimal("3.50")
     assert (rows[0]["shipping_cost"], rows[0]["acquisition_channel"], rows[0]["status"]) == (Decimal("4.20"), "pos", "Refunded")
     assert (rows[1]["customer_id"], rows[1]["gross_revenue"], rows[1]["shipping_cost"]) == ("CUST_GUEST", 0, 5)
@@ -139,14 +146,15 @@ def test_insights_window(spark, tmp_path):
     days = ["2025-05-31", "2025-06-01", "2025-07-01", "2025-07-02"]
     page = {"data": [{"date_start": d, "spend": "1.50", "impressions": "10", "clicks": "2"} for d in days]}
     (tmp_path / "p.json").write_text(json.dumps(page))
-    out = files.ad_insights(files.read_insights_pages(spark, str(tmp_path)), as_of=dt.date(2025, 7, 1))
+    raw = files.ad_insights(files.read_insights_pages(spark, str(tmp_path)), as_of=dt.date(2025, 7, 1))
+    out, _ = validate.split_ad_spend(raw, "insights")
     assert [str(r["date"]) for r in dicts(out, "date")] == days[1:3]
     assert dicts(out)[0]["channel"] == "Meta Ads"
 
 
 def test_order_events_defaults(spark):
     events = spark.createDataFrame([(None, None, None, dt.datetime(2025, 1, 1, 0, 0, 5))], "order_id string, customer_id string, gross_revenue string, ts timestamp")
-    row = one(files.order_events(events, salt="salt", arrived="ts"))
+    row = one(validate.split_orders(files.order_events(events, salt="salt", arrived="ts"), "webhook")[0])
     assert row["order_id"].startswith("ORD_1735689605_")
     assert row["customer_id"].startswith("CUST_") and row["gross_revenue"] == 0
 
@@ -154,7 +162,10 @@ def test_order_events_defaults(spark):
 def test_ad_spend_csv(spark, tmp_path):
     path = tmp_path / "spend.csv"
     path.write_text("date,channel,spend,clicks,impressions\n2025-01-01,Meta Ads,756.99,1506,33219\n2025-01-01,TikTok Ads,202.5,560,13646\n")
-    rows = dicts(files.read_ad_spend_csv(spark, str(path)), "channel")
+    path.write_text(path.read_text() + "2025-01-02,Meta Ads,n/a,1,1\n10:30,Meta Ads,1.0,1,1\n2025-01-03,Meta Ads\n")
+    good, dead = validate.split_ad_spend(files.read_ad_spend_csv(spark, str(path)), "csv")
+    assert sorted(r["error_reason"].split(":")[0] for r in dicts(dead)) == ["date", "malformed record", "spend"]
+    rows = dicts(good, "channel")
     assert rows[0] == {"date": dt.date(2025, 1, 1), "channel": "Meta Ads", "spend": Decimal("756.99"), "clicks": 1506, "impressions": 33219}
     assert rows[1]["spend"] == Decimal("202.50")
 
