@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from marginlake.llm.common import U64, by_batch, hashes, mix, store, struct, windows, words
+from marginlake.llm.common import U64, by_batch, hashes, mix, struct, windows, words
 
 WINDOW = 13
 #: Words that a chunk holds; a longer document is a chunk of its own.
-CHUNK_WORDS = 4_000_000
+CHUNK_WORDS = 2_500_000
 #: Rows of the sketch, each with its own hash.
 ROWS = 2
 #: Cells of a sketch row: the power of two from a quarter of the corpus's bytes,
@@ -190,7 +190,8 @@ def _batch(rows: list[tuple], schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
 
 
-#: Either a query (range, packed hashes, keys, tags, positions) or a document's windows that its chunk settled.
+#: Either a query (range, packed hashes, keys, tags, positions) or, under a
+#: negative range, a document's windows that its chunk settled.
 _SECOND = "range int, hash binary, keys binary, tags binary, positions binary, key long, tag int"
 _COVERED = "key long, tag int, positions binary"
 
@@ -229,7 +230,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
             least = rank[doc[new]][np.cumsum(new) - 1]
             later = rank[doc] > least
             settled = [
-                (None, None, None, None, p, int(keys[d]), int(tags[d])) for d, p in _per_document(doc[later], pos[later])
+                (-1 - d % ranges, None, None, None, p, int(keys[d]), int(tags[d]))
+                for d, p in _per_document(doc[later], pos[later])
             ]
             for i in range(0, len(settled), 5000):
                 yield _batch(settled[i : i + 5000], second)
@@ -265,19 +267,23 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     def answer(batches):
         held, packed = None, []
         for batch in batches:
-            for r, *arrays in zip(*batch.columns, strict=True):
-                if r.as_py() != held:
+            settled = []
+            for r, w, keys, tags, pos, key, tag in zip(*batch.columns, strict=True):
+                r = r.as_py()
+                if r < 0:
+                    settled.append((key.as_py(), tag.as_py(), pos.as_py()))
+                    continue
+                if r != held:
                     if packed:
                         yield from resolve(packed)
-                    held, packed = r.as_py(), []
-                packed.append([x.as_py() for x in arrays])
+                    held, packed = r, []
+                packed.append((w.as_py(), keys.as_py(), tags.as_py(), pos.as_py()))
+            if settled:
+                yield _batch(settled, covered)
         if packed:
             yield from resolve(packed)
 
-    asked = store(keyed.mapInArrow(ask, second), "window-queries")
-    queries = asked.filter("range is not null").select("range", "hash", "keys", "tags", "positions")
-    answers = queries.repartition("range").sortWithinPartitions("range").mapInArrow(answer, covered)
-    return asked.filter("range is null").select("key", "tag", "positions").unionByName(answers)
+    return keyed.mapInArrow(ask, second).repartition("range").sortWithinPartitions("range").mapInArrow(answer, covered)
 
 
 def cut(text: str, positions: list[bytes]) -> tuple[str, int, int]:
