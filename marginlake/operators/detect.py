@@ -198,18 +198,17 @@ def daily_refund_rate(
 def daily_z_scores(
     daily: DataFrame, refunds: DataFrame | None = None, *, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Z-scores of CAC, ROAS, revenue (and refund rate) as (date, metric, value, z)."""
+    """Z-scores of CAC, ROAS, revenue (and refund rate) as (date, metric, value, z).
 
-    def score(df: DataFrame, metric: str) -> DataFrame:
-        values = df.select(*by, "date", F.col(metric).cast("decimal(16,2)").alias("value"))
-        scored = z_score(values, "value", by=by)
-        return scored.select(*by, "date", F.lit(metric).alias("metric"), "value", "z_score", "is_anomaly")
+    The daily rows are computed once and unfolded; one window scores all metrics.
+    """
+
+    def unfold(df: DataFrame, *metrics: str) -> DataFrame:
+        cells = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("decimal(16,2)").alias("value")) for m in metrics]
+        return df.select(*by, "date", F.inline(F.array(*cells)))
 
-    days = active_days(daily)
-    out = [score(days, m) for m in ("blended_cac", "blended_roas", "total_revenue")]
+    values = unfold(active_days(daily), "blended_cac", "blended_roas", "total_revenue")
     if refunds is not None:
-        out.append(score(refunds, "refund_rate_pct"))
-    result = out[0]
-    for part in out[1:]:
-        result = result.unionByName(part)
-    return result
+        values = values.unionByName(unfold(refunds, "refund_rate_pct"))
+    keys = [*by, "metric"]
+    return z_score(values, "value", by=keys).select(*by, "date", "metric", "value", "z_score", "is_anomaly")

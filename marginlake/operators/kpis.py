@@ -143,11 +143,13 @@ def daily_trend(
     as_of: dt.datetime | str,
     days: int = 60,
     by: Sequence[str] = (),
+    tenants: DataFrame | None = None,
     completed: str = PAID,
 ) -> DataFrame:
     """Revenue, spend and orders for the ``days`` days before ``as_of``'s own day.
 
-    Every day has a row. The day bounds are literals on the raw time columns, so
+    Every day has a row, for each of ``tenants`` (rows of ``by``; without them, all
+    that occur in either input, which reads both in full). The day bounds are literals on the raw time columns, so
     the scans skip everything outside the window.
     """
     spark = orders.sparkSession
@@ -167,7 +169,7 @@ def daily_trend(
         .agg(money_sum("spend").alias("ad_spend"))
     )
     if by:
-        owners = orders.select(*by).union(ads.select(*by)).distinct()
+        owners = tenants if tenants is not None else orders.select(*by).union(ads.select(*by)).distinct()
     else:
         owners = spark.range(1).select()
     calendar = owners.select(*by, _day_list(first, days).alias("date"))
@@ -189,12 +191,14 @@ def channel_breakdown(
     ads: DataFrame,
     *,
     by: Sequence[str] = (),
+    tenants: DataFrame | None = None,
     completed: str = PAID,
     channels: Sequence[str] = CHANNELS,
 ) -> DataFrame:
     """Spend, revenue, orders, traffic, ROAS, CAC and CPM for each reported channel.
 
-    Reported channels always appear, others never do. The channel filter is pushed
+    Reported channels always appear, for each of ``tenants`` (rows of ``by``; without
+    them, all that occur in either input); others never do. The channel filter is pushed
     to both scans; what is joined afterwards has one row per channel.
     """
     spark = orders.sparkSession
@@ -214,7 +218,7 @@ def channel_breakdown(
         )
     )
     if by:
-        owners = orders.select(*by).union(ads.select(*by)).distinct()
+        owners = tenants if tenants is not None else orders.select(*by).union(ads.select(*by)).distinct()
     else:
         owners = spark.range(1).select()
     fixed = owners.select(

@@ -547,7 +547,6 @@ def _oracle() -> dict[str, str]:
     q["d1_daily_by_workspace"] = f"with {STORE}, {ADS}, {daily('o', 'a', 'Completed', 'workspace_id')} select workspace_id, {_DAILY_COLS} from d"
     q["d2_channel_pnl"] = f"{_STORE_PNL} select {_PNL_COLS} from p"
     q["d3_channel_profitability"] = D3
-    q["f1_ordered_marts"] = D3
     q["d4_attribution_share"] = f"""with {STORE}, g as (
       select acquisition_channel, count(distinct order_id) as n, sum(gross_revenue) as rev, sum(net_margin) as margin,
         count(gross_revenue) as c, sum(sum(gross_revenue)) over () as total
@@ -625,9 +624,27 @@ def _oracle() -> dict[str, str]:
       {dbl('mean7', 'trailing_cac')}, {dbl('change', 'cac_change_pct')}, surge as is_surge from su"""
     q["g1_cac_surge_alerts"] = f"{_SURGE} {_SURGE_ALERT.format(cols=_DATE_COL)} from su where surge"
     q["g2_loss_alerts"] = q["a14_alert_sink"]
-    q["g1_g2_latest_alerts"] = f"""{_SURGE}, nd as (select max(date) as date from d where rev > 0)
+    spiked = _SURGE.replace("as decimal(12,2)) as spend,", "as decimal(12,2)) * case when l_orderkey % 181 = 180 then 50 else 1 end as spend,")
+    q["g1_g2_latest_alerts"] = f"""{spiked}, nd as (select max(date) as date from d where rev > 0)
       {_SURGE_ALERT.format(cols=_DATE_COL)} from su where surge and date = (select date from nd)
       union all {_LOSS_ALERT.format(cols=_DATE_COL)} from d where profit < 0 and rev > 0 and date = (select date from nd)"""
+    q["d14_trend60_by_workspace"] = f"""with {HALF}, cal as (
+        select 'ws' || cast(k as varchar) as workspace_id, cast(date '2025-05-02' + cast(i as integer) as date) as date from range(60) r(i), range(4) s(k)),
+      x as (select workspace_id, cast(order_date as date) as date, sum(gross_revenue) as rev, count(*) as n from h where status = 'paid' group by 1, 2),
+      y as (select workspace_id, cast(date as date) as date, sum(spend) as spend from ha group by 1, 2)
+      select cal.workspace_id, {day('cal.date', 'date')}, strftime(cal.date, '%b %-d') as label, {dbl('coalesce(rev, 0)', 'revenue')},
+        {dbl('coalesce(spend, 0)', 'ad_spend')}, {big('coalesce(n, 0)', 'orders')} from cal
+      left join x on cal.date = x.date and cal.workspace_id = x.workspace_id left join y on cal.date = y.date and cal.workspace_id = y.workspace_id"""
+    q["d15_channel_breakdown_by_workspace"] = f"""with {HALF}, fx as (
+        select 'ws' || cast(k as varchar) as workspace_id, c.channel, c.position from range(4) s(k),
+          (values ('Meta', 0), ('Google', 1), ('TikTok', 2)) c(channel, position)),
+      x as (select workspace_id, acquisition_channel as channel, sum(gross_revenue) as rev, count(*) as n from h where status = 'paid' group by 1, 2),
+      y as (select workspace_id, channel, sum(spend) as spend, sum(impressions) as imp, sum(clicks) as clicks, sum(conversions) as conv from ha group by 1, 2),
+      bk as (select fx.workspace_id, fx.channel, fx.position, coalesce(spend, 0) as spend, coalesce(rev, 0) as rev, coalesce(n, 0) as n, coalesce(imp, 0) as imp,
+          coalesce(clicks, 0) as clicks, coalesce(conv, 0) as conv from fx
+        left join x on fx.workspace_id = x.workspace_id and fx.channel = x.channel left join y on fx.workspace_id = y.workspace_id and fx.channel = y.channel)
+      select workspace_id, channel, {big('position')}, {dbl('spend')}, {dbl('rev', 'revenue')}, {big('n', 'orders')}, {big('conv', 'conversions')},
+        {big('imp', 'impressions')}, {big('clicks')}, {fratio('rev', 'spend')} as roas, {fratio('spend', 'n')} as cac, {fratio('spend', 'imp')} * 1000.0 as cpm from bk"""
     q["g3_channel_insight"] = f"""{_BREAKDOWN},
       hi as (select channel, roas from bk order by roas desc, position limit 1), lo as (select channel, roas from bk order by roas, position desc limit 1)
       select cast(1 as bigint) as position, hi.channel || ' is outperforming the rest' as title,
@@ -790,6 +807,34 @@ def _oracle() -> dict[str, str]:
         {dbl(ratio0('claimed', 'spend'), 'claimed_roas')}, {dbl(ratio0('earned', 'spend'), 'true_roas')} from z"""
     q["x9_resolved_channel_pnl"] = f"""with {LANDED}, {ADS}, ro as (select * replace (cast(order_date as date) as order_date) from rule), {pnl('ro', resolved())}
       select {_PNL_COLS} from p"""
+    views = {
+        "stg_orders": ("b1_stg_orders", "net_margin"), "stg_ad_spend": ("b2_stg_ad_spend", "ad_spend"),
+        "fct_daily_unit_economics": ("d1_daily_unit_economics", "net_profit"), "fct_channel_attributed_pnl": ("d2_channel_pnl", "channel_net_profit"),
+        "fct_product_profitability": ("d3_channel_profitability", "total_net_profit"), "fct_multi_touch_attribution": ("d4_attribution_share", "attributed_revenue"),
+        "fct_inventory_runway": ("d5_velocity", "daily_burn_velocity"), "fct_customer_cohort_retention": ("d7_cohort_retention", "cohort_net_profit"),
+        "fct_subscription_churn_velocity": ("d8_cycle_churn", "cycle_gross_revenue"), "fct_marketing_efficiency_ratio": ("d9_mer", "net_cash_profit"),
+        "dim_customer_ltv": ("d6_customer_ltv", "lifetime_revenue"),
+    }
+    q["a13_all_views"] = " union all ".join(
+        f"select '{v}' as mart, count(*) as rows, cast(sum(cast({c} as decimal(28,2))) as double) as total from ({q[k]})" for v, (k, c) in views.items()
+    )
+    # Mart, what it comes from, leading column, and its whole order.
+    orders = (
+        ("fct_daily_unit_economics", "d1_daily_unit_economics", "date", "date desc"),
+        ("fct_channel_attributed_pnl", "d2_channel_pnl", "date", "date desc, channel_net_profit desc"),
+        ("fct_product_profitability", "d3_channel_profitability", "total_net_profit", "total_net_profit desc"),
+        ("fct_multi_touch_attribution", "d4_attribution_share", "attributed_revenue", "attributed_revenue desc"),
+        ("fct_inventory_runway", "d5_velocity", "daily_burn_velocity", "daily_burn_velocity desc"),
+        ("dim_customer_ltv", "d6_customer_ltv", "lifetime_revenue", "lifetime_revenue desc"),
+        ("fct_customer_cohort_retention", "d7_cohort_retention", "cohort_month", "cohort_month desc, month_number"),
+        ("fct_subscription_churn_velocity", "d8_cycle_churn", "subscription_cycle", "subscription_cycle"),
+        ("channel_rollup", "d11_channel_rollup", "channel_net_profit", "channel_net_profit desc"),
+    )
+    q["f1_ordered_marts"] = " union all ".join(
+        f"""select * from (select '{m}' as mart, row_number() over (order by {o.replace(' desc', ' desc nulls last')}) as position,
+          {lead if lead in ('date', 'cohort_month') else f'cast(cast({lead} as decimal(20,2)) as varchar)'} as value from ({q[k]})) where position <= 20"""
+        for m, k, lead, o in orders
+    )
     return q
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,20 @@ def publish(df: DataFrame) -> DataFrame:
     return df.select(*[plain(f) for f in df.schema.fields])
 
 
+VIEW_TOTALS = {
+    "stg_orders": "net_margin",
+    "stg_ad_spend": "ad_spend",
+    "fct_daily_unit_economics": "net_profit",
+    "fct_channel_attributed_pnl": "channel_net_profit",
+    "fct_product_profitability": "total_net_profit",
+    "fct_multi_touch_attribution": "attributed_revenue",
+    "fct_inventory_runway": "daily_burn_velocity",
+    "fct_customer_cohort_retention": "cohort_net_profit",
+    "fct_subscription_churn_velocity": "cycle_gross_revenue",
+    "fct_marketing_efficiency_ratio": "net_cash_profit",
+    "dim_customer_ltv": "lifetime_revenue",
+}
+
 # -- shared inputs -----------------------------------------------------------
 
 
@@ -80,6 +95,10 @@ def _half_year(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return b.half_year_orders(spark, sf), b.half_year_ad_spend(spark, sf)
 
 
+def _tenants(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(f"ws{k}",) for k in range(4)], "workspace_id string")
+
+
 def _half_year_daily(spark: SparkSession, sf: str) -> DataFrame:
     o, a = _half_year(spark, sf)
     return marts.daily_unit_economics(
@@ -339,6 +358,17 @@ def a13_mart_views(spark, sf):
     )
 
 
+@query
+def a13_all_views(spark, sf):
+    """Rows and one total of every view."""
+    warehouse.register_views(b.store_orders(spark, sf), b.store_ad_spend(spark, sf))
+    parts = [
+        f"select '{view}' as mart, count(*) as rows, cast(sum({column}) as double) as total from {view}"
+        for view, column in VIEW_TOTALS.items()
+    ]
+    return spark.sql(" union all ".join(parts))
+
+
 @query
 def a14_alert_sink(spark, sf):
     path = work_dir(spark, "alerts")
@@ -353,9 +383,12 @@ def a15_ad_spend_upsert(spark, sf):
     rows = b.store_ad_spend(spark, sf).groupBy("date", "channel", "campaign_id").agg(*measures)
     total = files.ad_spend_rows(rows).drop("campaign_name", "conversions")
     target = total.where(F.col("channel") != "TikTok Ads")
-    batch = total.where(F.col("channel") != "Meta Ads").withColumns(
-        {"seq": F.lit(1), "spend": (F.col("spend") * 2).cast("decimal(12,2)")}
-    )
+    def version(seq: int, factor: int) -> DataFrame:
+        spend = (F.col("spend") * factor).cast("decimal(12,2)")
+        return total.where(F.col("channel") != "Meta Ads").withColumns({"seq": F.lit(seq), "spend": spend})
+
+    # Every key comes twice, the later version first.
+    batch = version(2, 2).unionByName(version(1, 3))
     return merge.upsert_ad_spend(target, batch, seq=["seq"])
 
 
@@ -517,8 +550,19 @@ def d21_customer_rollup(spark, sf):
 
 @query
 def f1_ordered_marts(spark, sf):
-    frame = marts.channel_profitability(_store(spark, sf)[0])
-    return warehouse.presented("fct_product_profitability", frame)
+    """The first 20 rows of each mart as presented: position and leading value."""
+    frames = warehouse.mart_frames(b.store_orders(spark, sf), b.store_ad_spend(spark, sf))
+    frames["channel_rollup"] = marts.channel_rollup(frames["fct_channel_attributed_pnl"])
+    pages = []
+    for name, keys in warehouse.ORDERINGS.items():
+        lead = keys[0][0]
+        is_day = isinstance(frames[name].schema[lead].dataType, T.DateType)
+        value = F.date_format(lead, "yyyy-MM-dd") if is_day else F.col(lead).cast("decimal(20,2)").cast("string")
+        page = warehouse.presented(name, frames[name]).limit(20)
+        pages.append(
+            page.select(F.lit(name).alias("mart"), (F.monotonically_increasing_id() + 1).alias("position"), value.alias("value"))
+        )
+    return reduce(DataFrame.unionByName, pages)
 
 
 @query
@@ -573,7 +617,24 @@ def g2_loss_alerts(spark, sf):
 
 @query
 def g1_g2_latest_alerts(spark, sf):
-    return detect.scan_alerts(_half_year_daily(spark, sf))
+    """A last day on which spend was fifty times as high: both alerts fire."""
+    o, a = _half_year(spark, sf)
+    last = F.col("date") >= F.lit("2025-06-30").cast("timestamp")
+    spend = F.when(last, F.col("spend") * 50).otherwise(F.col("spend")).cast("decimal(12,2)")
+    daily = marts.daily_unit_economics(
+        staging.stage_orders(o, completed="paid"), staging.stage_ad_spend(a.withColumn("spend", spend)), completed="paid"
+    )
+    return detect.scan_alerts(daily)
+
+
+@query
+def d14_trend60_by_workspace(spark, sf):
+    return kpis.daily_trend(*_half_year(spark, sf), as_of=b.AS_OF, by=("workspace_id",), tenants=_tenants(spark))
+
+
+@query
+def d15_channel_breakdown_by_workspace(spark, sf):
+    return kpis.channel_breakdown(*_half_year(spark, sf), by=("workspace_id",), tenants=_tenants(spark))
 
 
 @query
@@ -832,8 +893,12 @@ def x7_tier_revenue_share(spark, sf):
 def x8_full_briefing(spark, sf):
     o, a = _store(spark, sf)
     daily = marts.marketing_efficiency(marts.daily_unit_economics(o, a))
-    sellers = skus.best_sellers(b.order_lines(spark, sf))
-    return insights.full_briefing(daily, marts.channel_pnl(o, a), sellers)
+    # One day is reported: orders, spend and lines of other days go before they are summed.
+    day = detect.latest_day(daily.where(F.col("gross_revenue") > 0)).select("date")
+    of_day = lambda df, at: df.join(day, df[at] == day["date"], "left_semi")
+    sellers = skus.best_sellers(of_day(b.order_lines(spark, sf), "line_date"))
+    pnl = marts.channel_pnl(of_day(o, "order_date"), of_day(a, "ad_date"))
+    return insights.full_briefing(daily, pnl, sellers)
 
 
 @query

@@ -49,6 +49,7 @@ ORDERINGS: dict[str, list[tuple[str, bool]]] = {
     "dim_customer_ltv": [("lifetime_revenue", False)],
     "fct_customer_cohort_retention": [("cohort_month", False), ("month_number", True)],
     "fct_subscription_churn_velocity": [("subscription_cycle", True)],
+    "channel_rollup": [("channel_net_profit", False)],
 }
 
 
