@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -32,15 +35,23 @@ def build_session(app: str = "marginlake", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+@cache
+def _local_base() -> str:
+    base = tempfile.mkdtemp(prefix="marginlake-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared folder named by ``spark.checkpoint.dir``.
 
     Only a local-mode session may go without that setting: it then gets a
-    temporary folder, which on a cluster would exist on one machine alone.
+    temporary folder, which on a cluster would exist on one machine alone. All of
+    a process's temporary folders lie in one, removed when the process ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="marginlake-")
+        base = _local_base()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -13,7 +13,8 @@ ISO_MILLIS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
 def iso_text(c: Column) -> Column:
-    return F.date_format(c.cast("timestamp"), ISO_MILLIS)
+    """UTC text of an instant, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(c.cast("timestamp"), F.current_timezone()), ISO_MILLIS)
 
 
 def save_mart(
@@ -26,8 +27,11 @@ def save_mart(
     writer.parquet(path)
 
 
-def save_bucketed(df: DataFrame, table: str, *, key: str = "order_id", buckets: int = 200) -> None:
-    """A table bucketed and sorted on its merge key: later merges do not shuffle it."""
+def save_bucketed(df: DataFrame, table: str, *, key: str = "order_id", buckets: int) -> None:
+    """A table bucketed and sorted on its merge key: later merges do not shuffle it.
+
+    ``buckets``: so many that one bucket fits a task, at the size the table will have.
+    """
     (
         df.repartition(buckets, key)
         .write.mode("overwrite")

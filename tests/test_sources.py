@@ -190,6 +190,16 @@ def test_customer_csv_quoting(spark, tmp_path):
     assert text[1] == '"Ann ""A"", B",a@x,VIP,5,10.00,2025-01-01T00:00:00.000Z,2025-06-30T00:00:00.000Z'
 
 
+def test_iso_text_is_utc_in_any_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    df = spark.createDataFrame([(1_735_689_600,)], "s long").select(F.timestamp_seconds("s").alias("t"))
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert one(df.select(sinks.iso_text(F.col("t")).alias("x")))["x"] == "2025-01-01T00:00:00.000Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_order_csv_is_sorted_across_files(spark, sf, tmp_path):
     from marginlake.plans import bindings
 
