@@ -73,7 +73,9 @@ def described(docs: DataFrame) -> DataFrame:
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, shingles (packed, ascending) of the classes in ``wanted`` (node, first_id).
 
-    Repeated rows of a document may give a class more than once.
+    Repeated rows of a document may give a class more than once. Texts and sets
+    are joined by sorting at every size: their side is the wide one, and the
+    other grows with the input.
     """
 
     def step(cols):
@@ -85,6 +87,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         }
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    wanted = wanted.hint("merge")
     rows = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["first_id"])).select("node", "text")
     return by_batch(rows, lambda: step, "node long, shingles binary")
 
@@ -100,8 +103,8 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     placed = store(
         pairs.join(counts, "hub").withColumn("part", F.pmod(F.hash("member"), F.col("parts"))).drop("parts"), "pairs"
     )
-    hubs = placed.select("hub", "part").distinct().withColumn("node", F.col("hub")).join(sets, "node")
-    members = placed.withColumnRenamed("member", "node").join(sets, "node")
+    hubs = placed.select("hub", "part").distinct().withColumn("node", F.col("hub")).hint("merge").join(sets, "node")
+    members = placed.withColumnRenamed("member", "node").hint("merge").join(sets, "node")
     rows = hubs.select("hub", "part", F.lit(0).alias("kind"), "node", "shingles").unionByName(
         members.select("hub", "part", F.lit(1).alias("kind"), "node", "shingles")
     )
@@ -184,7 +187,7 @@ def settle_buckets(members: DataFrame, sets: DataFrame) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp")
     )
-    rows = placed.join(sets, "node").select("bucket", "i", "j", "block", "node", "comp", "shingles")
+    rows = placed.hint("merge").join(sets, "node").select("bucket", "i", "j", "block", "node", "comp", "shingles")
 
     def run(batches):
         held, group = None, []
