@@ -12,7 +12,7 @@ from marginlake.llm.common import table
 def op1_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs.select("doc_id", "text"), language.fit(docs))
-    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(language.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op2_byte_bpe(spark, sf_dir):
@@ -97,4 +97,50 @@ select page_id, payload_bytes, payload_digest,
 from p left join k using (payload_digest, payload_bytes)
 """,
     "op7_mixing": mixing.SQL,
+    # Shingles joined with themselves: right on samples, not meant for whole corpora.
+    "op4_near_duplicates": r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws
+  from documents
+), s as (
+  select distinct doc_id, array_to_string(ws[i:i + 4], ' ') as shingle
+  from w, unnest(range(1, greatest(len(ws) - 3, 2))) t(i) where len(ws) > 0
+), n as (
+  select doc_id, count(*) as size from s group by 1
+), linked as (
+  select a.doc_id as a, b.doc_id as b
+  from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id
+    join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id having 100 * count(*) >= 85 * (any_value(x.size) + any_value(y.size) - count(*))
+), both_ways as (
+  select a, b from linked union select b, a from linked
+), reach(doc_id, seen) as (
+  select doc_id, doc_id from w
+  union
+  select r.doc_id, l.b from reach r join both_ways l on l.a = r.seen
+), c as (
+  select doc_id, min(seen) as component_id from reach group by 1
+)
+select c.doc_id, coalesce(n.size, 0)::bigint as n_shingles, c.component_id, c.component_id = c.doc_id as kept
+from c left join n on n.doc_id = c.doc_id
+""",
+    "op10_substrings": r"""
+with w as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents
+), windows as (
+  select doc_id, i, array_to_string(ws[i:i + 12], ' ') as words from w, unnest(range(1, len(ws) - 11)) t(i)
+), firsts as (
+  select words, min(doc_id) as doc_id from windows group by 1
+), gone as (
+  select distinct x.doc_id, x.i + k as i from windows x join firsts f on f.words = x.words and f.doc_id < x.doc_id, range(13) r(k)
+), marked as (
+  select w.doc_id, t.i, w.ws[t.i] as word, g.i is not null as removed
+  from w, unnest(range(1, len(ws) + 1)) t(i) left join gone g on g.doc_id = w.doc_id and g.i = t.i
+), sums as (
+  select doc_id, count(*) filter (removed) as n_removed, string_agg(word, ' ' order by i) filter (not removed) as kept from marked group by 1
+)
+select w.doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from w left join sums on sums.doc_id = w.doc_id
+""",
 }
