@@ -700,6 +700,7 @@ def _oracle() -> dict[str, str]:
       cast(0 as double) as taxes, cast(0 as double) as discounts, 'Organic / Direct' as acquisition_channel, 'Completed' as status, 'USD' as currency
       from raw where k % 101 <> 0"""
     q["i2_live_daily"] = D1
+    q["i2_status_change"] = D1
     # A touched day without sales or spend is still reported, as zeros.
     q["i2_corrected_days"] = f"""{_STORE_DAILY}, td as (select distinct order_date as date from o where status = 'Refunded')
       select {day('td.date', 'date')}, {big('coalesce(n, 0)', 'total_orders')}, {dbl('coalesce(rev, 0)', 'total_revenue')}, {dbl('coalesce(spend, 0)', 'total_ad_spend')},

@@ -788,6 +788,23 @@ def i2_live_daily(spark, sf):
     return live.economics_of(live.latest_days(updates))
 
 
+@query
+def i2_status_change(spark, sf):
+    """Every other order is pending in a first batch and gets its status in a second."""
+    root = work_dir(spark, "status-change")
+    o = b.store_orders(spark, sf).drop("workspace_id").withColumn("odd", F.col("order_id").cast("long") % 2 == 1)
+    first = o.withColumn("status", F.when(F.col("odd"), "Pending").otherwise(F.col("status")))
+    for batch in (first, o.where("odd")):
+        batch.drop("odd").coalesce(1).write.mode("append").parquet(f"{root}/orders")
+    a = b.store_ad_spend(spark, sf).select(F.col("date").cast("timestamp").alias("date"), "spend")
+    a.coalesce(1).write.parquet(f"{root}/ads")
+    read = lambda name, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/{name}")
+    flows = live.daily_flows(read("orders", o.drop("odd").schema), read("ads", a.schema), delay="3000 days")
+    live.save_updates(flows, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    updates = spark.read.option("basePath", f"{root}/out").parquet(f"{root}/out/batch=*")
+    return live.economics_of(live.latest_days(updates))
+
+
 @query
 def i2_corrected_days(spark, sf):
     """Days whose orders were refunded after the fact, recomputed from the merged orders."""

@@ -65,9 +65,16 @@ def read_storefront_pages(spark: SparkSession, path: str) -> DataFrame:
     return _read_json(spark, path, schemas.STOREFRONT_PAGE)
 
 
-def read_insights_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Landed insight pages; what is no JSON is kept in ``_corrupt_record``."""
-    return _read_json(spark, path, schemas.INSIGHTS_PAGE)
+def read_insights_pages(spark: SparkSession, path: str, *, landed_since: dt.date | None = None) -> DataFrame:
+    """Landed insight pages; what is no JSON is kept in ``_corrupt_record``.
+
+    With ``landed_since``, ``path`` has folders ``landed=<date>``, and older ones
+    are not read.
+    """
+    if landed_since is None:
+        return _read_json(spark, path, schemas.INSIGHTS_PAGE)
+    by_day = T.StructType([*schemas.INSIGHTS_PAGE.fields, T.StructField("landed", T.DateType())])
+    return _read_json(spark, path, by_day).where(F.col("landed") >= F.lit(landed_since)).drop("landed")
 
 
 def _corrupt(df: DataFrame) -> Column:

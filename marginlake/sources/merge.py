@@ -4,18 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginlake.schemas import AD_SPEND_KEY, ORDER_IMMUTABLE, ORDER_MUTABLE
 
 
-def _arrival(batch: DataFrame, seq: Sequence[str]) -> Column:
-    """Arrival order; the row's content breaks ties, so that reruns agree."""
-    rest = sorted(c for c in batch.columns if c not in seq)
-    return F.struct(*seq, *rest)
-
-
 def collapse(
     batch: DataFrame,
     *,
@@ -26,15 +20,18 @@ def collapse(
 ) -> DataFrame:
     """One row per key: ``first`` columns of the earliest row, ``last`` of the latest.
 
-    A plain aggregate: copies of a hot key are folded inside each input task
-    before the shuffle.
+    Rows of one place in ``seq`` are told apart by a hash of their content, so that
+    reruns agree. A plain aggregate that carries the chosen columns only: copies of
+    a hot key are folded inside each input task before the shuffle.
     """
-    arrival = _arrival(batch, seq)
-    aggs = []
+    tie = F.xxhash64(*sorted(c for c in batch.columns if c not in seq))
+    place = [*[F.col(c) for c in seq], tie.alias("_tie")]
+    aggs = [F.max(F.struct(*place, F.struct(*last).alias("row"))).alias("_l")]
+    out = [F.col("_l.row").alias("_last")]
     if first:
-        aggs.append(F.min_by(F.struct(*first), arrival).alias("_first"))
-    aggs.append(F.max_by(F.struct(*last), arrival).alias("_last"))
-    return batch.groupBy(*key).agg(*aggs)
+        aggs.append(F.min(F.struct(*place, F.struct(*first).alias("row"))).alias("_f"))
+        out.insert(0, F.col("_f.row").alias("_first"))
+    return batch.groupBy(*key).agg(*aggs).select(*key, *out)
 
 
 def upsert(

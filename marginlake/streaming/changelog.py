@@ -93,6 +93,18 @@ def current_orders(
     )
 
 
+def touched_days(spark: SparkSession, root: str, *, after: int = -1) -> DataFrame:
+    """Days (column ``date``) of the orders that batches after ``after`` brought or changed.
+
+    The day of a known order stays, so the log alone tells which days to recompute.
+    """
+    log = _log_since(spark, root, after)
+    if log is None:
+        return spark.createDataFrame([], "date date")
+    held = current_orders(spark, root).select("order_id", F.to_date("order_date").alias("date"))
+    return held.join(log.select("order_id").distinct(), "order_id", "left_semi").select("date").distinct()
+
+
 def dead_letters(spark: SparkSession, root: str) -> DataFrame:
     batches = _versions(spark, root, "dlq", "batch")
     if not batches:

@@ -152,6 +152,16 @@ def test_insights_window(spark, tmp_path):
     assert dicts(out)[0]["channel"] == "Meta Ads"
 
 
+def test_only_recent_landings_are_read(spark, tmp_path):
+    for day in ("2025-01-01", "2025-06-01"):
+        folder = tmp_path / f"landed={day}"
+        folder.mkdir()
+        (folder / "p.json").write_text(json.dumps({"data": [{"date_start": day, "spend": "1"}]}))
+    pages = files.read_insights_pages(spark, str(tmp_path), landed_since=dt.date(2025, 5, 1))
+    assert pages.count() == 1
+    assert "landed" in plan_of(pages).split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_order_events_defaults(spark):
     events = spark.createDataFrame([(None, None, None, dt.datetime(2025, 1, 1, 0, 0, 5))], "order_id string, customer_id string, gross_revenue string, ts timestamp")
     row = one(validate.split_orders(files.order_events(events, salt="salt", arrived="ts"), "webhook")[0])

@@ -138,6 +138,21 @@ BILLING = [
 ]
 
 
+def test_touched_days_come_from_the_log(spark, tmp_path):
+    root = str(tmp_path / "s")
+
+    def land(batch, rows):
+        raw = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], FEED)
+        changelog.write_batch(raw, batch, root, "t")
+
+    land(0, [("1", "c", "2025-01-01", "10", "Completed"), ("2", "c", "2025-01-02", "10", "Completed")])
+    changelog.compact(spark, root)
+    land(1, [("1", "c", "2025-03-09", "10", "Refunded"), ("3", "c", "2025-01-05", "10", "Completed")])
+    days = [str(r["date"]) for r in dicts(changelog.touched_days(spark, root, after=0), "date")]
+    assert days == ["2025-01-01", "2025-01-05"]
+    assert changelog.touched_days(spark, root, after=1).count() == 0
+
+
 def test_billing_fold(spark):
     landed = spark.createDataFrame(BILLING, "seq long, received_at timestamp, body string")
     events = billing.parse_events(landed)
