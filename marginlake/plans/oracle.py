@@ -696,8 +696,8 @@ def _oracle() -> dict[str, str]:
         format('{{:,}}', k) as number, {fixed('share', 1)} || '%' as percent, {fixed('share', 2)} || 'x' as multiplier,
         strftime(order_date, '%b %y') as month, strftime(order_date, '%b %-d') as day from s"""
 
-    q["i1_stream_ingest"] = f"""with {RAW} select order_id, customer_id, {stamp('order_date')}, {dbl('gross_revenue')}, {dbl('cogs')}, cast(0 as double) as shipping_cost,
-      cast(0 as double) as taxes, cast(0 as double) as discounts, 'Organic / Direct' as acquisition_channel, 'Completed' as status, 'USD' as currency
+    q["i1_stream_ingest"] = f"""with {RAW} select order_id, customer_id, {stamp('order_date')}, {dbl('gross_revenue + case when k % 5 = 0 then 1 else 0 end', 'gross_revenue')}, {dbl('cogs')}, cast(0 as double) as shipping_cost,
+      cast(0 as double) as taxes, cast(0 as double) as discounts, 'Organic / Direct' as acquisition_channel, case when k % 5 = 0 then 'Refunded' else 'Completed' end as status, 'USD' as currency
       from raw where k % 101 <> 0"""
     q["i2_live_daily"] = D1
     q["i2_status_change"] = D1

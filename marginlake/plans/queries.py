@@ -750,17 +750,24 @@ def _stream(spark, sf, name):
 
 @query
 def i1_stream_ingest(spark, sf):
+    """Two files, a batch each: all orders, some unreadable, then a fifth of them again with another price and status."""
     root = work_dir(spark, "orders-store")
-    raw = _stream(spark, sf, "orders")
-    feed = raw.select(
-        F.col("o_orderkey").cast("string").alias("order_id"),
-        F.col("o_custkey").cast("string").alias("customer_id"),
-        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("order_date"),
-        F.when(F.col("o_orderkey") % 101 == 0, "BAD_VAL")
-        .otherwise(F.col("o_totalprice").cast("decimal(12,2)").cast("string"))
-        .alias("gross_revenue"),
-        F.col("o_orderkey").alias("_seq"),
-    )
+    o, key = b.table(spark, sf, "orders"), F.col("o_orderkey")
+
+    def rows(again: int) -> DataFrame:
+        price = (F.col("o_totalprice").cast("decimal(12,2)") + again).cast("decimal(12,2)")
+        return o.where(key % 5 == 0 if again else F.lit(True)).select(
+            key.cast("string").alias("order_id"),
+            F.col("o_custkey").cast("string").alias("customer_id"),
+            F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("order_date"),
+            F.when(key % 101 == 0, "BAD_VAL").otherwise(price.cast("string")).alias("gross_revenue"),
+            F.lit("Refunded" if again else "Completed").alias("status"),
+            key.alias("_seq"),
+        )
+
+    for again in (0, 1):
+        rows(again).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    feed = spark.readStream.schema(rows(0).schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     ingest.ingest_orders(feed, root, f"{root}/checkpoint").awaitTermination()
     changelog.compact(spark, root)
     return changelog.current_orders(spark, root).drop("created_at", "landing_site")
