@@ -10,6 +10,8 @@ from functools import cache
 
 from pyspark.sql import SparkSession
 
+from marginlake.functions.identity import SALT_CONF
+
 # Settings every job here relies on. Shuffle partition count is left to the
 # cluster (AQE coalesces it); nothing below depends on the machine size.
 DEFAULTS = {
@@ -30,7 +32,10 @@ def build_session(app: str = "marginlake", master: str | None = None, **conf: st
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
-    for key, value in {**DEFAULTS, **conf}.items():
+    hidden = {"spark.redaction.regex": "(?i)secret|password|token|access[.]?key|salt"}
+    if SALT_CONF in conf:  # the salt is a literal of plans: keep it out of their text
+        hidden["spark.sql.redaction.string.regex"] = f"\\Q_{conf[SALT_CONF]}\\E"
+    for key, value in {**DEFAULTS, **hidden, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

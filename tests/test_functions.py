@@ -200,3 +200,18 @@ def test_unknown_codes_pass_in_any_base(spark):
     rates = spark.createDataFrame([("EUR", "1.08"), ("eur ", "1.08"), ("USD", "1.0")], "code string, rate string")
     out = dicts(convert_with_table(df, rates, amount="amt", currency="cur", out="v", base="EUR"), "id")
     assert [r["v"] for r in out] == [Decimal("100.00"), Decimal("7.00"), Decimal("5.00"), Decimal("1.00")]
+
+
+def test_salt_stays_out_of_plan_texts(spark):
+    from marginlake.functions.identity import SALT_CONF, pseudonym
+    from marginlake.session import build_session
+
+    old = spark.conf.get("spark.sql.redaction.string.regex", None)
+    try:
+        build_session(**{SALT_CONF: "pepper77"})  # the running session takes the settings
+        plan = spark.range(1).select(pseudonym(F.col("id"), "pepper77").alias("x"))
+        text_of = plan._jdf.queryExecution().explainString(plan._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        assert "pepper77" not in text_of and "redacted" in text_of
+    finally:
+        spark.conf.unset(SALT_CONF)
+        spark.conf.unset("spark.sql.redaction.string.regex") if old is None else spark.conf.set("spark.sql.redaction.string.regex", old)
