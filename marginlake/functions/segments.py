@@ -19,6 +19,7 @@ SEGMENT_LABELS = {
 }
 
 
+# Limits of the segments.
 def rfm_segment(order_count: Column, total_spend: Column, recency: Column) -> Column:
     """Recency/frequency/monetary segment; the first rule that holds wins."""
     return (
@@ -42,6 +43,7 @@ def segment_rank(segment: Column) -> Column:
     return F.array_position(names, segment).cast("int")
 
 
+# Limits and labels of the loyalty tiers.
 def loyalty_tier(orders: Column) -> Column:
     return (
         F.when(orders >= 4, "Champion (VIP)")
@@ -50,6 +52,7 @@ def loyalty_tier(orders: Column) -> Column:
     )
 
 
+# Limits and labels of the sales velocity.
 def velocity_label(velocity: Column) -> Column:
     return (
         F.when(velocity > 15, "High Velocity (Scale Ad Budget)")

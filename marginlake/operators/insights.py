@@ -12,6 +12,7 @@ from marginlake.functions.text import currency_text, fixed, grouped, multiplier_
 from marginlake.operators.customers import latest_returning_cohort
 from marginlake.operators.detect import latest_day
 
+# The tones, and the sentences and limits of the insights and reports below.
 POSITIVE, NEUTRAL, NEGATIVE = "positive", "neutral", "negative"
 
 
