@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ SPACES = "\t\n\x0b\x0c\r "
 #: The same rule as a regular expression for Spark and SQL.
 WORD = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
+SLICE_ROWS = 1000
 #: Odd multiplier of the window hash.
 STEP = 0x9E3779B97F4A7C15
 
@@ -26,14 +28,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared work folder and read it back: cuts lineage, survives lost executors."""
+def store(df: DataFrame, name: str, *, lasting: bool = False) -> DataFrame:
+    """Write ``df`` to the shared work folder and read it back: cuts lineage, survives lost executors.
+
+    A ``lasting`` table stays when the surrounding ``temporary`` ends.
+    """
     spark = df.sparkSession
     path = work_dir(spark, name)
     df.write.parquet(path)
+    within = _TEMPORARY[:-1] if lasting else _TEMPORARY
+    if within:
+        within[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_TEMPORARY: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored within go when it ends, unless they are lasting."""
+    _TEMPORARY.append([])
+    try:
+        yield
+    finally:
+        for path in _TEMPORARY.pop():
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def words(text: str | None) -> list[bytes]:
     """Words of a text as UTF-8; null has none."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
@@ -65,25 +88,57 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+#: What tasks of one operator keep in a worker process for the next ones.
+_KEPT: dict = {}
+
+
+def kept(owner: str, key: str, build: Callable[[], object]):
+    """What an earlier task of this worker process built for ``owner`` under ``key``, or a new one.
+
+    Only one operator's things are kept at a time, so that workers do not grow.
+    """
+    release(owner)
+    if (owner, key) not in _KEPT:
+        _KEPT[owner, key] = build()
+    return _KEPT[owner, key]
+
+
+def release(owner: str | None = None) -> None:
+    """Drop what other operators keep in this worker process."""
+    for k in [k for k in _KEPT if k[0] != owner]:
+        del _KEPT[k]
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, SLICE_ROWS at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def by_batch(
-    df: DataFrame, make: Callable[[], Callable[[dict[str, pa.Array]], dict]], schema: str | list[tuple]
+    df: DataFrame,
+    make: Callable[[], Callable[[dict[str, pa.Array]], dict]],
+    schema: str | list[tuple] | T.StructType,
+    owner: str | None = None,
 ) -> DataFrame:
     """``mapInArrow`` whose function turns the columns of a batch into the columns of a batch.
 
     ``make`` runs once per task, so that it can build what all batches share.
+    A batch is handled in slices of SLICE_ROWS rows, which bounds the Python
+    objects that exist at a time.
+    ``owner``: whose things in the worker process stay, see ``kept``.
     ``schema``: as ``struct`` takes it, or pairs of name and kind or Spark type.
     """
     fields = _fields(schema)
     target = to_arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(owner)
         step = make()
-        for batch in batches:
-            if batch.num_rows:
-                cols = step({n: c for n, c in zip(batch.schema.names, batch.columns, strict=True)})
-                yield pa.RecordBatch.from_arrays(
-                    [_column(cols[f.name], f.type) for f in target], schema=target
-                )
+        for part in slices(batches):
+            cols = step(dict(zip(part.schema.names, part.columns, strict=True)))
+            yield pa.RecordBatch.from_arrays([_column(cols[f.name], f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, fields)
 
@@ -110,7 +165,7 @@ def struct(columns: str) -> T.StructType:
     return T.StructType([T.StructField(n, _KINDS[k]) for n, k in (c.split() for c in columns.split(","))])
 
 
-def _fields(schema: str | list[tuple]) -> T.StructType:
-    if isinstance(schema, str):
-        return struct(schema)
+def _fields(schema: str | list[tuple] | T.StructType) -> T.StructType:
+    if isinstance(schema, (str, T.StructType)):
+        return struct(schema) if isinstance(schema, str) else schema
     return T.StructType([T.StructField(n, t if isinstance(t, T.DataType) else _KINDS[t]) for n, t in schema])

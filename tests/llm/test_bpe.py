@@ -28,6 +28,17 @@ def vocabulary(ranks):
     return bpe.Vocabulary(ranks)
 
 
+def test_white_space_of_all_kinds_between_words(ranks, judge):
+    rnd, encoder = random.Random(6), bpe.TextEncoder(ranks, PATTERN)
+    gaps = [" "] * 6 + ["\n", "\n\n", "  ", " \n", "\n ", "\t", "\r\n", "\u00a0", " \u2003", "\x1c", "\x85"]
+    texts = []
+    for _ in range(400):
+        words = [rnd.choice(["the", "cat,", "don't", "x1", "é.", "--", "'s", "42nd"]) for _ in range(rnd.randint(0, 9))]
+        body = "".join(w + rnd.choice(gaps if rnd.random() < 0.5 else [" ", "\n"]) for w in words)
+        texts.append(rnd.choice(["", " ", "\n"]) + (body if rnd.random() < 0.5 else body.strip(" ")))
+    assert [x.tolist() for x in encoder.encode_all(texts)] == [judge.encode_ordinary(t) for t in texts]
+
+
 @pytest.mark.parametrize("letters", ["ab", "aeiouthn ", "a", "\n \t.x=-", "0123456789abcdef", "éñü 漢字 ", "'stredvml A"])
 def test_texts_encode_as_tiktoken_does(ranks, judge, letters):
     encoder, rnd = bpe.TextEncoder(ranks, PATTERN), random.Random(1)
@@ -75,6 +86,7 @@ def test_edits_are_exact_and_local(vocabulary):
 
 def test_cache_generations_do_not_change_results(ranks, judge, monkeypatch):
     monkeypatch.setattr(bpe, "CACHED_PIECES", 5)
+    monkeypatch.setattr(bpe, "CACHED_WORDS", 3)
     encoder = bpe.TextEncoder(ranks, PATTERN)
     texts = ["the cat sat on the mat", "another cat, another mat", "the cat sat on the mat"] * 3
     for t in texts:
@@ -89,6 +101,8 @@ def test_odd_documents_round_trip(spark, judge):
         assert r["ids"] == judge.encode_ordinary(r["text"] or "")
         assert bytes(r["decoded"]) == (r["text"] or "").encode()
         assert (r["key"], r["size"]) == ("k", "big")
+    at_once = bpe.encode(odd_docs(spark), PATH, PATTERN, decoded="decoded").select(coded.columns).collect()
+    assert sorted(map(repr, at_once)) == sorted(map(repr, rows))
 
 
 def test_empty_table(spark):
