@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginlake.llm import bpe, language, mixing, neardup, substrings
-from marginlake.llm.common import store, table
+from marginlake.llm.common import store, table, temporary
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_tokens, ids, and whether the decoded ids are the text."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    coded = bpe.encode(docs, path, public_tokenizers.PATTERN, decoded="decoded")
     return coded.select(
         "doc_id",
         "source",
@@ -64,7 +64,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's output is a table that the next one reads."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with temporary(spark):  # what the stage stores on its way
+            docs = store(stage(spark, docs, sf_dir), f"pipeline-{name}", lasting=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginlake.llm.common import U64, by_batch, store, struct
+from marginlake.llm.common import U64, by_batch, slices, store, struct, temporary
 from marginlake.llm.graph import components
 from marginlake.llm.minhash import bands, shingles, signatures
 
@@ -111,7 +111,7 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches):
         at, hub = None, None
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for h, part, kind, node, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = np.frombuffer(data, U64)
@@ -197,7 +197,7 @@ def settle_buckets(members: DataFrame, sets: DataFrame) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for b, i, j, side, node, comp, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (b, i, j) != held:
                     yield from done()
@@ -245,14 +245,7 @@ def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return links.unionByName(settle_buckets(open_.select("bucket", "node", "comp"), sets))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document.
-
-    Texts without words, null ones too, are linked with nothing. Rows with one
-    shingle set are linked, also where they have one id. component_id is the
-    least id that is not null; where all are null it is null, and all are
-    kept. An empty table gives no rows.
-    """
+def _grouped(docs: DataFrame) -> DataFrame:
     rows = store(described(docs), "signatures")
     classes = store(
         rows.filter("node is not null")
@@ -273,6 +266,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document.
+
+    Texts without words, null ones too, are linked with nothing. Rows with one
+    shingle set are linked, also where they have one id. component_id is the
+    least id that is not null; where all are null it is null, and all are
+    kept. An empty table gives no rows. The result is a stored table; the tables on
+    the way to it go.
+    """
+    with temporary(docs.sparkSession):
+        return store(_grouped(docs), "near-duplicates", lasting=True)
+
+
 def drop_copies(docs: DataFrame) -> DataFrame:
     """One document of each group: that with the least id; rows that repeat it in full go too."""
     kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()

@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from marginlake.llm.common import U64, by_batch, hashes, mix, struct, windows, words
+from marginlake.llm.common import U64, by_batch, hashes, mix, release, struct, windows, words
 
 WINDOW = 13
 #: Words that a chunk holds; a longer document is a chunk of its own.
-CHUNK_WORDS = 2_500_000
+CHUNK_WORDS = 1_200_000
 #: Rows of the sketch, each with its own hash.
 ROWS = 2
 #: Cells of a sketch row: the power of two from a quarter of the corpus's bytes,
@@ -84,6 +84,7 @@ class Chunk:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+    release()
     chunk = Chunk()
     for batch in batches:
         for key, tag, text in zip(*batch.columns, strict=True):
