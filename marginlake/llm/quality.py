@@ -11,11 +11,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginlake.llm.common import by_batch, hashes, store, struct, windows, words
+from marginlake.llm.common import by_batch, hashes, store, struct, temporary, windows, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -145,39 +144,34 @@ def _distance(params: Column) -> Column:
 MODEL = struct("level string, n long, centre doubles, inverse doubles, log_det double")
 
 
-def _fit(inner: float | None, within: float | None, scale: float):
-    """From bins of distances with their moments to the next centre and scatter.
+def fit(bins: list[dict], inner: float | None, within: float | None, scale: float) -> tuple:
+    """From bins of distances (bin, n, sums, products) of a level to its n, centre, inverse scatter and log determinant.
 
     Bins from the centre outwards are taken until they hold the share ``inner``,
     or up to the distance ``within``.
     """
-    floors = np.diag([f[2] ** 2 for f in FEATURES])
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bin")
-        n = pdf["n"].to_numpy(np.int64)
-        if within is None:
-            held = np.searchsorted(np.cumsum(n), inner * n.sum()) + 1
-        else:
-            held = max(1, int((pdf["bin"] <= _bin_of(within)).sum()))
-        m = n[:held].sum()
-        s = np.array([pdf[f"s{i}"].to_numpy()[:held].sum() for i in range(DIMENSIONS)]) / m
-        cov = np.zeros((DIMENSIONS, DIMENSIONS))
-        for k, (i, j) in enumerate(PAIRS):
-            cov[i, j] = cov[j, i] = pdf[f"p{k}"].to_numpy()[:held].sum() / m - s[i] * s[j]
-        cov = cov * scale + floors
-        inverse = np.linalg.inv(cov)
-        return pd.DataFrame(
-            {
-                "level": [pdf["level"].iloc[0]],
-                "n": [int(n.sum())],
-                "centre": [s.tolist()],
-                "inverse": [[float(inverse[i, j]) for i, j in PAIRS]],
-                "log_det": [float(np.linalg.slogdet(cov)[1])],
-            }
-        )
+    n = np.array([b["n"] for b in bins], np.int64)
+    if within is None:
+        held = np.searchsorted(np.cumsum(n), inner * n.sum()) + 1
+    else:
+        held = max(1, sum(b["bin"] <= _bin_of(within) for b in bins))
+    m = n[:held].sum()
+    mean = np.sum([b["sums"] for b in bins[:held]], axis=0) / m
+    products = np.sum([b["products"] for b in bins[:held]], axis=0) / m
+    cov = np.zeros((DIMENSIONS, DIMENSIONS))
+    for k, (i, j) in enumerate(PAIRS):
+        cov[i, j] = cov[j, i] = products[k] - mean[i] * mean[j]
+    cov = cov * scale + np.diag([f[2] ** 2 for f in FEATURES])
+    inverse = np.linalg.inv(cov)
+    return int(n.sum()), mean.tolist(), [float(inverse[i, j]) for i, j in PAIRS], float(np.linalg.slogdet(cov)[1])
+
+
+def _fitted(bins: DataFrame, inner: float | None, within: float | None, scale: float) -> DataFrame:
+    def step(cols):
+        found = [fit(b, inner, within, scale) for b in cols["bins"].to_pylist()]
+        return {"level": cols["level"]} | dict(zip(("n", "centre", "inverse", "log_det"), zip(*found, strict=True), strict=True))
 
-    return fit
+    return by_batch(bins, lambda: step, MODEL)
 
 
 def _bin_of(distance: float) -> int:
@@ -185,11 +179,18 @@ def _bin_of(distance: float) -> int:
 
 
 def _moments(rows: DataFrame, distance: Column) -> DataFrame:
-    """Count, sums and sums of products for each level and bin of distance: a few rows, combined before the shuffle."""
+    """level, bins: for each bin of distance its count, sums and sums of products.
+
+    Combined before the shuffle; a level has as many bins as its distances have
+    doublings, times BINS_PER_DOUBLING.
+    """
     bins = F.floor(F.log2(distance + F.lit(1e-6)) * BINS_PER_DOUBLING).cast("int")
-    sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(X)]
-    products = [F.sum(F.col(X[i]) * F.col(X[j])).alias(f"p{k}") for k, (i, j) in enumerate(PAIRS)]
-    return rows.groupBy("level", bins.alias("bin")).agg(F.count("*").alias("n"), *sums, *products)
+    sums = [F.sum(x) for x in X]
+    products = [F.sum(F.col(X[i]) * F.col(X[j])) for i, j in PAIRS]
+    binned = rows.groupBy("level", bins.alias("bin")).agg(
+        F.count("*").alias("n"), F.array(*sums).alias("sums"), F.array(*products).alias("products")
+    )
+    return binned.groupBy("level").agg(F.sort_array(F.collect_list(F.struct("bin", "n", "sums", "products"))).alias("bins"))
 
 
 def estimate(rows: DataFrame) -> DataFrame:
@@ -222,21 +223,14 @@ def estimate(rows: DataFrame) -> DataFrame:
     for k in range(STEPS + 1):
         last = k == STEPS
         share = 0.975 if last else SHARE
-        fit = _fit(None if last else SHARE, chi2_quantile(share, DIMENSIONS) if last else None, trim_scale(share))
+        within = chi2_quantile(share, DIMENSIONS) if last else None
         placed = rows.join(model.select("level", F.struct("centre", "inverse").alias("model")), "level")
-        model = store(_moments(placed, _distance(F.col("model"))).groupBy("level").applyInPandas(fit, MODEL), f"quality-{k}")
+        bins = _moments(placed, _distance(F.col("model")))
+        model = store(_fitted(bins, None if last else SHARE, within, trim_scale(share)), f"quality-{k}")
     return model
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """Counts, base_failed, distance and kept for every document.
-
-    Null and empty texts have no words and fail. Null languages and sources are
-    groups of their own. Rows of one id are judged each by itself. Documents
-    that fail the base rules take no part in the estimate; the others are kept
-    unless their squared distance from the estimate of their group passes the
-    cutoff.
-    """
+def _judged(docs: DataFrame) -> DataFrame:
     counted = store(statistics(docs), "quality-counts")
     marked = counted.withColumn("base_failed", base_failed()).withColumn("levels", _levels())
     vectors = [expr().alias(x) for x, (_, expr, _) in zip(X, FEATURES, strict=True)]
@@ -253,3 +247,16 @@ def judge(docs: DataFrame) -> DataFrame:
     kept = judged.select(*columns, distance.alias("distance")).withColumn("kept", F.col("distance") <= cutoff)
     failed = marked.filter("base_failed").select(*columns, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
     return kept.unionByName(failed)
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """Counts, base_failed, distance and kept for every document.
+
+    Null and empty texts have no words and fail. Null languages and sources are
+    groups of their own. Rows of one id are judged each by itself. Documents
+    that fail the base rules take no part in the estimate; the others are kept
+    unless their squared distance from the estimate of their group passes the
+    cutoff. The result is a stored table; the tables on the way to it go.
+    """
+    with temporary(docs.sparkSession):
+        return store(_judged(docs), "quality", lasting=True)
