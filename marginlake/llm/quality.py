@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginlake.llm.common import by_batch, hashes, store, struct, temporary, windows, words
+from marginlake.llm.common import SPACES, by_batch, hashes, store, struct, temporary, windows, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -55,9 +55,9 @@ def count(text: str | None) -> tuple[int, ...]:
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     capitals = int(np.count_nonzero((raw - np.uint8(65)) < 26))
     n = len(tokens)
-    chars = len(text) - sum(map(text.count, "\t\n\x0b\x0c\r "))
+    chars = len(text) - sum(map(text.count, SPACES))
     symbols = sum(map(text.count, SYMBOLS))
-    lines = [x for x in text.split("\n") if x.strip("\t\n\x0b\x0c\r ")]
+    lines = [x for x in text.split("\n") if x.strip(SPACES)]
     repeated = 0
     if n > WINDOW:
         w = windows(hashes(tokens), WINDOW)
