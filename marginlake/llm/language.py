@@ -7,7 +7,7 @@ mean over its positions.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginlake.llm.common import by_batch
@@ -17,6 +17,8 @@ from marginlake.llm.recurrent import ByteTagger
 #: so many characters from a random place in each. Labels beyond the most
 #: frequent MOST_LABELS are not learned.
 SAMPLE_ROWS, SAMPLE_CHARS, MOST_LABELS = 400, 400, 64
+#: So many times the sample's rows are looked at to find those with the least hashes.
+OVERSAMPLE = 4
 UNITS = 8
 TRAIN_BYTES = 48
 PASSES, BATCH, RATE = 6, 256, 0.02
@@ -61,17 +63,27 @@ def train(rows: list[tuple[bytes, str]]) -> ByteTagger | None:
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """text, lang of the training sample: labelled documents that are not held out."""
-    from pyspark.sql import Window
+    """lang, place, text of the training sample: labelled documents that are not held out.
 
+    Of each language those whose hashes are least. Counts come first, so that
+    only a few times the sample's rows are moved, whatever the corpus's size.
+    """
     text = F.col("text").cast("string")
-    place = F.md5(F.concat(F.lit("language"), F.col("doc_id").cast("string")))
+    place = F.md5(F.concat(F.lit("language"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     begin = F.pmod(F.xxhash64(place), F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(1))) + 1
     labelled = docs.filter(F.col("lang").isNotNull() & text.rlike(r"\p{L}")).filter(
         ~F.coalesce(held_out(F.col("doc_id")), F.lit(False))
     )
-    part = labelled.select(
-        F.col("lang").cast("string").alias("lang"),
+    lang = F.col("lang").cast("string")
+    counts = labelled.groupBy(lang.alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LABELS).collect()
+    if not counts:
+        return labelled.select(lang.alias("lang"), place.alias("place"), text.alias("text"))
+    # The share of a language's hashes that holds OVERSAMPLE times its sample.
+    shares = {r["lang"]: min(1.0, OVERSAMPLE * SAMPLE_ROWS / r["count"]) for r in counts}
+    share = F.try_element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), lang)
+    near = F.conv(F.substring(place, 1, 8), 16, 10).cast("double") < share * float(1 << 32)
+    part = labelled.filter(near).select(
+        lang.alias("lang"),
         place.alias("place"),
         F.substring(text, begin.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"),
     )
@@ -109,11 +121,7 @@ def has_letter(text: str | None) -> bool:
 def fit(docs: DataFrame) -> ByteTagger | None:
     """Train on the driver from a sample of at most MOST_LABELS * SAMPLE_ROWS short texts."""
     rows = sample(docs).orderBy("lang", "place", "text").collect()  # bounded by the sample
-    counts: dict[str, int] = {}
-    for r in rows:
-        counts[r["lang"]] = counts.get(r["lang"], 0) + 1
-    known = set(sorted(counts, key=lambda k: (-counts[k], k))[:MOST_LABELS])
-    return train([(r["text"].encode("utf-8", "surrogatepass"), r["lang"]) for r in rows if r["lang"] in known])
+    return train([(r["text"].encode("utf-8", "surrogatepass"), r["lang"]) for r in rows])
 
 
 def identify(docs: DataFrame, model: ByteTagger | None, text: str = "text") -> DataFrame:
