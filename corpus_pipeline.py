@@ -14,6 +14,10 @@ from marginlake.llm import bpe, language, mixing, neardup, substrings
 from marginlake.llm.common import store, table, temporary
 
 
+#: Documents as similar as this, in percent of their shingles, are near copies. op4 has a threshold of its own.
+NEAR_PERCENT = 80
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters; those without a language get the predicted one."""
     return language.keep_identified(docs)
@@ -21,7 +25,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the least id."""
-    return neardup.drop_copies(docs)
+    return neardup.drop_copies(docs, NEAR_PERCENT)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 1. Documents of one shingle set are one class; only classes go on.
 2. One-permutation signatures give each class a key for each band; classes of
-   one key are a bucket. At the threshold a pair misses all 32 buckets once in
-   four million times.
+   one key are a bucket. Bands are cut so that a pair at the threshold, whatever
+   it is, misses all buckets once in four million times.
 3. Stars: the most central class of a bucket is compared with the others. That
    is one pair for each member, not all pairs, and mostly joins the bucket.
    What a star leaves open gets another.
@@ -15,6 +15,8 @@ Every link is confirmed on full shingle sets.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,8 +27,10 @@ from marginlake.llm.common import U64, by_batch, slices, store, struct, temporar
 from marginlake.llm.graph import components
 from marginlake.llm.minhash import bands, shingles, signatures
 
+#: The threshold of op4; other callers give their own.
 PERCENT = 85
-BANDS, BAND_BINS = 32, 6
+#: How likely a pair at the threshold may miss all buckets.
+MISS = 2.7e-7
 #: Rounds of stars before what is open is settled.
 STARS = 2
 #: Members of a star that one task group compares with the hub.
@@ -37,6 +41,13 @@ BLOCK = 512
 TOGETHER = 512
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Bands, and bins of each: a band agrees with a chance of 0.3 or more at the threshold; 32 of 6 at 85, 39 of 5 at 80."""
+    like = min(percent, 99) / 100
+    bins = min(8, max(1, round(math.log(0.35) / math.log(like))))
+    return math.ceil(math.log(MISS) / math.log1p(-(like**bins))), bins
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether 100 * intersection >= percent * union of two ascending sets."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
@@ -50,8 +61,9 @@ def _node(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def described(docs: DataFrame) -> DataFrame:
+def described(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, node (names the shingle set; null if empty), n_shingles, bands."""
+    count, bins = banding(percent)
 
     def step(cols):
         texts = cols["text"].to_pylist()
@@ -60,9 +72,9 @@ def described(docs: DataFrame) -> DataFrame:
             sets = [shingles(t) for t in texts[i : i + TOGETHER]]
             sizes += map(len, sets)
             nodes += (_node(s) if len(s) else None for s in sets)
-            keys.append(bands(signatures(sets, BANDS * BAND_BINS), BAND_BINS))
+            keys.append(bands(signatures(sets, count * bins), bins))
         flat = np.concatenate(keys).view(np.int64).reshape(-1)
-        ends = np.arange(len(texts) + 1, dtype=np.int32) * BANDS
+        ends = np.arange(len(texts) + 1, dtype=np.int32) * count
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
         return {"doc_id": cols["doc_id"], "node": nodes, "n_shingles": sizes, "bands": lists}
 
@@ -92,7 +104,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return by_batch(rows, lambda: step, "node long, shingles binary")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of pairs (hub, member) those that are linked. Both columns name classes.
 
     A hub's set goes to every STAR_MEMBERS of its members, so that a hub of
@@ -117,7 +129,7 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 s = np.frombuffer(data, U64)
                 if kind == 0:
                     at, hub = (h, part), s
-                elif at == (h, part) and linked(hub, s):
+                elif at == (h, part) and linked(hub, s, percent):
                     found.append((h, node))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
@@ -176,7 +188,7 @@ def settle(nodes: list[int], comps: list[int], sides: list[int], data: list[byte
     return found
 
 
-def settle_buckets(members: DataFrame, sets: DataFrame) -> DataFrame:
+def settle_buckets(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """All links across components in buckets: ``members`` has bucket, node, comp."""
     out = struct("a long, b long")
     sized = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -193,7 +205,7 @@ def settle_buckets(members: DataFrame, sets: DataFrame) -> DataFrame:
         held, group = None, []
 
         def done():
-            found = settle(*zip(*group, strict=True)) if len(group) > 1 else []
+            found = settle(*zip(*group, strict=True), percent=percent) if len(group) > 1 else []
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
@@ -208,7 +220,7 @@ def settle_buckets(members: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node").mapInArrow(run, out)
 
 
-def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def class_links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between classes that join all that the threshold joins.
 
     ``classes``: node, n_shingles, first_id, bands.
@@ -230,11 +242,11 @@ def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         faced = store(open_.join(hubs, "bucket").filter("node != hub.node"), f"star-{k}")
         least, most = F.least("n_shingles", "hub.n_shingles"), F.greatest("n_shingles", "hub.n_shingles")
         pairs = (
-            faced.filter((F.col("comp") != F.col("hub.comp")) & (100 * least >= PERCENT * most))
+            faced.filter((F.col("comp") != F.col("hub.comp")) & (100 * least >= percent * most))
             .select(F.col("hub.node").alias("hub"), F.col("node").alias("member"))
             .distinct()
         )
-        found = confirm(pairs, sets)
+        found = confirm(pairs, sets, percent)
         links = store(found if links is None else links.unionByName(found), f"links-{k}")
         comps = components(links).withColumnRenamed("component", "new_comp")
         # The hub has met all others and goes; a bucket of one component is done.
@@ -242,18 +254,18 @@ def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         moved = store(moved.select("bucket", "node", "n_shingles", "score", "comp"), f"open-{k}")
         several = moved.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1")
         open_ = moved.join(several.select("bucket"), "bucket")
-    return links.unionByName(settle_buckets(open_.select("bucket", "node", "comp"), sets))
+    return links.unionByName(settle_buckets(open_.select("bucket", "node", "comp"), sets, percent))
 
 
-def _grouped(docs: DataFrame) -> DataFrame:
-    rows = store(described(docs), "signatures")
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    rows = store(described(docs, percent), "signatures")
     classes = store(
         rows.filter("node is not null")
         .groupBy("node", "n_shingles")
         .agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")),
         "classes",
     )
-    found = components(class_links(docs, classes))
+    found = components(class_links(docs, classes, percent))
     placed = (
         classes.select("node", "first_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     )
@@ -266,8 +278,8 @@ def _grouped(docs: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document.
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document; similar by ``percent`` or more are linked.
 
     Texts without words, null ones too, are linked with nothing. Rows with one
     shingle set are linked, also where they have one id. component_id is the
@@ -276,10 +288,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     the way to it go.
     """
     with temporary(docs.sparkSession):
-        return store(_grouped(docs), "near-duplicates", lasting=True)
+        return store(_grouped(docs, percent), "near-duplicates", lasting=True)
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
+def drop_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each group: that with the least id; rows that repeat it in full go too."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = near_duplicates(docs, percent).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept"))).drop("__kept")
