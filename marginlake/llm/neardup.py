@@ -20,7 +20,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginlake.llm.common import U64, by_batch, slices, store, struct, temporary
@@ -61,8 +61,13 @@ def _node(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
+def text_hash() -> Column:
+    """Tells rows of one id apart."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def described(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, node (names the shingle set; null if empty), n_shingles, bands."""
+    """doc_id, text_hash, node (names the shingle set; null if empty), n_shingles, bands."""
     count, bins = banding(percent)
 
     def step(cols):
@@ -76,10 +81,11 @@ def described(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         flat = np.concatenate(keys).view(np.int64).reshape(-1)
         ends = np.arange(len(texts) + 1, dtype=np.int32) * count
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-        return {"doc_id": cols["doc_id"], "node": nodes, "n_shingles": sizes, "bands": lists}
+        return {"doc_id": cols["doc_id"], "text_hash": cols["text_hash"], "node": nodes, "n_shingles": sizes, "bands": lists}
 
-    schema = [("doc_id", docs.schema["doc_id"].dataType), ("node", "long"), ("n_shingles", "long"), ("bands", "longs")]
-    return by_batch(docs.select("doc_id", F.col("text").cast("string").alias("text")), lambda: step, schema)
+    schema = [("doc_id", docs.schema["doc_id"].dataType), ("text_hash", "long"), ("node", "long"), ("n_shingles", "long"), ("bands", "longs")]
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), text_hash().alias("text_hash"))
+    return by_batch(rows, lambda: step, schema)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -258,6 +264,7 @@ def class_links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) ->
 
 
 def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """What near_duplicates returns, text_hash, and component: the name of the group, null for texts without words."""
     rows = store(described(docs, percent), "signatures")
     classes = store(
         rows.filter("node is not null")
@@ -270,12 +277,13 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
         classes.select("node", "first_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     )
     least = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = store(placed.join(least, "component").select("node", "component_id"), "components")
-    joined = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    named = store(placed.join(least, "component").select("node", "component", "component_id"), "components")
+    joined = rows.select("doc_id", "text_hash", "n_shingles", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
-    )
+        "doc_id", "text_hash", "n_shingles", "component",
+        component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"),
+    )
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -288,10 +296,28 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     the way to it go.
     """
     with temporary(docs.sparkSession):
-        return store(_grouped(docs, percent), "near-duplicates", lasting=True)
+        found = _grouped(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
+        return store(found, "near-duplicates", lasting=True)
 
 
 def drop_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each group: that with the least id; rows that repeat it in full go too."""
-    kept = near_duplicates(docs, percent).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept"))).drop("__kept")
+    """One row of each group: of those with the least id the one whose text's hash is least.
+
+    Texts without words are groups of their own, but for rows with one id and
+    one text. Of rows with one id and one text that with the least other columns stays.
+    """
+    alone = F.col("component").isNull()
+    with temporary(docs.sparkSession):
+        rows = _grouped(docs, percent).filter("kept")
+        counts = rows.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+        group = ("component", F.when(alone, F.col("doc_id")).alias("id"), F.when(alone, F.col("text_hash")).alias("hash"))
+        # All kept rows of a group have one id.
+        one = counts.groupBy(*group).agg(F.min(F.struct("text_hash", "doc_id", "rows")).alias("one"))
+        one = one.select(F.col("one.doc_id").alias("__kept"), F.col("one.text_hash").alias("__kept_hash"), F.col("one.rows").alias("__rows"))
+        chosen = store(one, "kept-rows", lasting=True)
+    at = F.col("doc_id").eqNullSafe(F.col("__kept")) & (text_hash() == F.col("__kept_hash"))
+    once = docs.join(chosen.filter("__rows = 1"), at).select(*docs.columns)
+    # Only rows that are there more than once are brought together.
+    more = docs.join(chosen.filter("__rows > 1"), at).groupBy("__kept", "__kept_hash")
+    least = more.agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    return once.unionByName(least.select("__row.*"))
