@@ -14,18 +14,21 @@ from marginlake.llm.common import by_batch
 from marginlake.llm.recurrent import ByteTagger
 
 #: The training sample: so many documents of each language, chosen by hash, and
-#: so many characters from a random place in each. Labels beyond the most
-#: frequent MOST_LABELS are not learned.
-SAMPLE_ROWS, SAMPLE_CHARS, MOST_LABELS = 400, 400, 64
+#: so many characters from a random place in each. Every label is learned; where
+#: they are so many that SAMPLE_TOTAL would be passed, each has fewer documents, at least one.
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_TOTAL = 400, 400, 25_600
 #: So many times the sample's rows are looked at to find those with the least hashes.
 OVERSAMPLE = 4
-UNITS = 8
+#: A language's sample counts as so many rows there at least, so that a small one is not missed by chance.
+LOOKED_AT = 16
+#: Units of each direction; more than FEW_LABELS need the larger number.
+UNITS, MANY_UNITS, FEW_LABELS = 8, 24, 16
 TRAIN_BYTES = 48
 PASSES, BATCH, RATE = 6, 256, 0.02
 #: Texts are read in pieces of so many bytes; every byte is read.
 PIECE_BYTES = 96
-#: Pieces that are read at once.
-PIECES = 4096
+#: Pieces that are read at once, and pieces times labels.
+PIECES, PIECE_LABELS = 4096, 1 << 16
 UNKNOWN = "und"
 
 
@@ -57,7 +60,7 @@ def train(rows: list[tuple[bytes, str]]) -> ByteTagger | None:
         full = filled > 0
     number = {label: i for i, label in enumerate(labels)}
     y = np.array([number[label] for _, label in rows])[owner[full]]
-    model = ByteTagger(labels, UNITS)
+    model = ByteTagger(labels, UNITS if len(labels) <= FEW_LABELS else MANY_UNITS)
     model.fit(np.ascontiguousarray(pieces[full].T), y, PASSES, BATCH, RATE)
     return model
 
@@ -75,34 +78,36 @@ def sample(docs: DataFrame) -> DataFrame:
         ~F.coalesce(held_out(F.col("doc_id")), F.lit(False))
     )
     lang = F.col("lang").cast("string")
-    counts = labelled.groupBy(lang.alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LABELS).collect()
+    counts = labelled.groupBy(lang.alias("lang")).count().collect()  # a row for each label, as the network has
     if not counts:
         return labelled.select(lang.alias("lang"), place.alias("place"), text.alias("text"))
+    most = max(1, min(SAMPLE_ROWS, SAMPLE_TOTAL // len(counts)))
     # The share of a language's hashes that holds OVERSAMPLE times its sample.
-    shares = {r["lang"]: min(1.0, OVERSAMPLE * SAMPLE_ROWS / r["count"]) for r in counts}
-    share = F.try_element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), lang)
-    near = F.conv(F.substring(place, 1, 8), 16, 10).cast("double") < share * float(1 << 32)
-    part = labelled.filter(near).select(
+    shares = [(r["lang"], min(1.0, OVERSAMPLE * max(most, LOOKED_AT) / r["count"])) for r in counts]
+    shares = docs.sparkSession.createDataFrame(shares, "__lang string, __share double")
+    near = F.conv(F.substring(place, 1, 8), 16, 10).cast("double") < F.col("__share") * float(1 << 32)
+    part = labelled.join(F.broadcast(shares), lang == F.col("__lang")).filter(near).select(
         lang.alias("lang"),
         place.alias("place"),
         F.substring(text, begin.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"),
     )
     first = Window.partitionBy("lang").orderBy("place", "text")
-    return part.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE_ROWS)
+    return part.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= most)
 
 
 def pooled(model: ByteTagger, texts: list[bytes]) -> np.ndarray:
     """Mean label probabilities over all positions, a row for each text; none for empty ones (zeros)."""
     pieces, filled, owner = cut_pieces(texts, PIECE_BYTES)
     sums = np.zeros((len(texts), len(model.labels)))
-    for i in range(0, len(pieces), PIECES):
-        x = np.ascontiguousarray(pieces[i : i + PIECES].T)
+    at_once = max(1, min(PIECES, PIECE_LABELS // len(model.labels)))
+    for i in range(0, len(pieces), at_once):
+        x = np.ascontiguousarray(pieces[i : i + at_once].T)
         prob = model.probabilities(x)
-        some = filled[i : i + PIECES]
+        some = filled[i : i + at_once]
         inside = np.arange(PIECE_BYTES)[:, None] < some
         if (some < PIECE_BYTES).any():
             prob *= inside[:, None, :]
-        np.add.at(sums, owner[i : i + PIECES], prob.sum(axis=0).T)
+        np.add.at(sums, owner[i : i + at_once], prob.sum(axis=0).T)
     return sums / np.maximum(1, np.array([len(t) for t in texts]))[:, None]
 
 
@@ -119,7 +124,7 @@ def has_letter(text: str | None) -> bool:
 
 
 def fit(docs: DataFrame) -> ByteTagger | None:
-    """Train on the driver from a sample of at most MOST_LABELS * SAMPLE_ROWS short texts."""
+    """Train on the driver from a sample of short texts: at most SAMPLE_TOTAL, or one for each label."""
     rows = sample(docs).orderBy("lang", "place", "text").collect()  # bounded by the sample
     return train([(r["text"].encode("utf-8", "surrogatepass"), r["lang"]) for r in rows])
 
