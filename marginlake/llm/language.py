@@ -171,10 +171,14 @@ def _together(texts: list, size: int = 4_000_000):
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """Documents whose language is known, in their own columns; a null lang becomes the predicted one.
+    """Documents with letters, in their own columns; a null lang becomes the predicted one.
 
-    What has no letters is rejected. A low score is no reason to reject: it
-    also comes from documents in two languages.
+    Null texts and those without a letter are rejected. A low score is no reason
+    to reject: it also comes from documents in two languages. Where nothing could
+    be learned, a null lang stays null.
     """
-    found = identify(docs, fit(docs)).filter(F.col("lang_pred") != UNKNOWN)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    model = fit(docs)
+    lettered = docs.filter(F.col("text").cast("string").rlike(r"\p{L}"))
+    if model is None:
+        return lettered
+    return identify(lettered, model).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
