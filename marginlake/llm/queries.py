@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from marginlake.llm import bpe, fingerprints, htmltext, language, licenses, mixing, neardup, quality, substrings, warc
+from marginlake.llm import bpe, codes, fingerprints, htmltext, language, licenses, mixing, neardup, quality, substrings, warc
 from marginlake.llm.common import table
 
 
@@ -70,6 +70,11 @@ def op10_substrings(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
 
 
+def op13_vector_codes(spark, sf_dir):
+    found = codes.compress(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_byte_bpe": op2_byte_bpe,
@@ -81,6 +86,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_quality": op9_quality,
     "op10_substrings": op10_substrings,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE = {
@@ -97,6 +103,7 @@ select page_id, payload_bytes, payload_digest,
 from p left join k using (payload_digest, payload_bytes)
 """,
     "op7_mixing": mixing.SQL,
+    "op13_vector_codes": codes.SQL,
     # Shingles joined with themselves: right on samples, not meant for whole corpora.
     "op4_near_duplicates": r"""
 with recursive w as (
