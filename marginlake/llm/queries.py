@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from marginlake.llm import bpe, codes, fingerprints, htmltext, language, licenses, mixing, neardup, quality, substrings, warc
+from marginlake.llm import bpe, codes, fingerprints, htmltext, language, licenses, manifest, mixing, neardup, quality, substrings, vectors, warc
 from marginlake.llm.common import table
 
 
@@ -70,6 +70,14 @@ def op10_substrings(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    return manifest.manifest(table(spark, sf_dir, "documents")).drop("source")
+
+
+def op12_near_vectors(spark, sf_dir):
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op13_vector_codes(spark, sf_dir):
     found = codes.compress(table(spark, sf_dir, "embeddings"))
     return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
@@ -86,6 +94,8 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_quality": op9_quality,
     "op10_substrings": op10_substrings,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_near_vectors": op12_near_vectors,
     "op13_vector_codes": op13_vector_codes,
 }
 
@@ -103,6 +113,8 @@ select page_id, payload_bytes, payload_digest,
 from p left join k using (payload_digest, payload_bytes)
 """,
     "op7_mixing": mixing.SQL,
+    "op11_merkle_manifest": manifest.SQL,
+    "op12_near_vectors": vectors.SQL,
     "op13_vector_codes": codes.SQL,
     # Shingles joined with themselves: right on samples, not meant for whole corpora.
     "op4_near_duplicates": r"""

@@ -4,7 +4,7 @@ from tests.oracle_check import compare, sql_connection
 
 def test_each_operator_has_one_query():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
     assert "pipeline" in names
     assert {x for x in entry.oracle_sql() if x.startswith("op")} <= set(names)
