@@ -33,9 +33,11 @@ COSINE = 0.95
 #: Values of the sample on which rotations are learned: at most so many, whatever the table's size.
 SAMPLE_VALUES = 1_000_000
 #: How likely a pair at the threshold may share no table.
-MISS = 5e-4
+MISS = 1e-6
 #: How likely its first 64 bits may differ by more than is looked for.
-FAR = 1e-4
+FAR = 1e-6
+#: As many standard deviations: FAR of a normal distribution lies beyond.
+DEVIATIONS = 4.75
 #: Members of a table's bucket that chance alone brings, about.
 CROWD = 8
 #: Members of a bucket that are compared with as many others at a time.
@@ -114,7 +116,7 @@ def fit(sample: np.ndarray, classes: int, cosine: float = COSINE) -> Hashing:
     projections = np.hstack([first, quantised(centred, more, seed=8)]) if more > 0 else first
     off = (((centred @ projections[:, :64]) >= 0) != (((partner - mean) @ projections[:, :64]) >= 0)).sum(axis=1)
     spread = math.sqrt(float(off.var()) + 1e-9)
-    near = min(64, math.ceil(float(off.mean()) + 3.72 * spread + 1))  # 3.72 deviations: FAR of a normal tail
+    near = min(64, math.ceil(float(off.mean()) + DEVIATIONS * spread + 1))
     return Hashing(mean, projections, bits, tables, near)
 
 
@@ -291,11 +293,13 @@ def _compared(t: int, sides, node, size, keys, x, cosine) -> Iterator[pa.RecordB
             # A pair counts in the first table that it shares.
             new = np.concatenate([~(keys[a[k : k + 4096], :t] == keys[b[k : k + 4096], :t]).any(axis=1) for k in range(0, len(a), 4096)])
             a, b = a[new], b[new]
+        if not len(a):
+            continue
         np.add.at(links, a, size[b])
         np.add.at(links, b, size[a])
         # ``a`` ascends: one step for each row, and one for each component it joins.
         cuts = np.flatnonzero(a[1:] != a[:-1]) + 1
-        for n, others in zip(a[np.r_[0, cuts]].tolist() if len(a) else [], np.split(b, cuts), strict=True):
+        for n, others in zip(a[np.r_[0, cuts]].tolist(), np.split(b, cuts), strict=True):
             for met in np.unique(label[others]).tolist():
                 if met != label[n]:
                     forest.append((n, int(others[label[others] == met][0])))
