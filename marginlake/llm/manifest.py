@@ -78,24 +78,29 @@ def _beside(nodes: Column, at: Column) -> tuple[Column, Column]:
     return _joined(F.slice(nodes, at - digit + 1, digit)), _joined(F.slice(nodes, at + 2, RUN - 1 - digit))
 
 
+def _few(df: DataFrame, rows: int, together: int) -> DataFrame:
+    """At most one partition for every ``together`` of the rows there are: no small files."""
+    return df.coalesce(max(1, math.ceil(rows / together)))
+
+
 def placed(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Partitions (tree, block, blocks, members) and sources (tree, source); a tree is a source's place in order.
+    """Partitions (tree, block, blocks, members) and sources (source, tree, leaves).
 
-    Sources ascend bytewise, null first; so do leaves by doc_id, then by digest.
+    A tree is named by the place of its first leaf among all. Sources ascend
+    bytewise, null first; so do leaves by doc_id, then by digest.
     """
     found = store(found, "leaves")
     in_order = numbered(found, [F.col("source").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), F.col("leaf").asc()])
-    in_order = store(in_order, "leaves-in-order")
-    spans = store(in_order.groupBy("source").agg(F.min("position").alias("first"), F.count("*").alias("leaves")), "sources")
-    sources = numbered(spans, [F.col("first").asc()], "tree")
-    sources = store(sources.withColumns({"tree": F.col("tree") - 1, "__source": F.col("source")}).drop("source"), "trees")
+    spans = in_order.groupBy(F.col("source").alias("__source")).agg(F.min("position").alias("tree"), F.count("*").alias("leaves"))
+    spans = store(spans, "sources")
     width = RUN**LOCAL
-    own = in_order.join(sources, F.col("source").eqNullSafe(F.col("__source")))
-    own = own.withColumn("index", F.col("position") - F.col("first"))
+    own = in_order.join(spans, F.col("source").eqNullSafe(F.col("__source")))
+    own = own.withColumn("index", F.col("position") - F.col("tree"))
     blocks = own.groupBy(
         "tree", F.floor(F.col("index") / width).alias("block"), F.ceil(F.col("leaves") / width).alias("blocks")
     ).agg(F.array_sort(F.collect_list(F.struct("index", "doc_id", "leaf", "claimed"))).alias("members"))
-    return store(blocks, "blocks"), sources.select("tree", F.col("__source").alias("source"))
+    count = spans.agg(F.sum(F.ceil(F.col("leaves") / width))).first()[0] or 0
+    return store(_few(blocks, count, 1000), "blocks"), spans.withColumnRenamed("__source", "source")
 
 
 def hashed(blocks: DataFrame) -> DataFrame:
@@ -169,18 +174,20 @@ def manifest(docs: DataFrame) -> DataFrame:
     with temporary(docs.sparkSession):
         blocks, sources = placed(leaves(docs.select(*FIELDS)))
         levels = hashed(blocks)
-        most, trees = blocks.agg(F.max("blocks"), F.count_distinct("tree")).first()
+        most, count, trees = blocks.agg(F.max("blocks"), F.count("*"), F.count_distinct("tree")).first()
         roots = levels.select("tree", F.col("block").alias("index"), F.col("blocks").alias("nodes"), F.col(f"l{LOCAL}")[0].alias("digest"))
-        upper = store(butterfly(roots, most or 0).withColumnRenamed("root", "subroot"), "upper-proofs")
-        heads = upper.filter("index = 0").select(
-            F.lit(0).cast("long").alias("tree"), F.col("tree").alias("index"), F.lit(trees).cast("long").alias("nodes"), F.col("subroot").alias("digest")
-        )
-        tops = store(butterfly(heads, trees).select(F.col("index").alias("tree"), "root", F.col("above").alias("over")), "source-proofs")
-        tops = store(tops.join(sources, "tree"), "source-tops")
+        upper = store(_few(butterfly(roots, most or 0).withColumnRenamed("root", "subroot"), count, 5000), "upper-proofs")
+        heads = numbered(upper.filter("index = 0").select("tree", "subroot"), [F.col("tree").asc()], "place")
+        heads = heads.select(
+            F.lit(0).cast("long").alias("tree"), (F.col("place") - 1).alias("index"), F.lit(trees).cast("long").alias("nodes"),
+            F.col("subroot").alias("digest"), F.col("tree").alias("own"),
+        )
+        tops = butterfly(heads.drop("own"), trees).select("index", "root", F.col("above").alias("over"))
+        tops = heads.select("index", F.col("own").alias("tree")).join(tops, "index").join(sources, "tree")
+        tops = store(_few(tops.select("tree", "source", "root", "over"), trees, 5000), "source-proofs")
         upper = upper.join(tops, "tree").select(
             "tree", F.col("index").alias("block"), "source", "subroot", "root", F.concat("above", "over").alias("above")
         )
-        upper = store(upper, "proofs-of-blocks")
         return store(proofs(levels.join(upper, ["tree", "block"])), "manifest", lasting=True)
 
 
