@@ -43,17 +43,21 @@ def upsert(
     mutable: Sequence[str],
     seq: Sequence[str],
     on_conflict: Sequence[str] | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """``target`` with ``batch`` merged in; ``target`` has unique keys and keeps them.
 
     New keys take all columns from the batch. Known keys take only ``on_conflict``
     (default: all ``mutable``) and keep the rest. The batch is collapsed first, so
     both sides of the join are unique on the key and cannot be skewed by it. A
-    target bucketed on the key joins without moving.
+    target that has ``buckets`` buckets on the key joins without moving: the
+    collapsed batch is brought to them.
     """
     update = list(mutable if on_conflict is None else on_conflict)
     keep = [c for c in [*immutable, *mutable] if c not in update]
     changes = collapse(batch, key=key, first=keep, last=update, seq=seq)
+    if buckets:
+        changes = changes.repartition(buckets, *key)
     parts = [F.struct(*update).alias("_old_last")]
     if keep:
         parts.append(F.struct(*keep).alias("_old_first"))

@@ -1,125 +1,219 @@
-"""An order store fed by micro-batches: base snapshot plus append-only change log.
-
-A micro-batch writes only its own rows, so its cost does not depend on the size of
-the store. Readers fold the log into the base; ``compact`` makes that fold the next
-base. Folders: ``base/v=<batch>``, ``log/batch=<batch>``, ``dlq/batch=<batch>``.
+"""An order store fed by micro-batches: a levelled log of runs, bucketed and sorted by order id.
+
+A micro-batch becomes a run of level 0, with one row a key. FANOUT runs of one
+level are merged, bucket by bucket, into one run of the next level, so a row is
+written once a level and the cost of compaction follows the log, not the store.
+All runs have the same buckets: readers and merges fold them by key without
+moving them. The list of live runs is committed in one step (see ``buckets``);
+a replayed batch finds itself in it and does nothing. Folders that a merge has
+replaced go with the commit after the next, so that readers of the last list are not disturbed.
+
+With every batch go its signed deltas: what the rows that it changed were before
+(sign -1) and are now (sign 1), from which running sums are corrected.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginlake import schemas
-from marginlake.schemas import ORDER_IMMUTABLE, ORDER_MUTABLE
+from marginlake.sources import buckets as b
 from marginlake.sources import validate
-from marginlake.sources.merge import upsert
+from marginlake.sources.merge import collapse
 
 # Column that orders the rows of a micro-batch (file position, offset, event time).
 SEQ = "_seq"
-_LOG_SCHEMA = T.StructType(
-    [*schemas.ORDERS.fields, T.StructField(SEQ, T.LongType()), T.StructField("batch", T.LongType())]
-)
+KEY = ("order_id",)
+#: Buckets of a new store: so many that one fits a task at the size it will have.
+BUCKETS = 16
+#: Runs of one level that are merged into one of the next.
+FANOUT = 4
+_PART = "_run"
 
 # The live feed corrects less than a re-import does.
 LIVE_MUTABLE = ("gross_revenue", "status")
+#: What a delta carries beside its sign.
+DELTA = ("order_id", "order_date", "status", "gross_revenue", "cogs", "shipping_cost")
+
+
+def _content(spark: SparkSession, root: str) -> tuple[int, dict]:
+    version, content = b.latest_list(spark, root)
+    if version < 0:
+        content = {"buckets": BUCKETS, "last": list(LIVE_MUTABLE), "batch": -1, "runs": [], "deltas": [], "sums": None, "retired": []}
+    return version, content
 
 
-def _versions(spark: SparkSession, root: str, kind: str, prefix: str) -> list[int]:
-    """Numbers of the complete sub-folders ``<prefix>=<n>`` of ``root/kind``."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{root}/{kind}")
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    found = []
-    for status in fs.listStatus(folder):
-        path = status.getPath()
-        done = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-        if path.getName().startswith(f"{prefix}=") and fs.exists(done):
-            found.append(int(path.getName().split("=", 1)[1]))
-    return sorted(found)
+def _commit(spark: SparkSession, root: str, version: int, content: dict, retired: Sequence[str] = ()) -> None:
+    """The next list; folders that the list before this one retired go."""
+    b.commit_list(spark, root, version + 1, content | {"retired": list(retired)})
+    b.remove(spark, content["retired"])
+    b.prune_lists(spark, root, 2)
+
+
+def _folded(runs: DataFrame, last: Sequence[str]) -> DataFrame:
+    """One row a key from runs: ``last`` columns of the latest run, the others of the first one."""
+    columns = [f.name for f in schemas.ORDERS.fields if f.name not in KEY]
+    first = [c for c in columns if c not in last]
+    folded = runs.groupBy(*KEY).agg(
+        F.min_by(F.struct(*first), F.col(_PART)).alias("_first"), F.max_by(F.struct(*last), F.col(_PART)).alias("_last")
+    )
+    return folded.select(*KEY, *[F.col(f"_{'last' if c in last else 'first'}.{c}").alias(c) for c in columns])
 
 
-def write_batch(raw: DataFrame, batch_id: int, root: str, source: str) -> None:
-    """Validate one micro-batch and land it; a replay overwrites its own folders.
+def _scan(spark: SparkSession, content: dict, runs: Sequence[dict]) -> DataFrame:
+    """The rows of runs in one bucketed scan; ``_run`` grows with their age's end."""
+    folders = {k: run["folder"] for k, run in enumerate(runs)}
+    return b.read_folders(spark, folders, schemas.ORDERS, key=KEY, buckets=content["buckets"], part=_PART)
+
+
+def _current(spark: SparkSession, content: dict) -> DataFrame:
+    if not content["runs"]:
+        return spark.createDataFrame([], schemas.ORDERS)
+    return _folded(_scan(spark, content, content["runs"]), content["last"])
+
+
+def write_batch(raw: DataFrame, batch_id: int, root: str, source: str, at: Column | None = None) -> None:
+    """Validate one micro-batch and land it as a run, its dead letters and its deltas; a replay does nothing.
 
     ``raw`` needs the column ``_seq``; other columns are checked as an order feed.
+    ``at``: when the batch came (default: now).
+    """
+    spark = raw.sparkSession
+    version, content = _content(spark, root)
+    if batch_id <= content["batch"]:
+        return
+    # One time for the whole batch, also where lost parts of it are checked again.
+    arrived = F.lit(dt.datetime.now(dt.timezone.utc)) if at is None else at
+    # Checked once, read by the run, the deltas and the dead letters; lost parts are checked again.
+    checked = validate.check_orders(raw, keep=(SEQ,)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        dead = validate.quarantined(checked, source).withColumn("failed_at", arrived)
+        dead.write.mode("overwrite").parquet(f"{root}/dlq/batch={batch_id}")
+        good = schemas.conform(validate.good_orders(checked).withColumn("created_at", arrived), schemas.ORDERS, keep=(SEQ,))
+        columns = [f.name for f in schemas.ORDERS.fields if f.name not in KEY]
+        last, first = content["last"], [c for c in columns if c not in content["last"]]
+        once = collapse(good, key=KEY, first=first, last=last, seq=[SEQ])
+        once = once.select(*KEY, *[F.col(f"_{'last' if c in last else 'first'}.{c}").alias(c) for c in columns])
+        folder = f"{root}/runs/b{batch_id}-{uuid.uuid4().hex}"
+        b.write_folder(once.repartition(content["buckets"], *KEY), folder, key=KEY, buckets=content["buckets"])
+        run = {"folder": folder, "level": 0, "first": batch_id, "last": batch_id}
+        deltas = f"{root}/deltas/b{batch_id}-{uuid.uuid4().hex}"
+        with b.passing_scans(spark):
+            _deltas(spark, content, run).write.parquet(deltas)
+    finally:
+        checked.unpersist()
+    content["runs"].append(run)
+    content["deltas"].append({"folder": deltas, "batch": batch_id})
+    _commit(spark, root, version, content | {"batch": batch_id})
+
+
+def _deltas(spark: SparkSession, content: dict, run: dict) -> DataFrame:
+    """Rows that the run changes, as they were (sign -1) and as they are with it (sign 1).
+
+    Reads the columns of a delta from all runs; these lie in the same buckets, so nothing moves.
     """
-    checked = validate.check_orders(raw, keep=(SEQ,))
-    good = validate.good_orders(checked)
-    good = good.withColumn("created_at", F.current_timestamp())
-    # _seq (and the batch number, from the folder name) give the arrival order.
-    good.write.mode("overwrite").parquet(f"{root}/log/batch={batch_id}")
-    dead = validate.quarantined(checked, source)
-    dead.write.mode("overwrite").parquet(f"{root}/dlq/batch={batch_id}")
-
-
-def _log_since(spark: SparkSession, root: str, version: int) -> DataFrame | None:
-    batches = [b for b in _versions(spark, root, "log", "batch") if b > version]
-    if not batches:
-        return None
-    paths = [f"{root}/log/batch={b}" for b in batches]
-    return spark.read.schema(_LOG_SCHEMA).option("basePath", f"{root}/log").parquet(*paths)
-
-
-def _base(spark: SparkSession, root: str) -> tuple[int, DataFrame]:
-    versions = _versions(spark, root, "base", "v")
-    if not versions:
-        return -1, spark.createDataFrame([], schemas.ORDERS)
-    path = f"{root}/base/v={versions[-1]}"
-    return versions[-1], spark.read.schema(schemas.ORDERS).parquet(path)
-
-
-def current_orders(
-    spark: SparkSession, root: str, *, on_conflict: Sequence[str] = LIVE_MUTABLE
-) -> DataFrame:
-    """All orders as of the last complete micro-batch."""
-    version, base = _base(spark, root)
-    log = _log_since(spark, root, version)
-    if log is None:
-        return base
-    return upsert(
-        base,
-        log,
-        key=["order_id"],
-        immutable=list(ORDER_IMMUTABLE),
-        mutable=list(ORDER_MUTABLE),
-        seq=["batch", SEQ],
-        on_conflict=on_conflict,
+    fields = [f for f in schemas.ORDERS.fields if f.name in DELTA]
+    last = [c for c in content["last"] if c in DELTA]
+    first = [f.name for f in fields if f.name not in KEY and f.name not in last]
+    rows = _scan(spark, content, [*content["runs"], run])
+    new = F.col(_PART) == len(content["runs"])
+    state = F.struct(*first).alias("f"), F.struct(*last).alias("l")
+    both = rows.groupBy(*KEY).agg(
+        F.max(new).alias("touched"),
+        F.min_by(state[0], F.col(_PART)).alias("first"),
+        F.max_by(state[1], F.when(~new, F.col(_PART))).alias("old"),
+        F.max_by(state[1], F.col(_PART)).alias("new"),
+        F.count_if(~new).alias("known"),
+    )
+    changed = both.where("touched").where(~((F.col("known") > 0) & F.col("old").eqNullSafe(F.col("new"))))
+    signs = F.when(F.col("known") > 0, F.array(F.lit(-1), F.lit(1))).otherwise(F.array(F.lit(1)))
+    signed = changed.withColumn("sign", F.explode(signs))
+    side = F.when(F.col("sign") < 0, F.col("old")).otherwise(F.col("new"))
+    return signed.select(
+        "sign", *[(F.col(c) if c in KEY else side[c] if c in last else F.col("first")[c]).alias(c) for c in DELTA]
     )
 
 
+DELTA_SCHEMA = T.StructType(
+    [T.StructField("sign", T.IntegerType()), *[next(f for f in schemas.ORDERS.fields if f.name == c) for c in DELTA]]
+)
+
+
+def deltas(spark: SparkSession, root: str, *, after: int = -1) -> DataFrame:
+    """Signed rows (sign and the columns DELTA) of the batches after ``after`` that no sums have taken yet."""
+    _, content = _content(spark, root)
+    paths = [d["folder"] for d in content["deltas"] if d["batch"] > after]
+    return spark.read.schema(DELTA_SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], DELTA_SCHEMA)
+
+
 def touched_days(spark: SparkSession, root: str, *, after: int = -1) -> DataFrame:
-    """Days (column ``date``) of the orders that batches after ``after`` brought or changed.
+    """Days (column ``date``) of the orders that batches after ``after`` brought or changed: from the deltas alone."""
+    return deltas(spark, root, after=after).select(F.to_date("order_date").alias("date")).distinct()
+
+
+def fold_sums(spark: SparkSession, root: str, fold, schema: T.StructType) -> DataFrame:
+    """Stored running sums with all deltas taken in: ``fold(sums or None, deltas)`` gives the new sums.
 
-    The day of a known order stays, so the log alone tells which days to recompute.
+    The new sums and the list without the deltas that they took are one commit, so no
+    delta is taken twice or lost.
     """
-    log = _log_since(spark, root, after)
-    if log is None:
-        return spark.createDataFrame([], "date date")
-    held = current_orders(spark, root).select("order_id", F.to_date("order_date").alias("date"))
-    return held.join(log.select("order_id").distinct(), "order_id", "left_semi").select("date").distinct()
+    version, content = _content(spark, root)
+    held = spark.read.schema(schema).parquet(content["sums"]) if content["sums"] else None
+    if content["deltas"]:
+        path = f"{root}/sums/v{version + 1}-{uuid.uuid4().hex}"
+        fold(held, deltas(spark, root)).select(*schema.names).write.parquet(path)
+        old = [d["folder"] for d in content["deltas"]] + ([content["sums"]] if content["sums"] else [])
+        _commit(spark, root, version, content | {"sums": path, "deltas": []}, old)
+        held = spark.read.schema(schema).parquet(path)
+    return spark.createDataFrame([], schema) if held is None else held
+
+
+def current_orders(spark: SparkSession, root: str) -> DataFrame:
+    """All orders as of the last complete micro-batch; no run is moved."""
+    return _current(spark, _content(spark, root)[1])
 
 
 def dead_letters(spark: SparkSession, root: str) -> DataFrame:
-    batches = _versions(spark, root, "dlq", "batch")
-    if not batches:
+    """Dead letters of all complete micro-batches."""
+    _, content = _content(spark, root)
+    if content["batch"] < 0:
         return spark.createDataFrame([], schemas.DLQ)
-    return spark.read.schema(schemas.DLQ).parquet(*[f"{root}/dlq/batch={b}" for b in batches])
-
-
-def compact(
-    spark: SparkSession, root: str, *, on_conflict: Sequence[str] = LIVE_MUTABLE
-) -> int:
-    """Fold the log into a new base; returns the batch number it now covers."""
-    version, _ = _base(spark, root)
-    batches = [b for b in _versions(spark, root, "log", "batch") if b > version]
-    if not batches:
-        return version
-    target = f"{root}/base/v={batches[-1]}"
-    current_orders(spark, root, on_conflict=on_conflict).write.mode("overwrite").parquet(target)
-    return batches[-1]
+    rows = spark.read.schema(T.StructType([*schemas.DLQ.fields, T.StructField("batch", T.LongType())])).parquet(f"{root}/dlq")
+    return rows.where(F.col("batch") <= content["batch"]).drop("batch")
+
+
+def compact(spark: SparkSession, root: str, *, fanout: int = FANOUT) -> int:
+    """Merge runs until no level has ``fanout`` of them; returns the number of the last batch.
+
+    A merge reads and writes the runs of one level, never the store as a whole
+    unless that level holds it. Runs of a level are neighbours in age: merging them keeps the order.
+    """
+    while True:
+        version, content = _content(spark, root)
+        levels: dict[int, list[dict]] = {}
+        for run in content["runs"]:
+            levels.setdefault(run["level"], []).append(run)
+        full = [level for level, runs in sorted(levels.items()) if len(runs) >= fanout]
+        if not full:
+            return content["batch"]
+        old = levels[full[0]]
+        merged = {
+            "folder": f"{root}/runs/l{full[0] + 1}-{uuid.uuid4().hex}",
+            "level": full[0] + 1,
+            "first": old[0]["first"],
+            "last": old[-1]["last"],
+        }
+        with b.passing_scans(spark):
+            rows = _folded(_scan(spark, content, old), content["last"])
+            b.write_folder(rows, merged["folder"], key=KEY, buckets=content["buckets"])
+        runs = [run for run in content["runs"] if run["level"] != full[0]]
+        at = sum(run["level"] > full[0] for run in runs)
+        runs.insert(at, merged)
+        _commit(spark, root, version, content | {"runs": runs}, [run["folder"] for run in old])

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marginlake.functions.money import money_sum, ratio_or_zero
 from marginlake.operators.staging import COMPLETED
+from marginlake.streaming import changelog
 
 
 def daily_flows(
@@ -19,7 +23,7 @@ def daily_flows(
     """Running sums per day: orders, revenue, margin and spend.
 
     Completed orders are de-duplicated by id within the watermark, so an order
-    counts once it is first seen completed; what changes later is corrected by
+    counts once it is first seen completed; what changes later, or comes too late, is corrected by
     ``corrected_days``. Orders and spend are
     signed flows of one stream, so one stateful aggregate replaces the outer join.
     Rows later than ``delay`` behind the newest event are dropped. State holds the
@@ -97,32 +101,41 @@ def latest_days(updates: DataFrame) -> DataFrame:
     return updates.groupBy("date").agg(F.max_by(row, F.col("batch")).alias("r")).select("date", "r.*")
 
 
-def corrected_days(
-    current: DataFrame, touched: DataFrame, ads: DataFrame, *, completed: str = COMPLETED
-) -> DataFrame:
-    """Recompute whole days after corrections that a running sum cannot retract.
+#: Running sums of completed orders by day.
+ORDER_SUMS = T.StructType(
+    [
+        T.StructField("date", T.DateType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("revenue", T.DecimalType(20, 2)),
+        T.StructField("margin", T.DecimalType(20, 2)),
+    ]
+)
 
-    ``current`` are the merged orders, ``touched`` the days (column ``date``) that
-    corrected orders belong to; other days are filtered out before they are summed.
-    """
+
+def add_deltas(sums: DataFrame | None, deltas: DataFrame, *, completed: str = COMPLETED) -> DataFrame:
+    """Sums by day with signed rows (see ``changelog``) taken in: old rows go out, new ones come in."""
+    counted = deltas.where(F.col("status") == completed)
+    sign = F.col("sign").cast("long")
     margin = F.col("gross_revenue") - F.col("cogs") - F.col("shipping_cost")
-    days = touched.select("date").distinct()
-    sold = (
-        current.where(F.col("status") == completed)
-        .withColumn("date", F.to_date("order_date"))
-        .join(days, "date", "left_semi")
-        .groupBy("date")
-        .agg(
-            F.count_distinct("order_id").alias("n"),
-            money_sum("gross_revenue").alias("revenue"),
-            money_sum(margin).alias("margin"),
-        )
+    rows = counted.select(
+        F.to_date("order_date").alias("date"),
+        sign.alias("n"),
+        F.when(sign > 0, F.col("gross_revenue")).otherwise(-F.col("gross_revenue")).cast("decimal(20,2)").alias("revenue"),
+        F.when(sign > 0, margin).otherwise(-margin).cast("decimal(20,2)").alias("margin"),
     )
-    spent = (
-        ads.withColumn("date", F.to_date("date"))
-        .join(days, "date", "left_semi")
-        .groupBy("date")
-        .agg(money_sum("spend").alias("spend"))
-    )
-    filled = days.join(sold, "date", "left").join(spent, "date", "left")
-    return economics_of(filled.na.fill(0, ["n", "revenue", "margin", "spend"]))
+    if sums is not None:
+        rows = rows.unionByName(sums)
+    return rows.groupBy("date").agg(F.sum("n").alias("n"), money_sum("revenue").alias("revenue"), money_sum("margin").alias("margin"))
+
+
+def corrected_days(spark: SparkSession, root: str, ads: DataFrame, *, completed: str = COMPLETED) -> DataFrame:
+    """Daily economics of the order store under ``root`` as of its last batch, and of ``ads``.
+
+    Takes the deltas of the batches since the last call into the stored sums: what
+    changed long ago, or came late, is corrected without reading the orders again. Days that
+    neither sold nor spent anything are left out.
+    """
+    sums = changelog.fold_sums(spark, root, partial(add_deltas, completed=completed), ORDER_SUMS)
+    spent = ads.groupBy(F.to_date("date").alias("date")).agg(money_sum("spend").alias("spend"))
+    days = sums.where("n > 0").join(spent, "date", "full_outer")
+    return economics_of(days.na.fill(0, ["n", "revenue", "margin", "spend"]))

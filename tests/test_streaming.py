@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from marginlake.operators import marts, staging
 from marginlake.schemas import ORDER_EVENT
-from marginlake.sources import files
+from marginlake.sources import buckets, files
 from marginlake.streaming import billing, changelog, ingest, live, throttle
-from tests.helpers import ad, ads_frame, dicts, one, order, orders_frame
+from tests.helpers import ad, ads_frame, dicts, one, order, orders_frame, plan_of
 
 FEED = "order_id string, customer_id string, order_date string, gross_revenue string, status string, _seq long"
 
@@ -108,11 +108,49 @@ def test_rows_behind_the_watermark_are_dropped(spark, tmp_path):
     assert "2025-01-01" not in days and "2025-03-02" in days
 
 
-def test_corrected_days(spark):
-    current = orders_frame(spark, [order(1, revenue="500"), order(2, day="2025-01-02"), order(3, day="2025-01-03", status="Refunded")])
-    touched = spark.createDataFrame([(dt.date(2025, 1, 1),), (dt.date(2025, 1, 3),), (dt.date(2025, 1, 3),)], "date date")
-    rows = dicts(live.corrected_days(current, touched, ads_frame(spark, [ad(), ad("2025-01-02")])), "date")
-    assert [(r["date"].day, r["total_orders"], r["total_revenue"], r["net_profit"]) for r in rows] == [(1, 1, 500, 455), (3, 0, 0, 0)]
+def land(spark, root, batch, rows):
+    raw = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], FEED)
+    changelog.write_batch(raw, batch, root, "t")
+
+
+def test_sums_follow_corrections_and_late_orders(spark, tmp_path):
+    root = str(tmp_path / "s")
+    ads = ads_frame(spark, [ad(spend="10"), ad("2025-01-09", spend="4")])
+    by_day = lambda: {str(r["date"]): (r["total_orders"], float(r["total_revenue"]), float(r["net_profit"])) for r in dicts(live.corrected_days(spark, root, ads))}
+    land(spark, root, 0, [("1", "c", "2025-01-01", "100", "Completed"), ("2", "c", "2025-01-02", "50", "Completed"), ("3", "c", "2025-01-02", "20", "Pending")])
+    assert by_day() == {"2025-01-01": (1, 100.0, 55.0), "2025-01-02": (1, 50.0, 32.5), "2025-01-09": (0, 0.0, -4.0)}
+    # A refund, a new price, an order that is completed at last, one that is months late, and one that changes nothing.
+    land(spark, root, 1, [("1", "c", "2025-01-01", "100", "Refunded"), ("3", "c", "2025-01-02", "30", "Completed"), ("4", "c", "2024-06-01", "10", "Completed"), ("2", "x", "2025-05-05", "50", "Completed")])
+    assert changelog.deltas(spark, root).count() == 5
+    want = {"2024-06-01": (1, 10.0, 6.5), "2025-01-01": (0, 0.0, -10.0), "2025-01-02": (2, 80.0, 55.5), "2025-01-09": (0, 0.0, -4.0)}
+    assert by_day() == want
+    assert by_day() == want and changelog.deltas(spark, root).count() == 0  # no delta counts twice
+    land(spark, root, 1, [("9", "c", "2025-01-01", "100", "Completed")])  # a replay
+    assert by_day() == want
+
+
+def test_compaction_writes_the_log_not_the_store(spark, tmp_path):
+    """Rows written by merges stay below those landed times the levels; folded folders go."""
+    root = str(tmp_path / "s")
+    runs = lambda: buckets.latest_list(spark, root)[1]["runs"]
+    written, seen, want = 0, set(), {}
+    for k in range(17):
+        rows = [(str(i), f"c{k}", "2025-01-01", str(k + 1), "Completed") for i in range(k * 3, k * 3 + 6)]
+        land(spark, root, k, rows)
+        for i, who, *_ in rows:
+            want[i] = (want.get(i, (who,))[0], k + 1)
+        assert changelog.compact(spark, root) == k
+        for run in runs():
+            if run["level"] and run["folder"] not in seen:
+                written += spark.read.parquet(run["folder"]).count()
+            seen.add(run["folder"])
+        assert {r["order_id"]: (r["customer_id"], int(r["gross_revenue"])) for r in dicts(changelog.current_orders(spark, root))} == want
+    assert sorted(run["level"] for run in runs()) == [0, 2] and written <= 2 * 17 * 6
+    live_now = {run["folder"].rsplit("/", 1)[1] for run in runs()}
+    there = set(buckets.names_in(spark, f"{root}/runs"))
+    assert live_now <= there and len(there) <= len(live_now) + 4  # what the last commit replaced goes with the next
+    assert len(buckets.names_in(spark, f"{root}/lists")) <= 4
+    assert "Exchange" not in plan_of(changelog.current_orders(spark, root))
 
 
 def event(kind, user=None, customer=None, seq=0, **extra):
@@ -141,13 +179,9 @@ BILLING = [
 def test_touched_days_come_from_the_log(spark, tmp_path):
     root = str(tmp_path / "s")
 
-    def land(batch, rows):
-        raw = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], FEED)
-        changelog.write_batch(raw, batch, root, "t")
-
-    land(0, [("1", "c", "2025-01-01", "10", "Completed"), ("2", "c", "2025-01-02", "10", "Completed")])
+    land(spark, root, 0, [("1", "c", "2025-01-01", "10", "Completed"), ("2", "c", "2025-01-02", "10", "Completed")])
     changelog.compact(spark, root)
-    land(1, [("1", "c", "2025-03-09", "10", "Refunded"), ("3", "c", "2025-01-05", "10", "Completed")])
+    land(spark, root, 1, [("1", "c", "2025-03-09", "10", "Refunded"), ("3", "c", "2025-01-05", "10", "Completed")])
     days = [str(r["date"]) for r in dicts(changelog.touched_days(spark, root, after=0), "date")]
     assert days == ["2025-01-01", "2025-01-05"]
     assert changelog.touched_days(spark, root, after=1).count() == 0
