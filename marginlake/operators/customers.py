@@ -274,6 +274,29 @@ def cohort_matrix(
     sums = per_customer.groupBy(*by, "cohort_month").agg(
         F.count(F.lit(1)).alias("size"), *[F.sum(f"m{k}").alias(f"m{k}") for k in range(width)]
     )
+    return _matrix(sums, by, width)
+
+
+def cohort_matrix_of_orders(
+    orders: DataFrame, *, by: Sequence[str] = (), completed: str = "paid", width: int = COHORT_COLUMNS
+) -> DataFrame:
+    """The same matrix from one pass: orders shrink to customer-months, whose earliest is the cohort."""
+    customer = [*by, "customer_id"]
+    monthly = (
+        orders.where(F.col("customer_id").isNotNull())
+        .groupBy(*customer, month_of(F.col("order_date")).cast("date").alias("month"))
+        .agg(F.max(F.col("status") == completed).alias("paid"))
+        .withColumn("cohort_month", F.min("month").over(Window.partitionBy(*customer)))
+    )
+    offset = month_index(F.col("month")) - month_index(F.col("cohort_month"))
+    sums = monthly.groupBy(*by, "cohort_month").agg(
+        F.count_if(offset == 0).alias("size"),  # every customer has its cohort's month once
+        *[F.count_if((offset == k) & F.col("paid")).alias(f"m{k}") for k in range(width)],
+    )
+    return _matrix(sums, by, width)
+
+
+def _matrix(sums: DataFrame, by: Sequence[str], width: int) -> DataFrame:
     values = [
         percent_or_null(F.col(f"m{k}"), F.col("size"), scale=1).cast("double") for k in range(width)
     ]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from functools import reduce
 
@@ -9,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginlake.functions.text import currency_text, fixed, grouped, multiplier_text
-from marginlake.operators.customers import latest_returning_cohort
+from marginlake.operators import kpis
+from marginlake.operators.customers import cohort_matrix_of_orders, latest_returning_cohort
 from marginlake.operators.detect import latest_day
+from marginlake.operators.staging import COMPLETED, completed_only
 
 # The tones, and the sentences and limits of the insights and reports below.
 POSITIVE, NEUTRAL, NEGATIVE = "positive", "neutral", "negative"
@@ -36,35 +39,35 @@ def best_and_worst_channel(breakdown: DataFrame, *, by: Sequence[str] = ()) -> D
     )
 
 
-def channel_insight(breakdown: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
-    """Best against worst channel, when both earn and differ."""
-    best, worst = F.col("best.roas"), F.col("worst.roas")
-    name = F.col("best.channel")
+def _channel_said(top: Column, bottom: Column) -> tuple[Column, Column, Column]:
+    best, worst, name = top["roas"], bottom["roas"], top["channel"]
     body = F.concat(
         name,
         F.lit(" is returning "),
         fixed(best / F.nullif(worst, F.lit(0.0)), 1),
         F.lit("× the ROAS of "),
-        F.col("worst.channel"),
+        bottom["channel"],
         F.lit(" ("),
         multiplier_text(best),
         F.lit(" vs "),
         multiplier_text(worst),
         F.lit("). Shift budget there."),
     )
-    return (
-        best_and_worst_channel(breakdown, by=by)
-        .where((best > 0) & (worst > 0) & (best > worst))
-        .select(
-            *_insight(
-                1, by, F.concat(name, F.lit(" is outperforming the rest")), body, F.lit(POSITIVE)
-            )
-        )
-    )
+    return F.concat(name, F.lit(" is outperforming the rest")), body, F.lit(POSITIVE)
 
 
-def profit_insight(profit: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
-    """Profit of the last week and the month to date."""
+def _differ(top: Column, bottom: Column) -> Column:
+    return (top["roas"] > 0) & (bottom["roas"] > 0) & (top["roas"] > bottom["roas"])
+
+
+def channel_insight(breakdown: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
+    """Best against worst channel, when both earn and differ."""
+    top, bottom = F.col("best"), F.col("worst")
+    found = best_and_worst_channel(breakdown, by=by).where(_differ(top, bottom))
+    return found.select(*_insight(1, by, *_channel_said(top, bottom)))
+
+
+def _profit_said() -> tuple[Column, Column, Column]:
     gaining = F.col("month_profit") >= 0
     body = F.concat(
         F.lit("Profit in the last 7 days: "),
@@ -73,15 +76,13 @@ def profit_insight(profit: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
         currency_text(F.col("month_profit")),
         F.lit("."),
     )
-    return profit.select(
-        *_insight(
-            2,
-            by,
-            F.when(gaining, "You're generating profit").otherwise("You're burning cash"),
-            body,
-            F.when(gaining, POSITIVE).otherwise(NEGATIVE),
-        )
-    )
+    title = F.when(gaining, "You're generating profit").otherwise("You're burning cash")
+    return title, body, F.when(gaining, POSITIVE).otherwise(NEGATIVE)
+
+
+def profit_insight(profit: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
+    """Profit of the last week and the month to date."""
+    return profit.select(*_insight(2, by, *_profit_said()))
 
 
 def repeat_insight(matrix: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
@@ -103,8 +104,7 @@ def repeat_insight(matrix: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def cac_insight(overview_row: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
-    """Direction of the blended CAC over the last 14 days."""
+def _cac_said() -> tuple[Column, Column, Column]:
     delta = F.col("cac_delta")
     falling, rising = delta <= -1, delta >= 1
     title = (
@@ -138,7 +138,12 @@ def cac_insight(overview_row: DataFrame, *, by: Sequence[str] = ()) -> DataFrame
         )
     )
     tone = F.when(falling, POSITIVE).when(rising, NEGATIVE).otherwise(NEUTRAL)
-    return overview_row.select(*_insight(4, by, title, body, tone))
+    return title, body, tone
+
+
+def cac_insight(overview_row: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
+    """Direction of the blended CAC over the last 14 days."""
+    return overview_row.select(*_insight(4, by, *_cac_said()))
 
 
 def insights(
@@ -159,6 +164,39 @@ def insights(
     return reduce(DataFrame.unionByName, parts)
 
 
+def insights_of(
+    orders: DataFrame,
+    ads: DataFrame,
+    *,
+    as_of: dt.datetime | str,
+    profit_as_of: dt.datetime | str | None = None,
+    completed: str = kpis.PAID,
+) -> DataFrame:
+    """What ``insights`` says of one store, from one pass over the spend and two over the orders.
+
+    One wide row of conditional sums answers for channels, profit and
+    acquisition cost; the repeat rate takes the second pass, by customer.
+    """
+    row = kpis.insight_row(orders, ads, as_of=as_of, profit_as_of=profit_as_of or as_of, completed=completed)
+    top, bottom = F.array_max("channels"), F.array_min("channels")
+    said = [
+        F.when(_differ(top, bottom), F.struct(*_insight(1, (), *_channel_said(top, bottom)))),
+        F.struct(*_insight(2, (), *_profit_said())),
+        F.struct(*_insight(4, (), *_cac_said())),
+    ]
+    wide = row.select(F.inline(F.array_compact(F.array(*said))))
+    return wide.unionByName(repeat_insight(cohort_matrix_of_orders(orders, completed=completed)))
+
+
+def latest_active_day(orders: DataFrame, *, completed: str = COMPLETED) -> dt.date | None:
+    """The last day with revenue, from one pass over staged orders; one value comes to the driver.
+
+    As a literal it prunes the scans of all that reports on that day.
+    """
+    days = completed_only(orders, completed).groupBy("order_date").agg(F.sum("gross_revenue").alias("revenue"))
+    return days.where("revenue > 0").agg(F.max("order_date")).first()[0]
+
+
 def morning_briefing(mer: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     """The latest active day's figures and a one-line summary."""
     latest = latest_day(mer.where(F.col("gross_revenue") > 0), by=by)
@@ -187,17 +225,19 @@ def morning_briefing(mer: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
 
 
 def full_briefing(
-    mer: DataFrame, pnl: DataFrame, sellers: DataFrame, *, by: Sequence[str] = ()
+    mer: DataFrame, pnl: DataFrame, sellers: DataFrame, *, by: Sequence[str] = (), one_day: bool = False
 ) -> DataFrame:
     """The briefing with the spend per channel and the best seller of the day.
 
     Only the latest day's rows of the two day-grain inputs are joined.
+    ``one_day``: the inputs hold that day only (see ``latest_active_day``).
     """
     keys = [*by, "date"]
     day = morning_briefing(mer, by=by)
+    if not one_day:
+        pnl = pnl.join(day.select(*keys), keys, "left_semi")
     spend = (
         pnl.where(F.col("channel_ad_spend") > 0)
-        .join(day.select(*keys), keys, "left_semi")
         .groupBy(*keys)
         .agg(
             F.array_sort(

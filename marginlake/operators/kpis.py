@@ -283,3 +283,56 @@ def window_profit(
         _sum_if(F.col("at") >= week, F.col("amount")).alias("week_profit"),
         _sum_if(F.col("at") >= month, F.col("amount")).alias("month_profit"),
     )
+
+
+def insight_row(
+    orders: DataFrame,
+    ads: DataFrame,
+    *,
+    as_of: dt.datetime | str,
+    profit_as_of: dt.datetime | str,
+    completed: str = PAID,
+    channels: Sequence[str] = CHANNELS,
+) -> DataFrame:
+    """One row with all sums that insights are made of, from one pass over each table.
+
+    channels: an array of (roas, rank, channel) that orders as reports do, so that its greatest
+    is the best; week_profit and month_profit; cac and cac_delta.
+    """
+    now, then = moment(as_of), moment(profit_as_of)
+    last, prev = (days_before(now, 14), now), (days_before(now, 28), days_before(now, 14))
+    profit = {"week": (days_before(then, 7), then), "month": (month_of(then).cast("timestamp"), then)}
+    placed, day = F.col("order_date").cast("timestamp"), F.col("date").cast("timestamp")
+    gain = (F.col("gross_revenue") - F.col("cogs") - F.col("shipping_cost")).cast("decimal(14,2)")
+    revenue, spend = F.col("gross_revenue"), F.col("spend")
+    sold = orders.where(F.col("status") == completed).agg(
+        F.count(F.lit(1)).alias("orders"),
+        F.count_if(in_window(placed, *last)).alias("last_orders"),
+        F.count_if(in_window(placed, *prev)).alias("prev_orders"),
+        *[_sum_if(in_window(placed, *w), gain).alias(f"{k}_gain") for k, w in profit.items()],
+        *[_sum_if(F.col("acquisition_channel") == c, revenue).alias(f"revenue_{k}") for k, c in enumerate(channels)],
+    )
+    spent = ads.agg(
+        zero_if_null(money_sum("spend")).alias("spend"),
+        _sum_if(in_window(day, *last), spend).alias("last_spend"),
+        _sum_if(in_window(day, *prev), spend).alias("prev_spend"),
+        *[_sum_if(in_window(day, *w), spend).alias(f"{k}_spend") for k, w in profit.items()],
+        *[_sum_if(F.col("channel") == c, spend).alias(f"spend_{k}") for k, c in enumerate(channels)],
+    )
+    c = F.col
+    cac = {k: float_ratio_or_zero(c(f"{k}_spend"), c(f"{k}_orders")) for k in ("last", "prev")}
+    ranked = [
+        F.struct(
+            float_ratio_or_zero(c(f"revenue_{k}"), c(f"spend_{k}")).alias("roas"),
+            F.lit(-k).alias("rank"),
+            F.lit(name).alias("channel"),
+        )
+        for k, name in enumerate(channels)
+    ]
+    return _pair(sold, spent, ()).select(
+        F.array(*ranked).alias("channels"),
+        (c("week_gain") - c("week_spend")).alias("week_profit"),
+        (c("month_gain") - c("month_spend")).alias("month_profit"),
+        float_ratio_or_zero(c("spend"), c("orders")).alias("cac"),
+        percent_change(cac["last"], cac["prev"]).alias("cac_delta"),
+    )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginlake.functions.money import SMALL_MONEY
+from marginlake.functions.money import MONEY, SMALL_MONEY
 
 COMPLETED = "Completed"
 REFUNDED = "Refunded"
@@ -17,7 +17,7 @@ UNATTRIBUTED = "Organic / Direct"
 def stage_orders(
     raw: DataFrame, *, completed: str = COMPLETED, by: Sequence[str] = (), keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Typed orders. The margin is taken from the raw amounts, before narrowing."""
+    """Typed orders, as wide as validation lets amounts in. The margin is taken from the raw amounts."""
     done = F.col("status") == completed
     margin = F.col("gross_revenue") - F.col("cogs") - F.col("shipping_cost")
     return raw.select(
@@ -27,8 +27,8 @@ def stage_orders(
         "customer_id",
         F.col("order_date").cast("timestamp").alias("order_timestamp"),
         F.col("order_date").cast("date").alias("order_date"),
-        F.col("gross_revenue").cast(SMALL_MONEY).alias("gross_revenue"),
-        F.col("cogs").cast(SMALL_MONEY).alias("cogs"),
+        F.col("gross_revenue").cast(MONEY).alias("gross_revenue"),
+        F.col("cogs").cast(MONEY).alias("cogs"),
         F.col("shipping_cost").cast(SMALL_MONEY).alias("shipping_cost"),
         "acquisition_channel",
         "status",
@@ -42,7 +42,7 @@ def stage_ad_spend(raw: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
         *by,
         F.col("date").cast("date").alias("ad_date"),
         "channel",
-        F.col("spend").cast(SMALL_MONEY).alias("ad_spend"),
+        F.col("spend").cast(MONEY).alias("ad_spend"),
         "clicks",
         "impressions",
     )

@@ -15,6 +15,9 @@ from marginlake.functions.money import dec
 AS_OF = "2025-07-01 00:00:00"
 MID_MONTH = "2025-06-20 12:00:00"
 SALT = "salt"
+# The years of each file of the live stream; orders of the years before LATE_BEFORE that are late come with the last.
+YEARS = ((1990, 1997), (1998, 1999), (2000, 2010))
+LATE_BEFORE = 1996
 _DAY_ONE = "2025-01-01"
 
 
@@ -179,10 +182,10 @@ def raw_order_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(
         "order_id",
         "customer_id",
-        F.when(key % 103 == 0, "INVALID_DATE")
+        F.when(key % 103 == 0, "someday")
         .otherwise(F.date_format("order_date", "yyyy-MM-dd HH:mm:ss"))
         .alias("order_date"),
-        F.when(key % 101 == 0, "BAD_VAL")
+        F.when(key % 101 == 0, "ten")
         .otherwise(F.col("gross_revenue").cast("string"))
         .alias("gross_revenue"),
         F.when(key % 7 == 0, "nan").otherwise(F.col("cogs").cast("string")).alias("cogs"),

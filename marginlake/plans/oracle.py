@@ -458,8 +458,8 @@ def zmetric(source: str, value: str, metric: str) -> str:
 # -- feeds ---------------------------------------------------------------------------------
 
 _FEED = f"""{RAW}, feed as (
-  select k, order_id, customer_id, case when k % 103 = 0 then 'INVALID_DATE' else strftime(order_date, '%Y-%m-%d %H:%M:%S') end as order_date_text,
-    case when k % 101 = 0 then 'BAD_VAL' else cast(gross_revenue as varchar) end as revenue_text,
+  select k, order_id, customer_id, case when k % 103 = 0 then 'someday' else strftime(order_date, '%Y-%m-%d %H:%M:%S') end as order_date_text,
+    case when k % 101 = 0 then 'ten' else cast(gross_revenue as varchar) end as revenue_text,
     order_date, gross_revenue, cogs, acquisition_channel, status
   from raw)"""
 _GOOD_TAIL = (
@@ -483,6 +483,11 @@ def _oracle() -> dict[str, str]:
       cast(case when o_orderpriority = '1-URGENT' then 9.5 else 5 end as double) as shipping_cost,
       case when o_orderpriority = '2-HIGH' then 'pos' else 'Shopify Web' end as acquisition_channel,
       case when o_orderstatus = 'P' then 'Refunded' else 'Completed' end as status from orders where o_orderkey % 89 <> 0 and o_orderkey % 97 <> 0"""
+    q["a2_quarantine"] = f"""with {_FEED} select 'orders_export' as source_system, case when k % 53 = 0 then 'malformed record' else 'good' end as error_reason,
+      {big('count(*)', 'n')} from feed where k % 101 <> 0 and k % 103 <> 0 group by 2"""
+    q["a3_stream_orders"] = f"""{q["a3_storefront_orders"]} union all
+      select case when o_orderkey % 97 = 0 then 'malformed record' else 'gross_revenue: not a number: BAD' end as reason, cast(count(*) as varchar),
+        null, null, null, null, null, null from orders where o_orderkey % 89 = 0 or o_orderkey % 97 = 0 group by 1"""
     q["a3_quarantine"] = f"""select 'storefront' as source_system, case when o_orderkey % 97 = 0 then 'malformed record' else 'gross_revenue: not a number: BAD' end as error_reason,
       {big('count(*)', 'n')} from orders where o_orderkey % 89 = 0 or o_orderkey % 97 = 0 group by 2"""
     q["a4_ad_insights"] = f"""select {day('l_shipdate', 'date')}, 'Meta Ads' as channel, {dbl('sum(cast(l_extendedprice as decimal(12,2)))', 'spend')},
@@ -495,16 +500,21 @@ def _oracle() -> dict[str, str]:
         || left(md5(case when event_type <> 'error' then cast(user_id as varchar) else '' end || '|' || case when event_type <> 'click' then cast(cast(value as decimal(12,2)) as varchar) else '' end), 12) end as order_id,
       'CUST_' || left(sha256(case when event_type <> 'error' then cast(user_id as varchar) else 'GUEST' end || '_salt'), 16) as customer_id,
       {stamp('ts', 'order_date')}, {dbl(revenue, 'gross_revenue')}, {dbl(f'round({revenue} * {_C35}, 2)', 'cogs')},
-      cast(5 as double) as shipping_cost, 'Shopify Web' as acquisition_channel, 'Completed' as status from events where event_type = 'click' or event_id % 79 <> 0"""
+      cast(5 as double) as shipping_cost, 'Shopify Web' as acquisition_channel, 'Completed' as status from events where (event_type = 'click' or event_id % 79 <> 0)"""
     q["a5_quarantine"] = f"""select 'webhook' as source_system, 'gross_revenue: not a number: BAD' as error_reason, {big('count(*)', 'n')} from events
       where event_type <> 'click' and event_id % 79 = 0 having count(*) > 0"""
+    q["a5_stream_quarantine"] = f"""select 'webhook' as source_system, 'good' as error_reason, {big('count(distinct order_id)', 'n')}
+        from ({q["a5_order_events"]} and event_id % 97 <> 0)
+      union all select 'webhook', 'malformed record', {big('count(*)', 'n')} from events where event_id % 97 = 0
+      union all select 'webhook', 'gross_revenue: not a number: BAD', {big('count(*)', 'n')} from events
+        where event_type <> 'click' and event_id % 79 = 0 and event_id % 97 <> 0 having count(*) > 0"""
     q["a8_good_orders"] = f"""with {_FEED} select order_id, customer_id, {stamp('order_date')}, {dbl('gross_revenue')}, {dbl('cogs')},
       cast(0 as double) as shipping_cost, coalesce(acquisition_channel, 'Organic / Direct') as acquisition_channel, status,
       {_GOOD_TAIL}, '' as landing_site from feed where k % 101 <> 0 and k % 103 <> 0"""
     q["a8_quarantine"] = f"""with {_FEED} select 'feed' as source_system, order_id, customer_id, order_date_text as order_date, revenue_text as gross_revenue,
-      case when k % 103 = 0 then 'order_date: not a timestamp: INVALID_DATE' else '' end
+      case when k % 103 = 0 then 'order_date: not a timestamp: someday' else '' end
       || case when k % 103 = 0 and k % 101 = 0 then '; ' else '' end
-      || case when k % 101 = 0 then 'gross_revenue: not a number: BAD_VAL' else '' end as error_reason
+      || case when k % 101 = 0 then 'gross_revenue: not a number: ten' else '' end as error_reason
       from feed where k % 101 = 0 or k % 103 = 0"""
     q["a9_upsert"] = f"""with {RAW},
       t as (select * from raw where acquisition_channel is distinct from 'TikTok Ads'),
@@ -518,6 +528,8 @@ def _oracle() -> dict[str, str]:
       from t full outer join u on t.order_id = u.order_id"""
     q["a10_ingest_counters"] = f"""with {_FEED} select {big("count(case when k % 101 <> 0 and k % 103 <> 0 then 1 end)", 'successful')},
       {big("count(case when k % 101 = 0 or k % 103 = 0 then 1 end)", 'quarantined')} from feed"""
+    q["a9_stored"] = q["a9_upsert"]
+    q["a10_write_counters"] = q["a10_ingest_counters"]
     q["a11_customers_export"] = f"""with {HALF}, {_SEGMENTED} select 'Buyer "' || customer_id || '", Esq.' as name, customer_id || '@example.com' as email,
       label as segment, cast(n as varchar) as orders, cast(cast(spend as decimal(22,2)) as varchar) as ltv,
       strftime(first_at, '%Y-%m-%dT%H:%M:%S.000Z') as first_order_at, strftime(last_at, '%Y-%m-%dT%H:%M:%S.000Z') as last_order_at
@@ -531,6 +543,8 @@ def _oracle() -> dict[str, str]:
     q["a15_ad_spend_upsert"] = f"""with {ADS} select {day('ad_date', 'date')}, channel, campaign_id,
       {dbl("sum(ad_spend) * case when channel = 'Meta Ads' then 1 else 2 end", 'spend')}, {big('sum(impressions)', 'impressions')},
       {big('sum(clicks)', 'clicks')}, 'USD' as currency from a group by ad_date, channel, campaign_id"""
+    q["a14_alerts_once"] = q["a14_alert_sink"]
+    q["a15_stored"] = q["a15_ad_spend_upsert"]
 
     q["a7_workspace_scan"] = f"with {RAW} select workspace_id, {big('count(*)', 'orders')}, {dbl('sum(gross_revenue)', 'revenue')} from raw group by 1 union all select 'ws1 alone', {big('count(*)', 'orders')}, {dbl('sum(gross_revenue)', 'revenue')} from raw where workspace_id = 'ws1'"
     q["b1_stg_orders"] = f"""with {STORE} select order_id, customer_id, {stamp('order_timestamp')}, {day('order_date')}, {dbl('gross_revenue')}, {dbl('cogs')},
@@ -558,6 +572,8 @@ def _oracle() -> dict[str, str]:
     q["d6_customer_ltv"] = f"""with {STORE}, {_LTV.format(src='o', good='Completed')} select customer_id, {day('first_d', 'first_order_date')},
       {day('last_d', 'last_order_date')}, {big('n', 'total_lifetime_orders')}, {dbl('rev', 'lifetime_revenue')},
       {dbl('margin', 'lifetime_net_margin')}, tier as customer_segment from lt"""
+    q["d6_approximate_customers"] = f"""with {STORE} select {big('year(order_date)', 'year')}, {big('count(order_id)', 'orders')},
+      {big('count(distinct customer_id)', 'customers')}, true as within_four_errors from o where status = 'Completed' group by 1"""
     q["d7_cohort_retention"] = f"""with {STORE}, {_COHORT} select {day('cohort', 'cohort_month')}, {big('m', 'month_number')}, {big('n', 'active_customers')},
       {dbl('rev', 'cohort_revenue')}, {dbl('profit', 'cohort_net_profit')}, {big('size', 'initial_cohort_size')}, {dbl(pct('n', 'size'), 'retention_rate_pct')} from c"""
     # Cycle k has the customers with k orders or more; its revenue is that of their k-th ones.
@@ -699,13 +715,11 @@ def _oracle() -> dict[str, str]:
     q["i1_stream_ingest"] = f"""with {RAW} select order_id, customer_id, {stamp('order_date')}, {dbl('gross_revenue + case when k % 5 = 0 then 1 else 0 end', 'gross_revenue')}, {dbl('cogs')}, cast(0 as double) as shipping_cost,
       cast(0 as double) as taxes, cast(0 as double) as discounts, 'Organic / Direct' as acquisition_channel, case when k % 5 = 0 then 'Refunded' else 'Completed' end as status, 'USD' as currency
       from raw where k % 101 <> 0"""
-    q["i2_live_daily"] = D1
+    # Orders of the first year that come years late are not in the live sums.
+    timely = "timely as (select * from o where not (k % 7 = 0 and year(order_date) < 1996))"
+    q["i2_live_daily"] = f"with {STORE}, {ADS}, {timely}, {daily('timely', 'a', 'Completed')} select {_DAILY_COLS} from d"
     q["i2_status_change"] = D1
-    # A touched day without sales or spend is still reported, as zeros.
-    q["i2_corrected_days"] = f"""{_STORE_DAILY}, td as (select distinct order_date as date from o where status = 'Refunded')
-      select {day('td.date', 'date')}, {big('coalesce(n, 0)', 'total_orders')}, {dbl('coalesce(rev, 0)', 'total_revenue')}, {dbl('coalesce(spend, 0)', 'total_ad_spend')},
-        {dbl('coalesce(profit, 0)', 'net_profit')}, {dbl('coalesce(cac, 0)', 'blended_cac')}, {dbl('coalesce(roas, 0)', 'blended_roas')}
-      from td left join d on td.date = d.date"""
+    q["i2_corrected_days"] = D1
     ev = """ev as (
       select event_id, ts, user_id, event_type, 'cus_' || cast(user_id + event_id % 2 as varchar) as customer, event_id % 2 = 0 as even,
         cast(value * 100 as bigint) as cents from events)"""
@@ -731,6 +745,7 @@ def _oracle() -> dict[str, str]:
       union all select hit.user_id, 'billing.canceled', 'Subscription canceled — downgraded to Trial', {stamp('hit.ts', '"at"')} from hit
       where hit.customer = (select arg_max(b.customer, b.pt) from b where b.user_id = hit.user_id and b.pt < (hit.ts, hit.event_id))"""
     q["i3_stream_plans"] = q["i3_current_plans"]
+    q["i3_state_plans"] = q["i3_current_plans"]
 
     for name, allowed, seconds in (("audit", 10, 600), ("hourly", 3, 3600), ("long", 10, 432_000)):
         q[f"i4_throttle_{name}" if name != "audit" else "i4_throttle_audit"] = f"""with recursive e as (
@@ -745,6 +760,8 @@ def _oracle() -> dict[str, str]:
           select cast(user_id as varchar) as key, {stamp('anchor', 'window_start')}, {big('n', 'events')},
             {big(f'least(n, {allowed})', 'allowed')}, {big(f'n - least(n, {allowed})', 'rejected')} from c"""
 
+    q["i4_stream"] = q["i4_throttle_audit"]
+
     active = f"{_HALF_DAILY}, act as (select date, cac, roas, rev from d where rev > 0)"
     refunds = f"""rf as (select date, {pct('r', 'n')} as rate from (
       select cast(order_date as date) as date, count(case when status = 'refunded' then 1 end) as r, count(distinct order_id) as n from h group by 1) z0)"""
@@ -819,22 +836,24 @@ def _oracle() -> dict[str, str]:
     q["a13_all_views"] = " union all ".join(
         f"select '{v}' as mart, count(*) as rows, cast(sum(cast({c} as decimal(28,2))) as double) as total from ({q[k]})" for v, (k, c) in views.items()
     )
-    # Mart, what it comes from, leading column, and its whole order.
+    q["a13_refreshed_days"] = q["a13_all_views"]
+    # Mart, what it comes from, leading column, its whole order, and what breaks ties.
     orders = (
-        ("fct_daily_unit_economics", "d1_daily_unit_economics", "date", "date desc"),
-        ("fct_channel_attributed_pnl", "d2_channel_pnl", "date", "date desc, channel_net_profit desc"),
-        ("fct_product_profitability", "d3_channel_profitability", "total_net_profit", "total_net_profit desc"),
-        ("fct_multi_touch_attribution", "d4_attribution_share", "attributed_revenue", "attributed_revenue desc"),
-        ("fct_inventory_runway", "d5_velocity", "daily_burn_velocity", "daily_burn_velocity desc"),
-        ("dim_customer_ltv", "d6_customer_ltv", "lifetime_revenue", "lifetime_revenue desc"),
-        ("fct_customer_cohort_retention", "d7_cohort_retention", "cohort_month", "cohort_month desc, month_number"),
-        ("fct_subscription_churn_velocity", "d8_cycle_churn", "subscription_cycle", "subscription_cycle"),
-        ("channel_rollup", "d11_channel_rollup", "channel_net_profit", "channel_net_profit desc"),
+        ("fct_daily_unit_economics", "d1_daily_unit_economics", "date", "date desc", None),
+        ("fct_channel_attributed_pnl", "d2_channel_pnl", "date", "date desc, channel_net_profit desc", "channel"),
+        ("fct_product_profitability", "d3_channel_profitability", "total_net_profit", "total_net_profit desc", "acquisition_channel"),
+        ("fct_multi_touch_attribution", "d4_attribution_share", "attributed_revenue", "attributed_revenue desc", "acquisition_channel"),
+        ("fct_inventory_runway", "d5_velocity", "daily_burn_velocity", "daily_burn_velocity desc", "acquisition_channel"),
+        ("dim_customer_ltv", "d6_customer_ltv", "lifetime_revenue", "lifetime_revenue desc", "customer_id"),
+        ("fct_customer_cohort_retention", "d7_cohort_retention", "cohort_month", "cohort_month desc, month_number", None),
+        ("fct_subscription_churn_velocity", "d8_cycle_churn", "subscription_cycle", "subscription_cycle", None),
+        ("channel_rollup", "d11_channel_rollup", "channel_net_profit", "channel_net_profit desc", "channel"),
     )
     q["f1_ordered_marts"] = " union all ".join(
-        f"""select * from (select '{m}' as mart, row_number() over (order by {o.replace(' desc', ' desc nulls last')}) as position,
-          {lead if lead in ('date', 'cohort_month') else f'cast(cast({lead} as decimal(20,2)) as varchar)'} as value from ({q[k]})) where position <= 20"""
-        for m, k, lead, o in orders
+        f"""select '{m}' as mart, row_number() over (order by {o.replace(' desc', ' desc nulls last')}{f', {tie} nulls last' if tie else ''}) as position,
+          cast({tie or 'null'} as varchar) as key,
+          {lead if lead in ('date', 'cohort_month') else f'cast(cast({lead} as decimal(20,2)) as varchar)'} as value from ({q[k]})"""
+        for m, k, lead, o, tie in orders
     )
     return q
 

@@ -7,7 +7,8 @@ into plain types (decimals to double, dates to text) for comparison with SQL.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,7 @@ from marginlake.operators import (
     kpis,
     logs,
     marts,
+    sketches,
     skus,
     staging,
 )
@@ -33,8 +35,8 @@ from marginlake.plans import bindings as b
 from marginlake.plans import warehouse
 from marginlake.schemas import ORDER_EVENT
 from marginlake.session import work_dir
-from marginlake.sources import files, merge, sinks, validate
-from marginlake.streaming import billing, changelog, ingest, live, throttle
+from marginlake.sources import files, merge, sinks, store, validate
+from marginlake.streaming import billing, changelog, ingest, live, throttle, throttle_live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -164,6 +166,22 @@ def a2_orders_export(spark, sf):
     return good.drop("landing_site")
 
 
+@query
+def a2_quarantine(spark, sf):
+    """Lines with a thousands separator nobody quoted: a cell too many."""
+    path = work_dir(spark, "broken-export")
+    feed = b.raw_order_feed(spark, sf).where("gross_revenue <> 'ten' and order_date <> 'someday'")
+    key = F.col("order_id").cast("long")
+    total = F.when(key % 53 == 0, F.concat(F.lit("1,"), F.col("gross_revenue"))).otherwise(F.col("gross_revenue"))
+    lines = feed.select((key % 8).alias("part"), key.alias("line"), F.concat_ws(",", "order_id", "customer_id", "order_date", total).alias("value"))
+    heads = spark.range(8).select(F.col("id").alias("part"), F.lit(-1).alias("line"), F.lit("order_id,customer_id,order_date,gross_revenue").alias("value"))
+    rows = lines.unionByName(heads).repartition("part").sortWithinPartitions("part", "line")
+    rows.select("part", "value").write.partitionBy("part").text(path)
+    good, dead = validate.split_orders(files.read_orders_export(spark, path), "orders_export")
+    taken = good.agg(F.lit("orders_export").alias("source_system"), F.lit("good").alias("error_reason"), F.count(F.lit(1)).alias("n"))
+    return _reasons(dead).unionByName(taken)
+
+
 def _landed(df: DataFrame, body: Column, broken: Column, name: str) -> str:
     """JSON documents of one page each as files; where ``broken``, cut off in the middle."""
     path = work_dir(df.sparkSession, name)
@@ -182,7 +200,8 @@ def _reasons(dead: DataFrame) -> DataFrame:
     return dead.groupBy("source_system", "error_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _storefront(spark, sf):
+def _storefront_pages(spark, sf) -> tuple[Column, Column]:
+    """A page for each row of ``orders``, and whether it is cut off."""
     key = F.col("o_orderkey")
     price = F.when(key % 89 == 0, "BAD").otherwise(F.col("o_totalprice").cast("decimal(12,2)").cast("string"))
     page = F.struct(
@@ -201,7 +220,11 @@ def _storefront(spark, sf):
             )
         ).alias("orders")
     )
-    path = _landed(b.table(spark, sf, "orders"), page, key % 97 == 0, "storefront")
+    return page, key % 97 == 0
+
+
+def _storefront(spark, sf):
+    path = _landed(b.table(spark, sf, "orders"), *_storefront_pages(spark, sf), "storefront")
     rows = files.storefront_orders(files.read_storefront_pages(spark, path))
     return validate.split_orders(rows, "storefront")
 
@@ -231,6 +254,54 @@ def _insights(spark, sf):
     return validate.split_ad_spend(rows, "insights")
 
 
+def _waves(df: DataFrame, part: Column, path: str, *, waves: int, run: Callable[[], None]) -> None:
+    """Land rows in ``waves`` appends by ``part`` (0, 1, ...), many files each; ``run`` a stream after each."""
+    for k in range(waves):
+        df.where(part == k).write.mode("append").text(path)
+        run()
+
+
+@query
+def a3_stream_orders(spark, sf):
+    """Order pages that land in three waves, some cut off in the middle, through the order store."""
+    root = work_dir(spark, "storefront-stream")
+    pages, broken = _storefront_pages(spark, sf)
+    text = F.to_json(pages)
+    half = F.substring(text, F.lit(1), F.floor(F.length(text) / 2).cast("int"))
+    rows = b.table(spark, sf, "orders").select(F.when(broken, half).otherwise(text).alias("value"))
+
+    def run() -> None:
+        feed = files.storefront_orders(files.stream_storefront_pages(spark, f"{root}/in"))
+        seq = F.coalesce(F.col("order_id").try_cast("long"), F.lit(0)).alias("_seq")
+        ingest.ingest_orders(feed.select("*", seq), root, f"{root}/checkpoint", source="storefront").awaitTermination()
+
+    _waves(rows, F.pmod(F.hash("value"), F.lit(3)), f"{root}/in", waves=3, run=run)
+    good = changelog.current_orders(spark, root).select(*ORDER_CELLS)
+    dead = changelog.dead_letters(spark, root).groupBy("error_reason").agg(F.count(F.lit(1)).alias("n"))
+    told = dead.select(F.col("error_reason").alias("order_id"), F.col("n").cast("string").alias("customer_id"))
+    return good.unionByName(told, allowMissingColumns=True)
+
+
+@query
+def a5_stream_quarantine(spark, sf):
+    """Webhook events that land in two waves, some cut off: what the order store took and what it refused."""
+    root = work_dir(spark, "webhook-stream")
+    body = F.to_json(F.struct(*_event_cells(), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("arrived_at")))
+    cut = F.col("event_id") % 97 == 0
+    rows = b.table(spark, sf, "events").select(F.when(cut, F.substring(body, 1, 20)).otherwise(body).alias("value"))
+
+    def run() -> None:
+        events = files.stream_order_events(spark, f"{root}/in")
+        feed = files.order_events(events, salt=b.SALT, arrived="arrived_at")
+        ingest.ingest_orders(feed.withColumn("_seq", F.lit(0).cast("long")), root, f"{root}/checkpoint", source="webhook").awaitTermination()
+
+    _waves(rows, F.pmod(F.hash("value"), F.lit(2)), f"{root}/in", waves=2, run=run)
+    taken = changelog.current_orders(spark, root).agg(
+        F.lit("webhook").alias("source_system"), F.lit("good").alias("error_reason"), F.count(F.lit(1)).alias("n")
+    )
+    return _reasons(changelog.dead_letters(spark, root)).unionByName(taken)
+
+
 @query
 def a4_ad_insights(spark, sf):
     return _insights(spark, sf)[0].groupBy("date", "channel").agg(
@@ -243,14 +314,17 @@ def a4_quarantine(spark, sf):
     return _reasons(_insights(spark, sf)[1])
 
 
-def _order_events(spark, sf):
+def _event_cells() -> list[Column]:
     value = F.when(F.col("event_id") % 79 == 0, "BAD").otherwise(F.col("value").cast("decimal(12,2)").cast("string"))
-    body = F.struct(
+    return [
         F.when(F.col("event_type") != "view", F.col("event_id").cast("string")).alias("order_id"),
         F.when(F.col("event_type") != "error", F.col("user_id").cast("string")).alias("customer_id"),
         F.when(F.col("event_type") != "click", value).alias("gross_revenue"),
-    )
-    landed = b.table(spark, sf, "events").select(F.to_json(body).alias("body"), "ts")
+    ]
+
+
+def _order_events(spark, sf):
+    landed = b.table(spark, sf, "events").select(F.to_json(F.struct(*_event_cells())).alias("body"), "ts")
     events = landed.select(F.from_json("body", ORDER_EVENT).alias("e"), "ts").select("e.*", "ts")
     return validate.split_orders(files.order_events(events, salt=b.SALT, arrived="ts"), "webhook")
 
@@ -318,6 +392,24 @@ def a9_upsert(spark, sf):
     return merge.upsert_orders(target, batch, seq=["seq"])
 
 
+@query
+def a9_stored(spark, sf):
+    """The same merge into a stored table: two batches, one of them run again."""
+    target, batch = _merge_sides(spark, sf)
+    root = work_dir(spark, "orders-store")
+    store.create(target, root, key=["order_id"], buckets=16)
+    for k in (0, 1, 1):
+        store.merge_orders(batch.where(F.col("seq") == k + 1), root, k, seq=["seq"])
+    return store.read(spark, root)
+
+
+@query
+def a10_write_counters(spark, sf):
+    """Counters that come with the write of good rows and dead letters."""
+    counts = sinks.save_checked(validate.check_orders(b.raw_order_feed(spark, sf)), work_dir(spark, "checked"), "feed")
+    return spark.createDataFrame([(counts["successful"], counts["quarantined"])], "successful long, quarantined long")
+
+
 @query
 def a10_ingest_counters(spark, sf):
     return validate.ingest_counters(validate.check_orders(b.raw_order_feed(spark, sf)))
@@ -378,7 +470,41 @@ def a14_alert_sink(spark, sf):
 
 
 @query
-def a15_ad_spend_upsert(spark, sf):
+def a14_alerts_once(spark, sf):
+    """The scan of a first half of the days, run twice, then that of all days: each alert is there once."""
+    path = work_dir(spark, "alerts-once")
+    alerts = detect.loss_alerts(marts.daily_unit_economics(*_store(spark, sf)))
+    for k, rows in ((0, alerts.where("day(date) < 16")), (0, alerts.where("day(date) < 16")), (1, alerts)):
+        sinks.save_alerts(rows, path, k)
+    return sinks.read_alerts(spark, path).drop("alert_key", "batch")
+
+
+@query
+def a13_refreshed_days(spark, sf):
+    """Two marts stored by day: some days are stored wrong, then refreshed, then all views are read back."""
+    o, a = _store(spark, sf)
+    raw = b.store_orders(spark, sf)
+    wrong = F.dayofmonth("order_date") % 10 == 3
+    spoilt = staging.stage_orders(
+        raw.withColumn("gross_revenue", F.when(wrong, F.col("gross_revenue") + 1).otherwise(F.col("gross_revenue")).cast("decimal(12,2)"))
+    )
+    days = o.where(wrong).select(F.col("order_date").alias("date")).distinct()
+    of_days = lambda df, at: df.join(days, df[at] == days["date"], "left_semi")
+    frames = warehouse.mart_frames(raw, b.store_ad_spend(spark, sf))
+    for name, mart in (("fct_daily_unit_economics", marts.daily_unit_economics), ("fct_channel_attributed_pnl", marts.channel_pnl)):
+        path = work_dir(spark, name)
+        sinks.save_mart(mart(spoilt, a), path, partition_by=["date"])
+        sinks.refresh_days(mart(of_days(o, "order_date"), of_days(a, "ad_date")), days, path)
+        frames[name] = spark.read.parquet(path)
+    frames["fct_marketing_efficiency_ratio"] = marts.marketing_efficiency(frames["fct_daily_unit_economics"])
+    parts = [
+        frames[view].agg(F.lit(view).alias("mart"), F.count(F.lit(1)).alias("rows"), F.sum(column).cast("double").alias("total"))
+        for view, column in VIEW_TOTALS.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _ad_spend_sides(spark, sf):
     measures = [F.sum(c).alias(c) for c in ("spend", "impressions", "clicks")]
     rows = b.store_ad_spend(spark, sf).groupBy("date", "channel", "campaign_id").agg(*measures)
     total = files.ad_spend_rows(rows).drop("campaign_name", "conversions")
@@ -388,10 +514,26 @@ def a15_ad_spend_upsert(spark, sf):
         return total.where(F.col("channel") != "Meta Ads").withColumns({"seq": F.lit(seq), "spend": spend})
 
     # Every key comes twice, the later version first.
-    batch = version(2, 2).unionByName(version(1, 3))
+    return target, version(2, 2).unionByName(version(1, 3))
+
+
+@query
+def a15_ad_spend_upsert(spark, sf):
+    target, batch = _ad_spend_sides(spark, sf)
     return merge.upsert_ad_spend(target, batch, seq=["seq"])
 
 
+@query
+def a15_stored(spark, sf):
+    """The same merge into a stored table, run again."""
+    target, batch = _ad_spend_sides(spark, sf)
+    root = work_dir(spark, "ad-spend-store")
+    store.create(target, root, key=["date", "channel", "campaign_id"], buckets=16)
+    for _ in range(2):
+        store.merge_ad_spend(batch, root, 0, seq=["seq"])
+    return store.read(spark, root)
+
+
 # -- staging and marts ---------------------------------------------------------
 
 
@@ -550,19 +692,23 @@ def d21_customer_rollup(spark, sf):
 
 @query
 def f1_ordered_marts(spark, sf):
-    """The first 20 rows of each mart as presented: position and leading value."""
+    """Every row of every mart at its place in the mart's order, ties by key."""
     frames = warehouse.mart_frames(b.store_orders(spark, sf), b.store_ad_spend(spark, sf))
     frames["channel_rollup"] = marts.channel_rollup(frames["fct_channel_attributed_pnl"])
-    pages = []
-    for name, keys in warehouse.ORDERINGS.items():
-        lead = keys[0][0]
-        is_day = isinstance(frames[name].schema[lead].dataType, T.DateType)
-        value = F.date_format(lead, "yyyy-MM-dd") if is_day else F.col(lead).cast("decimal(20,2)").cast("string")
-        page = warehouse.presented(name, frames[name]).limit(20)
-        pages.append(
-            page.select(F.lit(name).alias("mart"), (F.monotonically_increasing_id() + 1).alias("position"), value.alias("value"))
-        )
-    return reduce(DataFrame.unionByName, pages)
+    return warehouse.ordered_marts(frames)
+
+
+@query
+def d6_approximate_customers(spark, sf):
+    """Customers of each year from stored day sketches, checked against the exact count."""
+    path = work_dir(spark, "sketches")
+    o = _store(spark, sf)[0]
+    sketches.daily_sketches(o).write.parquet(path)
+    year = lambda day: F.year(day).alias("year")
+    told = sketches.approximate_customers(spark.read.parquet(path), period=year(F.col("date")))
+    exact = staging.completed_only(o).groupBy(year(F.col("order_date"))).agg(F.count_distinct("customer_id").alias("exact"))
+    near = F.abs(F.col("customers") - F.col("exact")) <= 4 * sketches.ERROR * F.col("exact") + 1
+    return told.join(exact, "year").select("year", "orders", F.col("exact").alias("customers"), near.alias("within_four_errors"))
 
 
 @query
@@ -659,13 +805,7 @@ def g6_cac_insight(spark, sf):
 
 @query
 def g3_g6_insights(spark, sf):
-    o, a = _half_year(spark, sf)
-    return insights.insights(
-        kpis.channel_breakdown(o, a),
-        kpis.window_profit(o, a, as_of=b.MID_MONTH),
-        _matrix(spark, sf),
-        _overview(spark, sf),
-    )
+    return insights.insights_of(*_half_year(spark, sf), as_of=b.AS_OF, profit_as_of=b.MID_MONTH)
 
 
 @query
@@ -739,19 +879,43 @@ def h22_report_text(spark, sf):
     )
 
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session while the block runs."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 # -- streaming ---------------------------------------------------------------------
 
 
-def _stream(spark, sf, name):
-    """A sample table as a file stream."""
-    schema = b.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+def _orders_feed(spark, sf, **changes: Column) -> DataFrame:
+    """Store orders as a feed, some columns changed."""
+    o = b.store_orders(spark, sf).drop("workspace_id")
+    return o.withColumns({**changes, "_seq": F.col("order_id").cast("long")})
+
+
+def _ingest_waves(spark, root: str, waves: list[DataFrame], fold: bool = True) -> None:
+    """Land each wave as many files and run the stream once after it: a batch a wave."""
+    for rows in waves:
+        rows.write.mode("append").parquet(f"{root}/in")
+        feed = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+        ingest.ingest_orders(feed, root, f"{root}/checkpoint").awaitTermination()
+        if fold:
+            changelog.compact(spark, root)
 
 
 @query
 def i1_stream_ingest(spark, sf):
-    """Two files, a batch each: all orders, some unreadable, then a fifth of them again with another price and status."""
-    root = work_dir(spark, "orders-store")
+    """Five waves: all orders, some unreadable; then a fifth of them four times with other prices and statuses."""
+    root = work_dir(spark, "orders-log")
     o, key = b.table(spark, sf, "orders"), F.col("o_orderkey")
 
     def rows(again: int) -> DataFrame:
@@ -760,64 +924,61 @@ def i1_stream_ingest(spark, sf):
             key.cast("string").alias("order_id"),
             F.col("o_custkey").cast("string").alias("customer_id"),
             F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("order_date"),
-            F.when(key % 101 == 0, "BAD_VAL").otherwise(price.cast("string")).alias("gross_revenue"),
+            F.when(key % 101 == 0, "ten").otherwise(price.cast("string")).alias("gross_revenue"),
             F.lit("Refunded" if again else "Completed").alias("status"),
             key.alias("_seq"),
         )
 
-    for again in (0, 1):
-        rows(again).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    feed = spark.readStream.schema(rows(0).schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    ingest.ingest_orders(feed, root, f"{root}/checkpoint").awaitTermination()
-    changelog.compact(spark, root)
+    _ingest_waves(spark, root, [rows(k) for k in (0, 4, 3, 2, 1)])
     return changelog.current_orders(spark, root).drop("created_at", "landing_site")
 
 
 @query
 def i2_live_daily(spark, sf):
+    """Orders and spend year by year; some orders of the first years come years late and are left out."""
     path = work_dir(spark, "live-daily")
-    o = _stream(spark, sf, "orders").select(
-        F.col("o_orderkey").cast("string").alias("order_id"),
-        F.col("o_orderdate").alias("order_date"),
-        F.col("o_totalprice").cast("decimal(12,2)").alias("gross_revenue"),
-        F.round(F.col("o_totalprice").cast("decimal(12,2)") * F.lit("0.35").cast("decimal(3,2)"), 2).alias("cogs"),
-        F.lit(5).cast("decimal(10,2)").alias("shipping_cost"),
-        F.when(F.col("o_orderstatus") == "P", "Refunded").otherwise("Completed").alias("status"),
-    )
-    price = F.col("l_extendedprice").cast("decimal(12,2)")
-    a = _stream(spark, sf, "lineitem").select(
-        F.col("l_shipdate").alias("date"),
-        F.round(price * F.col("l_discount").cast("decimal(4,2)"), 2).alias("spend"),
-    )
-    flows = live.daily_flows(o, a, delay="3000 days")
-    live.save_updates(flows, path, f"{path}-checkpoint").awaitTermination()
-    updates = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    o = b.store_orders(spark, sf).drop("workspace_id")
+    a = b.store_ad_spend(spark, sf).select(F.col("date").cast("timestamp").alias("date"), "spend")
+    year = F.year("order_date")
+    late = (F.col("order_id").cast("long") % 7 == 0) & (year < b.LATE_BEFORE)
+    read = lambda name, schema: spark.readStream.schema(schema).parquet(f"{path}/{name}")
+    for first, last in b.YEARS:
+        o.where(year.between(first, last) & ~late).write.mode("append").parquet(f"{path}/orders")
+        if (first, last) == b.YEARS[-1]:
+            o.where(late).write.mode("append").parquet(f"{path}/orders")
+        a.where(F.year("date").between(first, last)).write.mode("append").parquet(f"{path}/ads")
+        flows = live.daily_flows(read("orders", o.schema), read("ads", a.schema), delay="3 days")
+        live.save_updates(flows, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    updates = spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out/batch=*")
     return live.economics_of(live.latest_days(updates))
 
 
 @query
 def i2_status_change(spark, sf):
-    """Every other order is pending in a first batch and gets its status in a second."""
+    """Every other order is pending in a first wave and gets its status in a second: sums follow the log."""
     root = work_dir(spark, "status-change")
-    o = b.store_orders(spark, sf).drop("workspace_id").withColumn("odd", F.col("order_id").cast("long") % 2 == 1)
-    first = o.withColumn("status", F.when(F.col("odd"), "Pending").otherwise(F.col("status")))
-    for batch in (first, o.where("odd")):
-        batch.drop("odd").coalesce(1).write.mode("append").parquet(f"{root}/orders")
-    a = b.store_ad_spend(spark, sf).select(F.col("date").cast("timestamp").alias("date"), "spend")
-    a.coalesce(1).write.parquet(f"{root}/ads")
-    read = lambda name, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/{name}")
-    flows = live.daily_flows(read("orders", o.drop("odd").schema), read("ads", a.schema), delay="3000 days")
-    live.save_updates(flows, f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    updates = spark.read.option("basePath", f"{root}/out").parquet(f"{root}/out/batch=*")
-    return live.economics_of(live.latest_days(updates))
+    odd = F.col("order_id").cast("long") % 2 == 1
+    first = _orders_feed(spark, sf, status=F.when(odd, "Pending").otherwise(F.col("status")))
+    _ingest_waves(spark, root, [first, _orders_feed(spark, sf).where(odd)])
+    return live.corrected_days(spark, root, b.store_ad_spend(spark, sf))
 
 
 @query
 def i2_corrected_days(spark, sf):
-    """Days whose orders were refunded after the fact, recomputed from the merged orders."""
-    o = b.store_orders(spark, sf)
-    touched = o.where(F.col("status") == "Refunded").select(F.to_date("order_date").alias("date"))
-    return live.corrected_days(o, touched, b.store_ad_spend(spark, sf))
+    """Three waves: all orders completed and a fifth too dear, then refunds, then the right prices; sums after each."""
+    root = work_dir(spark, "corrected-days")
+    fifth = F.col("order_id").cast("long") % 5 == 0
+    dear = F.when(fifth, F.col("gross_revenue") + 7).otherwise(F.col("gross_revenue")).cast("decimal(12,2)")
+    done = F.lit("Completed")
+    waves = [
+        _orders_feed(spark, sf, gross_revenue=dear, status=done),
+        _orders_feed(spark, sf, gross_revenue=dear).where(F.col("status") == "Refunded"),
+        _orders_feed(spark, sf).where(fifth),
+    ]
+    for rows in waves:
+        _ingest_waves(spark, root, [rows])
+        days = live.corrected_days(spark, root, b.store_ad_spend(spark, sf))
+    return days
 
 
 @query
@@ -843,6 +1004,19 @@ def i3_stream_plans(spark, sf):
     return billing.current_plans(spark.read.parquet(f"{root}/log")).select("user_id", "plan")
 
 
+@query
+def i3_state_plans(spark, sf):
+    """Billing events in three waves, folded into the state of customers and users."""
+    root = work_dir(spark, "billing-state")
+    events = b.billing_events(spark, sf)
+    cuts = events.agg(F.percentile("seq", F.array(F.lit(0.33), F.lit(0.66))).alias("c")).first()["c"]
+    for low, high in zip([-1, *cuts], [*cuts, float("inf")], strict=True):
+        events.where((F.col("seq") > low) & (F.col("seq") <= high)).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{root}/in")
+        billing.keep_plans(billing.parse_events(stream), root, f"{root}/checkpoint").awaitTermination()
+    return billing.kept_plans(spark, root).select("user_id", "plan")
+
+
 @query
 def i3_activity(spark, sf):
     return billing.activity(billing.parse_events(b.billing_events(spark, sf)))
@@ -869,6 +1043,23 @@ def i4_throttle_long(spark, sf):
     return _throttled(spark, sf, limit=10, window=5 * 86_400)
 
 
+@query
+def i4_stream(spark, sf):
+    """The audit as a stream over two files, each in order, and a last event that closes all windows."""
+    root = work_dir(spark, "throttle-stream")
+    events = b.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("user_id"), F.col("ts").cast("timestamp").alias("ts"))
+    ends = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    middle = ends["low"] + (ends["high"] - ends["low"]) / 2
+    clock = spark.createDataFrame([("clock", ends["high"] + dt.timedelta(days=30))], "user_id string, ts timestamp")
+    with _setting(spark, "spark.sql.streaming.stateStore.providerClass", STATE_STORE):
+        for rows in (events.where(F.col("ts") <= middle), events.where(F.col("ts") > middle), clock):
+            rows.write.mode("append").parquet(f"{root}/in")
+            stream = spark.readStream.schema(events.schema).parquet(f"{root}/in")
+            found = throttle_live.audit_stream(stream, key="user_id", at="ts", limit=10, window=600, delay="10 minutes")
+            throttle_live.save_windows(found, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
 # -- promised analyses --------------------------------------------------------------
 
 
@@ -916,13 +1107,12 @@ def x7_tier_revenue_share(spark, sf):
 @query
 def x8_full_briefing(spark, sf):
     o, a = _store(spark, sf)
+    # One day is reported: as a literal it keeps other days from being read.
+    day = F.lit(insights.latest_active_day(o)).cast("date")
+    o, a = o.where(F.col("order_date") == day), a.where(F.col("ad_date") == day)
     daily = marts.marketing_efficiency(marts.daily_unit_economics(o, a))
-    # One day is reported: orders, spend and lines of other days go before they are summed.
-    day = detect.latest_day(daily.where(F.col("gross_revenue") > 0)).select("date")
-    of_day = lambda df, at: df.join(day, df[at] == day["date"], "left_semi")
-    sellers = skus.best_sellers(of_day(b.order_lines(spark, sf), "line_date"))
-    pnl = marts.channel_pnl(of_day(o, "order_date"), of_day(a, "ad_date"))
-    return insights.full_briefing(daily, pnl, sellers)
+    sellers = skus.best_sellers(b.order_lines(spark, sf).where(F.col("line_date") == day))
+    return insights.full_briefing(daily, marts.channel_pnl(o, a), sellers, one_day=True)
 
 
 @query

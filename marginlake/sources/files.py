@@ -43,17 +43,29 @@ def read_ad_spend_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_orders_export(
-    spark: SparkSession, path: str, rename: Mapping[str, str] | None = None
+    spark: SparkSession, path: str, rename: Mapping[str, str] | None = None, *, multi_line: bool = False
 ) -> DataFrame:
     """An order export as all-string rows under canonical names, ready to validate.
 
     ``rename`` maps the export's headings to canonical columns; headings that are
     not canonical afterwards are dropped. Absent optional columns stay absent, so
-    that validation applies its defaults.
+    that validation applies its defaults. A line with more or fewer cells than the
+    heading is kept whole in ``_corrupt_record``, and validation quarantines it.
+    ``multi_line``: quoted cells may hold line breaks; a file is then read by one task.
     """
-    raw = spark.read.option("header", True).option("multiLine", False).csv(path)
+    heading = spark.read.option("header", True).csv(path).columns
+    cells = T.StructType([T.StructField(c, T.StringType()) for c in heading])
+    raw = (
+        spark.read.schema(_with_corrupt(cells))
+        .option("header", True)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", CORRUPT)
+        .option("multiLine", multi_line)
+        .option("escape", '"')
+        .csv(path)
+    )
     raw = raw.withColumnsRenamed(dict(rename or {}))
-    return raw.select(*[f.name for f in schemas.ORDERS.fields if f.name in raw.columns])
+    return raw.select(*[f.name for f in schemas.ORDERS.fields if f.name in raw.columns], CORRUPT)
 
 
 def _read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -77,6 +89,20 @@ def read_insights_pages(spark: SparkSession, path: str, *, landed_since: dt.date
     return _read_json(spark, path, by_day).where(F.col("landed") >= F.lit(landed_since)).drop("landed")
 
 
+def _stream_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.readStream.schema(_with_corrupt(schema)).option("columnNameOfCorruptRecord", CORRUPT).json(path)
+
+
+def stream_storefront_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Order pages as their files land; what is no JSON is kept in ``_corrupt_record``."""
+    return _stream_json(spark, path, schemas.STOREFRONT_PAGE)
+
+
+def stream_order_events(spark: SparkSession, path: str, arrived: str = "arrived_at") -> DataFrame:
+    """Webhook events as their files land, with their arrival time; what is no JSON is kept in ``_corrupt_record``."""
+    return _stream_json(spark, path, T.StructType([*schemas.ORDER_EVENT.fields, T.StructField(arrived, T.TimestampType())]))
+
+
 def _corrupt(df: DataFrame) -> Column:
     return F.col(CORRUPT) if CORRUPT in df.columns else F.lit(None).cast("string")
 
@@ -146,6 +172,7 @@ def order_events(events: DataFrame, *, salt: str, arrived: str | None = None) ->
         F.lit(DEFAULT_SHIPPING).alias("shipping_cost"),
         F.lit(STOREFRONT_CHANNEL).alias("acquisition_channel"),
         F.lit("Completed").alias("status"),
+        *([CORRUPT] if CORRUPT in events.columns else []),
     )
 
 

@@ -55,6 +55,10 @@ def _open(spark: SparkSession, content: dict, only: Sequence[int] | None = None)
     return b.read_folders(spark, folders, schema, key=content["key"], buckets=content["buckets"], part=_PART)
 
 
+def exists(spark: SparkSession, root: str) -> bool:
+    return b.latest_list(spark, root)[0] >= 0
+
+
 def read(spark: SparkSession, root: str, *, before: int | None = None) -> DataFrame:
     """The table as last committed, partitioned by its key; or as it was ``before`` a batch, if not vacuumed since."""
     version, content = b.latest_list(spark, root)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from marginlake.functions.money import default_cogs
@@ -169,9 +169,19 @@ def split_ad_spend(raw: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
     return good_orders(checked), quarantined(checked, source)
 
 
+def _counters() -> list[Column]:
+    return [F.count_if(F.col("_ok")).alias("successful"), F.count_if(~F.col("_ok")).alias("quarantined")]
+
+
 def ingest_counters(checked: DataFrame) -> DataFrame:
     """One row: successful and quarantined row counts (duplicates count, empty gives 0)."""
-    return checked.agg(
-        F.count_if(F.col("_ok")).alias("successful"),
-        F.count_if(~F.col("_ok")).alias("quarantined"),
-    )
+    return checked.agg(*_counters())
+
+
+def counted(checked: DataFrame, name: str = "ingest") -> tuple[DataFrame, Observation]:
+    """``checked`` as it is, and its counters once an action has read it whole: no second scan.
+
+    ``Observation.get`` holds successful and quarantined after the first write.
+    """
+    observation = Observation(name)
+    return checked.observe(observation, *_counters()), observation

@@ -8,8 +8,8 @@ itself: the first one later than its own time plus the window. The events that d
 open windows are those reached from the start of a chain, and a chain starts
 wherever a key was silent for longer than a window. Reached sets double their
 stride with every round, so rounds grow with the logarithm of the longest chain,
-whatever the length of the calendar. All joins and windows are by key and slot of
-time, so that the events of one key are spread like those of many.
+whatever the length of the calendar. Neighbours in time are found within ranges of
+key and time, so that the events of one key are spread like those of many.
 """
 
 from __future__ import annotations
@@ -29,49 +29,41 @@ def _moment(micros: Column) -> Column:
     return F.timestamp_micros(micros)
 
 
-def _successors(times: DataFrame, span: int) -> DataFrame:
+def _successors(times: DataFrame, span: int, root: str) -> DataFrame:
     """key, t, next (the first event later than t + span, if any), starts (nothing in the span before t).
 
-    ``times``: distinct key, t (microseconds), slot = floor(t / span). What lies
-    within a span of an event is in its own slot or a neighbouring one, and the
-    event behind a whole empty slot starts a chain anyway. So each slot is
-    given copies of its neighbours' events as far as they matter: all of the
-    next slot, the first of the one after it, the last of the one before.
+    ``times``: distinct key, t (microseconds). Events and the questions at
+    t + span are range-sorted by key and time, so that a hot key's are spread
+    over many partitions. A partition answers from its own rows; what lies in later or earlier ones comes
+    from their edges, one row for each key and partition.
     """
-    ends = times.groupBy("key", "slot").agg(F.min("t").alias("low"), F.max("t").alias("high"))
-    row = lambda slot, t, asks, own: (
-        "key", slot.alias("slot"), t.alias("t"), F.lit(asks).alias("asks"), F.lit(own).alias("own"),
-    )
-    slot, t = F.col("slot"), F.col("t")
-    rows = (
-        times.select(*row(slot, t, 0, True))
-        .unionByName(times.select(*row(slot, t + span, 1, True)))
-        .unionByName(times.select(*row(slot - 1, t, 0, False)))
-        .unionByName(ends.select(*row(slot - 2, F.col("low"), 0, False)))
-        .unionByName(ends.select(*row(slot + 1, F.col("high"), 0, False)))
+    t, event = F.col("t"), F.when(F.col("asks") == 0, F.col("t"))
+    rows = times.select("key", "t", F.lit(0).alias("asks")).unionByName(
+        times.select("key", (t + span).alias("t"), F.lit(1).alias("asks"))
     )
-    # Backwards in time the least event so far is the nearest later one; a
-    # question at the very time of an event comes before it and does not see it.
-    later = (
-        Window.partitionBy("key", "slot")
-        .orderBy(F.col("t").desc(), F.col("asks").desc())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    # Events only; a slot's neighbours may bring one event twice.
-    earlier = Window.partitionBy("key", "slot", "asks").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
-    looked = rows.withColumn("next", F.min(F.when(F.col("asks") == 0, t)).over(later)).withColumn(
-        "before", F.max("t").over(earlier)
-    )
-    answers = looked.where("own").groupBy("key", F.when(F.col("asks") == 1, t - span).otherwise(t).alias("t"))
+    ranged = rows.repartitionByRange("key", "t", "asks").withColumn("part", F.spark_partition_id())
+    ranged = _stored(ranged, f"{root}/ranged")
+    ends = ranged.groupBy("key", "part").agg(F.min(event).alias("low"), F.max(event).alias("high"))
+    later = Window.partitionBy("key").orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    edges = ends.select("key", "part", F.min("low").over(later).alias("after"), F.max("high").over(earlier).alias("ahead"))
+    edges = _stored(edges, f"{root}/edges")
+    # Backwards in time the least event so far is the nearest later one; a question
+    # at the very time of an event comes before it and does not see it.
+    own = Window.partitionBy("part", "key")
+    behind = own.orderBy(F.col("t").desc(), F.col("asks").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    before = own.orderBy("t", "asks").rowsBetween(Window.unboundedPreceding, -1)
+    looked = ranged.withColumn("next", F.min(event).over(behind)).withColumn("before", F.max(event).over(before))
+    answers = looked.join(edges, ["key", "part"]).groupBy("key", F.when(F.col("asks") == 1, t - span).otherwise(t).alias("t"))
     return answers.agg(
-        F.max(F.when(F.col("asks") == 1, F.col("next"))).alias("next"),
-        F.max(F.when(F.col("asks") == 0, F.col("before"))).alias("before"),
+        F.max(F.when(F.col("asks") == 1, F.coalesce("next", "after"))).alias("next"),
+        F.max(F.when(F.col("asks") == 0, F.coalesce("before", "ahead"))).alias("before"),
     ).select("key", "t", "next", (F.col("before").isNull() | (t - F.col("before") > span)).alias("starts"))
 
 
 def window_starts(times: DataFrame, span: int, root: str) -> DataFrame:
     """key, t of every event that opens a window; tables of each round go to ``root``."""
-    linked = _stored(_successors(times, span), f"{root}/linked")
+    linked = _stored(_successors(times, span, root), f"{root}/linked")
     reached = linked.where("starts").select("key", "t")
     jumps = linked.where("next is not null").select("key", "t", "next")
     known, k = -1, 0
@@ -105,7 +97,7 @@ def audit(events: DataFrame, root: str, *, key: str, at: str, limit: int, window
     instants = _stored(
         counted.agg(F.count("*").alias("events")).withColumn("slot", F.floor(F.col("t") / span)), f"{root}/instants"
     )
-    starts = window_starts(instants.select("key", "t", "slot"), span, root)
+    starts = window_starts(instants.select("key", "t"), span, root)
     # Slots are as long as windows: each holds at most one start, and a window reaches into the next slot at most.
     opened = starts.select("key", F.floor(F.col("t") / span).alias("slot"), F.col("t").alias("anchor"))
     here = opened.withColumn("shift", F.lit(0))
