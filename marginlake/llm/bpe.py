@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from marginlake.llm.common import STEP, U64, by_batch, kept, mix
 
 #: Pieces, and words, that each of the two generations of a task's caches holds.
-CACHED_PIECES, CACHED_WORDS = 120_000, 200_000
+CACHED_PIECES, CACHED_WORDS = 60_000, 100_000
 #: Remembered pairs of tokens; beyond them their table starts anew.
 KNOWN_PAIRS = 300_000
 #: Longer pieces and words are encoded but not cached.
@@ -39,7 +39,7 @@ PAIR_BITS = 20
 ABSENT = -2
 MASK = (1 << 64) - 1
 #: Texts of about so many characters are split and encoded together.
-TOGETHER = 4_000_000
+TOGETHER = 2_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -429,13 +429,21 @@ def together(texts: list[str | None]) -> Iterator[list[str | None]]:
 
 
 def encode(
-    docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None
+    docs: DataFrame,
+    ranks_path: str,
+    pattern: str,
+    text: str = "text",
+    ids: str = "ids",
+    decoded: str | None = None,
+    exact: str | None = None,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Add ``ids``, the array of token ids of each whole text.
 
     Null and empty texts have no ids. A column already called ``ids`` is
     replaced. With ``decoded``, a column of that name gets the bytes that the ids
-    stand for, in the same pass. The rank file is read once by the driver and
+    stand for, in the same pass; with ``exact``, one that says whether these are the text's. Of ``docs``
+    the result has the columns ``keep`` (default: all). The rank file is read once by the driver and
     sent to all tasks; its size bounds the broadcast.
     """
     sent = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
@@ -443,20 +451,27 @@ def encode(
 
     def make():
         encoder = kept("bpe", key, lambda: TextEncoder(sent.value, pattern))
-        tokens = kept("bpe", ranks_path, lambda: token_bytes(sent.value)) if decoded else None
+        tokens = kept("bpe", ranks_path, lambda: token_bytes(sent.value)) if decoded or exact else None
 
         def step(cols):
-            rows = encoder.encode_all(cols["__text"].to_pylist())
+            rows = encoder.encode_all(cols[read].to_pylist())
             ends = np.cumsum([0, *map(len, rows)])
             flat = np.concatenate(rows)
             out = {ids: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))}
-            return cols | out | ({decoded: _decoded(flat, ends, tokens)} if decoded else {})
+            if tokens:
+                data = _decoded(flat, ends, tokens)
+                out |= {decoded: data} if decoded else {}
+                out |= {exact: pa.compute.equal(data, pa.compute.fill_null(cols[read].cast(pa.binary()), b""))} if exact else {}
+            return cols | out
 
         return step
 
-    keep = [c for c in docs.columns if c not in (ids, decoded)]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
-    more = [(ids, "ints"), *([(decoded, "binary")] if decoded else [])]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (ids, decoded, exact)]
+    # A text that is kept is sent once.
+    there = text in keep and dict(docs.dtypes)[text] == "string"
+    read = text if there else "__text"
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if there else [F.col(f"`{text}`").cast("string").alias(read)]))
+    more = [(ids, "ints"), *([(decoded, "binary")] if decoded else []), *([(exact, "boolean")] if exact else [])]
     return by_batch(rows, make, _ddl(docs, keep) + more, "bpe")
 
 

@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -19,7 +20,8 @@ SPACES = "\t\n\x0b\x0c\r "
 #: The same rule as a regular expression for Spark and SQL.
 WORD = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
-SLICE_ROWS = 1000
+#: Rows, and bytes, that a task handles at a time; one longer row is handled by itself.
+SLICE_ROWS, SLICE_BYTES = 1000, 4 << 20
 #: Odd multiplier of the window hash.
 STEP = 0x9E3779B97F4A7C15
 
@@ -110,10 +112,25 @@ def release(owner: str | None = None) -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of batches, SLICE_ROWS at a time."""
+    """The rows of batches, SLICE_ROWS or about SLICE_BYTES at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            yield batch.slice(at, SLICE_ROWS)
+        rows = batch.num_rows
+        ends = _row_ends(batch)
+        at = 0
+        while at < rows:
+            upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right"))
+            upto = min(max(upto, at + 1), at + SLICE_ROWS, rows)
+            yield batch.slice(at, upto - at)
+            at = upto
+
+
+def _row_ends(batch: pa.RecordBatch) -> np.ndarray:
+    """Bytes of the texts and binaries of the rows up to each one."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            sizes += pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.cumsum(sizes)
 
 
 def by_batch(
@@ -125,8 +142,8 @@ def by_batch(
     """``mapInArrow`` whose function turns the columns of a batch into the columns of a batch.
 
     ``make`` runs once per task, so that it can build what all batches share.
-    A batch is handled in slices of SLICE_ROWS rows, which bounds the Python
-    objects that exist at a time.
+    A batch is handled in slices of bounded rows and bytes, which bounds the
+    Python objects that exist at a time.
     ``owner``: whose things in the worker process stay, see ``kept``.
     ``schema``: as ``struct`` takes it, or pairs of name and kind or Spark type.
     """

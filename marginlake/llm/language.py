@@ -21,10 +21,12 @@ SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_TOTAL = 400, 400, 25_600
 OVERSAMPLE = 4
 #: A language's sample counts as so many rows there at least, so that a small one is not missed by chance.
 LOOKED_AT = 16
-#: Units of each direction; more than FEW_LABELS need the larger number.
-UNITS, MANY_UNITS, FEW_LABELS = 8, 24, 16
+#: Units of each direction.
+UNITS = 12
 TRAIN_BYTES = 48
-PASSES, BATCH, RATE = 6, 256, 0.02
+PASSES, RATE = 6, 0.02
+#: Pieces of a training batch, and batches that a pass over a small sample is cut into.
+BATCH, LEAST_BATCHES = 256, 20
 #: Texts are read in pieces of so many bytes; every byte is read.
 PIECE_BYTES = 96
 #: Pieces that are read at once, and pieces times labels.
@@ -55,13 +57,11 @@ def train(rows: list[tuple[bytes, str]]) -> ByteTagger | None:
     if not labels:
         return None
     pieces, filled, owner = cut_pieces([t for t, _ in rows], TRAIN_BYTES)
-    full = filled == TRAIN_BYTES
-    if not full.any():
-        full = filled > 0
     number = {label: i for i, label in enumerate(labels)}
-    y = np.array([number[label] for _, label in rows])[owner[full]]
-    model = ByteTagger(labels, UNITS if len(labels) <= FEW_LABELS else MANY_UNITS)
-    model.fit(np.ascontiguousarray(pieces[full].T), y, PASSES, BATCH, RATE)
+    y = np.array([number[label] for _, label in rows])[owner]
+    model = ByteTagger(labels, UNITS)
+    batch = max(1, min(BATCH, len(y) // LEAST_BATCHES))
+    model.fit(np.ascontiguousarray(pieces.T), y, PASSES, batch, RATE, filled=filled)
     return model
 
 
@@ -137,7 +137,7 @@ def identify(docs: DataFrame, model: ByteTagger | None, text: str = "text") -> D
     """
 
     def step(cols):
-        texts = cols.pop("__text").to_pylist()
+        texts = cols[read].to_pylist()
         pred, score = [], []
         for some in _together(texts):
             known = [model is not None and has_letter(t) for t in some]
@@ -153,12 +153,15 @@ def identify(docs: DataFrame, model: ByteTagger | None, text: str = "text") -> D
         return cols | {"lang_pred": pred, "score": score}
 
     keep = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    rows = docs.select(*[F.col(f"`{f.name}`") for f in keep], F.col(f"`{text}`").cast("string").alias("__text"))
+    # A text that is kept is sent once.
+    there = dict(docs.dtypes).get(text) == "string"
+    read = text if there else "__text"
+    rows = docs.select(*[F.col(f"`{f.name}`") for f in keep], *([] if there else [F.col(f"`{text}`").cast("string").alias(read)]))
     schema = [*((f.name, f.dataType) for f in keep), ("lang_pred", "string"), ("score", "double")]
     return by_batch(rows, lambda: step, schema)
 
 
-def _together(texts: list, size: int = 4_000_000):
+def _together(texts: list, size: int = 2_000_000):
     some, held = [], 0
     for t in texts:
         some.append(t)
@@ -181,4 +184,4 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     lettered = docs.filter(F.col("text").cast("string").rlike(r"\p{L}"))
     if model is None:
         return lettered
-    return identify(lettered, model).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return identify(lettered, model).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -18,7 +18,7 @@ def op1_language(spark, sf_dir):
 def op2_byte_bpe(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.encode(docs, path, public_tokenizers.PATTERN, decoded="decoded")
+    coded = bpe.encode(docs, path, public_tokenizers.PATTERN, decoded="decoded", keep=["doc_id"])
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -119,24 +119,30 @@ class ByteTagger:
         table = np.stack([np.bincount(flat, row, 256) for row in rows]).astype(F32)
         return table, du
 
-    def gradients(self, x: np.ndarray, y: np.ndarray):
-        """Mean cross entropy over all positions, and its gradients; ``y``: a label for each column."""
+    def gradients(self, x: np.ndarray, y: np.ndarray, filled: np.ndarray | None = None):
+        """Mean cross entropy over all positions, and its gradients; ``y``: a label for each column.
+
+        Of each column the first ``filled`` positions count (default: all).
+        """
         p = self.params
         sf, kf = self._forward(x, "f")
         sb, kb = self._forward(x, "b")
         prob = softmax(p["Wf"] @ sf + p["Wb"] @ sb + p["b"], 1)
         steps, _, batch = prob.shape
+        inside = np.ones((steps, batch), F32) if filled is None else (np.arange(steps)[:, None] < filled).astype(F32)
         own = prob[:, y, np.arange(batch)]
         d = prob
         d[:, y, np.arange(batch)] -= 1
-        d /= steps * batch
+        d *= (inside / inside.sum())[:, None, :].astype(d.dtype)
         grads = {"b": d.sum(axis=(0, 2))[:, None]}
         for side, states, kept in (("f", sf, kf), ("b", sb, kb)):
             grads[f"W{side}"] = np.einsum("tlb,tub->lu", d, states, optimize=True)
             grads[f"E{side}"], grads[f"U{side}"] = self._backward(x, side, kept, p[f"W{side}"].T @ d)
-        return float(-np.log(own + 1e-9).mean()), grads
+        return float((-np.log(own + 1e-9) * inside).sum() / inside.sum()), grads
 
-    def fit(self, x: np.ndarray, y: np.ndarray, passes: int, batch: int, rate: float, seed: int = 11) -> list[float]:
+    def fit(
+        self, x: np.ndarray, y: np.ndarray, passes: int, batch: int, rate: float, seed: int = 11, filled: np.ndarray | None = None
+    ) -> list[float]:
         """Adam over shuffled batches, the rate falling to a tenth; returns the losses."""
         rng, adam, losses = np.random.default_rng(seed), Adam(self.params, rate), []
         total = passes * max(1, len(y) // batch)
@@ -144,7 +150,7 @@ class ByteTagger:
             order = rng.permutation(len(y))
             for i in range(0, max(1, len(y) - batch + 1), batch):
                 at = order[i : i + batch]
-                loss, grads = self.gradients(x[:, at], y[at])
+                loss, grads = self.gradients(x[:, at], y[at], None if filled is None else filled[at])
                 adam.step(grads, 1 - 0.9 * len(losses) / total)
                 losses.append(loss)
         return losses

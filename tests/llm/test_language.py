@@ -118,3 +118,21 @@ def test_accuracy_on_held_out_documents(spark):
     assert len(rows) == len(lang)
     out = [r["lang_pred"] == lang[r["doc_id"]] for r in rows if r["held_out"]]
     assert np.mean(out) > 0.98
+
+
+def test_labels_of_short_texts_are_learned(spark):
+    """A language whose texts are all shorter than a training piece, beside one with long texts."""
+    rows = [row(i, "кот дом лес", "ru") for i in range(100)] + [row(1000 + i, "the cat sat on the mat and " * 9, "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = language.identify(docs.select("doc_id", "text"), language.fit(docs))
+    assert {(r["doc_id"] < 1000, r["lang_pred"]) for r in found.collect()} == {(True, "ru"), (False, "en")}
+
+
+def test_padding_has_no_part_in_training():
+    model = ByteTagger(["a", "b"], units=3)
+    rng = np.random.default_rng(2)
+    x, y, filled = rng.integers(97, 101, (6, 4)).astype(np.uint8), np.array([0, 1, 0, 1]), np.array([6, 3, 1, 6])
+    loss, grads = model.gradients(x, y, filled)
+    own = [model.gradients(x[:, [k]], y[[k]], filled[[k]])[0] * filled[k] for k in range(4)]
+    assert abs(loss - sum(own) / filled.sum()) < 1e-5
+    assert set(grads) == set(model.params)

@@ -15,7 +15,7 @@ def shingle_set(text):
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)])
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = [(i, shingle_set(t)) for i, t in rows]
     up = list(range(len(sets)))
 
@@ -27,7 +27,7 @@ def brute(rows):
     for a in range(len(sets)):
         for b in range(a):
             x, y = sets[a][1], sets[b][1]
-            if x and y and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
                 up[root(a)] = root(b)
     least = {}
     for k, (i, _) in enumerate(sets):
