@@ -44,15 +44,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_tokens, ids, and whether the decoded ids are the text."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.encode(docs, path, public_tokenizers.PATTERN, decoded="decoded")
-    return coded.select(
-        "doc_id",
-        "source",
-        "lang",
-        F.size("ids").cast("long").alias("n_tokens"),
-        "ids",
-        (F.encode(F.coalesce("text", F.lit("")), "UTF-8") == F.col("decoded")).alias("exact"),
-    )
+    coded = bpe.encode(docs, path, public_tokenizers.PATTERN, exact="exact", keep=["doc_id", "source", "lang"])
+    return coded.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", "exact")
 
 
 STAGES = [
