@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -111,6 +112,19 @@ def release(owner: str | None = None) -> None:
         del _KEPT[k]
 
 
+def give_back() -> None:
+    """Return memory that is free in this worker process to the system; idle workers would keep it."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim  # glibc has it
+except (OSError, AttributeError):
+    _TRIM = None
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of batches, SLICE_ROWS or about SLICE_BYTES at a time."""
     for batch in batches:
@@ -122,6 +136,8 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             upto = min(max(upto, at + 1), at + SLICE_ROWS, rows)
             yield batch.slice(at, upto - at)
             at = upto
+    batch = None
+    give_back()
 
 
 def _row_ends(batch: pa.RecordBatch) -> np.ndarray:

@@ -24,7 +24,7 @@ from marginlake.llm.recurrent import Adam, SequenceLabeller
 
 # Elements of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = frozenset("script style template head title noscript iframe object svg math canvas audio video".split())
+UNREAD = frozenset("script style template head title noscript iframe object svg canvas audio video".split())
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption "
     "figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup "
@@ -41,8 +41,6 @@ CONTAINERS = frozenset(
 )
 
 MARKS, WORDS, UNITS = 2048, 1024, 12
-#: Ancestors whose names describe a block, from the innermost.
-PATH = 24
 
 
 class Block(NamedTuple):
@@ -64,7 +62,8 @@ def _names(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[str, ...]:
 class _Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        # Open elements: tag, names, and the different names on the way to them, the innermost first.
+        self.stack: list[tuple[str, tuple[str, ...], tuple[str, ...]]] = []
         self.unread = 0
         self.links = 0
         self.parts: list[str] = []
@@ -75,18 +74,18 @@ class _Reader(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                path = tuple(n for _, names in self.stack[: -PATH - 1 : -1] for n in names)
-                self.blocks.append(Block(path, text, self.link_chars))
+                _, names, above = self.stack[-1] if self.stack else ("", (), ())
+                self.blocks.append(Block(tuple(dict.fromkeys(names + above)), text, self.link_chars))
             self.parts, self.link_chars = [], 0
 
     def _pop(self, count: int) -> None:
-        for tag, _ in self.stack[len(self.stack) - count :]:
+        for tag, *_ in self.stack[len(self.stack) - count :]:
             self.unread -= tag in UNREAD
             self.links -= tag == "a"
         del self.stack[len(self.stack) - count :]
 
     def _close(self, tags: set[str] | frozenset[str]) -> None:
-        for k, (tag, _) in enumerate(reversed(self.stack)):
+        for k, (tag, *_) in enumerate(reversed(self.stack)):
             if tag in tags:
                 self._pop(k + 1)
                 return
@@ -107,7 +106,10 @@ class _Reader(HTMLParser):
             while self.unread:
                 self._pop(1)
         if tag not in VOID:
-            self.stack.append((tag, _names(tag, attrs)))
+            names, above = _names(tag, attrs), self.stack[-1][2] if self.stack else ()
+            # Nested elements of the same names share one list: depth alone costs nothing.
+            new = tuple(n for n in dict.fromkeys(names) if n not in above)
+            self.stack.append((tag, names, new + above if new else above))
             self.unread += tag in UNREAD
             self.links += tag == "a"
 
@@ -119,13 +121,17 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCKS:
             self.flush()
-        for k, (open_, _) in enumerate(reversed(self.stack)):
+        for k, (open_, *_) in enumerate(reversed(self.stack)):
             if open_ == tag:
                 self._pop(k + 1)
                 return
             if tag not in CONTAINERS and open_ in CONTAINERS:
                 return
 
+    def parse_marked_section(self, i, report=1):
+        """``<![...`` up to the next ``>`` is a comment in HTML, whatever it says; without one, all that follows."""
+        return self.rawdata.find(">", i) + 1 or len(self.rawdata)
+
     def handle_data(self, data):
         if not self.unread:
             self.parts.append(data)

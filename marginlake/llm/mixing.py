@@ -4,8 +4,8 @@ Every source is a queue of its documents in shuffled order, up to three times
 over. A document's virtual finish time is the words of its queue up to its end,
 divided by the source's weight. Served in the order of finish times, queues
 advance in proportion to their weights until they are empty; cutting the order
-where the total budget is spent gives every source its weight's share, and a
-queue that ran dry leaves its share to the others.
+where the total budget is spent gives every source its weight's share but for
+less than a document, and a queue that ran dry leaves its share to the others.
 """
 
 from __future__ import annotations
@@ -99,15 +99,56 @@ def queues(
     )
 
 
-def taken(epoch: int | Column) -> Column:
-    """Words that the budget takes of a document in its ``epoch``-th turn.
+def finish(epoch: int) -> Column:
+    """Virtual time at which a document's ``epoch``-th turn ends."""
+    return (epoch * F.col("source_size") + F.col("queue_end")) / F.col("weight")
 
-    The clock stops for each source at its target, rounded to whole words; the
-    document it stops in is taken up to there.
+
+#: The order of service: finish time, ties by place, source and turn. No two turns with words are equal in it.
+SERVICE = ("finish", "place", "queue", "epoch")
+
+
+def cut(queued: DataFrame, epochs: int = EPOCHS) -> tuple | None:
+    """Where the budget (all words of the documents) ends in the order of service: its key, and the words taken of that turn.
+
+    All turns are range-sorted by finish time. The words of the partitions, one
+    row each, say in which one the budget ends; there the running words say at
+    which turn. None if there are no words.
     """
-    room = F.floor(F.col("target") + 0.5).cast("long")
-    begins = epoch * F.col("source_size") + F.col("queue_end") - F.col("size")
-    return F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), room - begins))
+    turns = [F.struct(finish(e).alias("finish"), F.lit(e).alias("epoch")) for e in range(epochs)]
+    served = queued.filter("size > 0").select("place", _queue().alias("queue"), "size", F.inline(F.array(*turns)))
+    parts = store(served.repartitionByRange(*SERVICE).withColumn("part", F.spark_partition_id()), "mix-turns")
+    budget = served.filter("epoch = 0").agg(F.sum("size")).first()[0]
+    if budget is None:
+        return None
+    running = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = parts.groupBy("part").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(running))
+    last = sums.filter(F.col("upto") >= budget).orderBy("part").first()
+    left = budget - (last["upto"] - last["words"])
+    inside = Window.orderBy(*SERVICE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    row = (
+        parts.filter(F.col("part") == last["part"])  # one partition of the range sort
+        .withColumn("upto", F.sum("size").over(inside))
+        .filter(F.col("upto") >= left)
+        .orderBy("upto")
+        .first()
+    )
+    return (*[row[c] for c in SERVICE], left - (row["upto"] - row["size"]))
+
+
+def _queue() -> Column:
+    return F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("s"), F.col("source")))
+
+
+def taken(epoch: int, at: tuple | None) -> Column:
+    """Words that are taken of a document in its ``epoch``-th turn: all if it ends before the cut ``at``."""
+    nothing = F.lit(0).cast("long")
+    if at is None:
+        return nothing
+    key = F.struct(finish(epoch).alias("a"), F.col("place").alias("b"), _queue().alias("c"), F.lit(epoch).alias("d"))
+    end = F.struct(F.lit(at[0]).alias("a"), F.lit(at[1]).alias("b"), F.lit(at[2]).alias("c"), F.lit(at[3]).alias("d"))
+    some = F.when(key < end, F.col("size")).when(key == end, F.lit(at[4]).cast("long")).otherwise(nothing)
+    return F.when(F.col("size") > 0, some).otherwise(nothing)
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -122,8 +163,10 @@ def take(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, epochs: int = EPOC
     one id are documents of their own. An empty table gives no rows. Texts are
     read once, for the sizes.
     """
-    queued = queues(store(sized(docs), "mix-sizes"), seed, weights, epochs)
-    total = sum((taken(e) for e in range(1, epochs)), taken(0))
+    rows = store(sized(docs), "mix-sizes")
+    queued = store(queues(rows, seed, weights, epochs), "mix-queues")
+    at = cut(queued, epochs)
+    total = sum((taken(e, at) for e in range(1, epochs)), taken(0, at))
     return queued.withColumn("taken", total).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
@@ -138,20 +181,22 @@ def mix(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, epochs: int = EPOCH
     rows = docs.select(
         "doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     )
+    sizes = store(sized(docs), "mix-sizes")
+    at = cut(store(queues(sizes, seed, weights, epochs), "mix-queues"), epochs)
     turns = F.array(
         *[
             F.struct(
                 F.lit(e).alias("epoch"),
-                taken(e).alias("taken"),
-                ((e * F.col("source_size") + F.col("queue_end")) / F.col("weight")).alias("finish"),
+                taken(e, at).alias("taken"),
+                finish(e).alias("finish"),
             )
             for e in range(epochs)
         ]
     )
     served = (
-        queues(rows, seed, weights, epochs, sizes=sized(docs))
+        queues(rows, seed, weights, epochs, sizes=sizes)
         .withColumn("turn", F.explode(F.filter(turns, lambda t: t["taken"] > 0)))
-        .orderBy("turn.finish", "place", "doc_id", "turn.epoch")
+        .orderBy("turn.finish", "place", _queue(), "turn.epoch")
     )
     whole = F.col("turn.taken") == F.col("size")
     first = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("turn.taken").cast("int")), " ")
@@ -181,15 +226,21 @@ with docs as (
           rows between current row and unbounded following) as meets
   from weighted
 ), goals as (
-  select source, source_size, least(weight * (select max(meets) from lines), full_size::double) as target from lines
+  select source, source_size, weight, least(weight * (select max(meets) from lines), full_size::double) as target from lines
 ), queued as (
-  select d.doc_id, d.size, g.source_size, g.target, floor(g.target + 0.5)::bigint as room,
+  select d.doc_id, d.source, d.size, g.source_size, g.target, g.weight, md5('mix' || coalesce(d.doc_id::varchar, 'null')) as place,
+    case when d.source is null then '' else 's' || d.source end as queue,
     (sum(d.size) over (partition by d.source order by md5('mix' || coalesce(d.doc_id::varchar, 'null')), d.doc_id, d.size
-        rows between unbounded preceding and current row))::bigint - d.size as begins
+        rows between unbounded preceding and current row))::bigint as queue_end
   from docs d join goals g on d.source is not distinct from g.source
+), turns as (
+  select *, (epoch * source_size + queue_end) / weight as finish from queued, range(3) t(epoch) where size > 0
+), served as (
+  select *, (sum(size) over (order by finish, place, queue, epoch rows between unbounded preceding and current row))::bigint - size as before
+  from turns
+), cut as (
+  select queue, queue_end, sum(greatest(0, least(size, (select sum(size) from docs) - before))) as taken from served group by 1, 2
 )
-select doc_id, size, source_size, target,
-  (greatest(0, least(size, room - begins)) + greatest(0, least(size, room - begins - source_size))
-    + greatest(0, least(size, room - begins - 2 * source_size)))::bigint as taken
-from queued
+select q.doc_id, q.size, q.source_size, q.target, coalesce(c.taken, 0)::bigint as taken
+from queued q left join cut c on c.queue = q.queue and c.queue_end = q.queue_end and q.size > 0
 """

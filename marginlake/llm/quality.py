@@ -27,8 +27,8 @@ SHARE = 0.75
 STEPS = 5
 #: Chance that a document of a normal group is rejected.
 REJECT = 1e-6
-#: Groups of fewer documents use the estimate of their language, or of all.
-LEAST_ROWS = 200
+#: A group's estimate is drawn towards its language's, and that towards all's, as if these brought so many documents.
+DRAWN = 200
 #: Distances are sorted into bins, so many to each doubling.
 BINS_PER_DOUBLING = 8
 
@@ -141,7 +141,7 @@ def _distance(params: Column) -> Column:
     return sum(terms[1:], terms[0])
 
 
-MODEL = struct("level string, n long, centre doubles, inverse doubles, log_det double")
+MODEL = struct("level string, n long, centre doubles, inverse doubles, scatter doubles, log_det double")
 
 
 def fit(bins: list[dict], inner: float | None, within: float | None, scale: float) -> tuple:
@@ -163,13 +163,34 @@ def fit(bins: list[dict], inner: float | None, within: float | None, scale: floa
         cov[i, j] = cov[j, i] = products[k] - mean[i] * mean[j]
     cov = cov * scale + np.diag([f[2] ** 2 for f in FEATURES])
     inverse = np.linalg.inv(cov)
-    return int(n.sum()), mean.tolist(), [float(inverse[i, j]) for i, j in PAIRS], float(np.linalg.slogdet(cov)[1])
+    packed = lambda m: [float(m[i, j]) for i, j in PAIRS]
+    return int(n.sum()), mean.tolist(), packed(inverse), packed(cov), float(np.linalg.slogdet(cov)[1])
+
+
+def drawn(models: list[dict | None]) -> tuple[list[float], list[float]]:
+    """Centre and inverse scatter of a group, from the estimates of its levels, the finest first.
+
+    From the coarsest on, each is the mean of the finer estimate and of what is
+    known so far, weighed by the finer one's documents and DRAWN: one rule for groups of all sizes.
+    """
+    centre = scatter = None
+    for m in reversed(models):
+        if m is None:
+            continue
+        own = np.array(m["centre"]), np.array(m["scatter"])
+        w = 1.0 if centre is None else m["n"] / (m["n"] + DRAWN)
+        centre, scatter = (own if centre is None else (w * own[0] + (1 - w) * centre, w * own[1] + (1 - w) * scatter))
+    cov = np.zeros((DIMENSIONS, DIMENSIONS))
+    for k, (i, j) in enumerate(PAIRS):
+        cov[i, j] = cov[j, i] = scatter[k]
+    inverse = np.linalg.inv(cov)
+    return centre.tolist(), [float(inverse[i, j]) for i, j in PAIRS]
 
 
 def _fitted(bins: DataFrame, inner: float | None, within: float | None, scale: float) -> DataFrame:
     def step(cols):
         found = [fit(b, inner, within, scale) for b in cols["bins"].to_pylist()]
-        return {"level": cols["level"]} | dict(zip(("n", "centre", "inverse", "log_det"), zip(*found, strict=True), strict=True))
+        return {"level": cols["level"]} | dict(zip(("n", "centre", "inverse", "scatter", "log_det"), zip(*found, strict=True), strict=True))
 
     return by_batch(bins, lambda: step, MODEL)
 
@@ -236,12 +257,19 @@ def _judged(docs: DataFrame) -> DataFrame:
     vectors = [expr().alias(x) for x, (_, expr, _) in zip(X, FEATURES, strict=True)]
     passed = marked.filter(~F.col("base_failed")).select("*", *vectors)
     model = estimate(passed.select(F.explode("levels").alias("level"), *X))
-    # The finest level with enough documents; the table of all is always there.
-    pick = [model.select(F.col("level").alias(f"l{i}"), F.when(F.col("n") >= least, F.struct("centre", "inverse")).alias(f"model{i}")) for i, least in enumerate((LEAST_ROWS, LEAST_ROWS, 0))]
-    judged = passed
+    # One row for each group: the estimates of its levels, drawn together.
+    rows = F.struct("n", "centre", "scatter")
+    groups = passed.select(*[F.col("levels")[i].alias(f"l{i}") for i in range(3)]).distinct()
     for i in range(3):
-        judged = judged.join(pick[i], judged["levels"][i] == pick[i][f"l{i}"], "left")
-    distance = _distance(F.coalesce("model0", "model1", "model2"))
+        groups = groups.join(model.select(F.col("level").alias(f"l{i}"), rows.alias(f"m{i}")), f"l{i}")
+
+    def step(cols):
+        found = [drawn(list(m)) for m in zip(*(cols[f"m{i}"].to_pylist() for i in range(3)), strict=True)]
+        return {"group": cols["l0"]} | dict(zip(("centre", "inverse"), zip(*found, strict=True), strict=True))
+
+    pulled = store(by_batch(groups.select("l0", "m0", "m1", "m2"), lambda: step, struct("group string, centre doubles, inverse doubles")), "quality-models")
+    judged = passed.join(pulled.select("group", F.struct("centre", "inverse").alias("model")), passed["levels"][0] == F.col("group"))
+    distance = _distance(F.col("model"))
     cutoff = chi2_quantile(1 - REJECT, DIMENSIONS)
     columns = ["doc_id", "lang", "source", *COUNTS, "base_failed"]
     kept = judged.select(*columns, distance.alias("distance")).withColumn("kept", F.col("distance") <= cutoff)

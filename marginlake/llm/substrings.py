@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from marginlake.llm.common import U64, by_batch, hashes, mix, release, struct, windows, words
+from marginlake.llm.common import U64, by_batch, give_back, hashes, mix, release, struct, windows, words
 
 WINDOW = 13
 #: Words that a chunk holds; a longer document is a chunk of its own.
@@ -94,6 +94,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
                 chunk = Chunk()
     if chunk.words:
         yield chunk
+    chunk = None
+    give_back()
 
 
 def cells(window: np.ndarray, row: int, bits: int) -> np.ndarray:

@@ -39,7 +39,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 HTTP_TYPE = "application/http; msgtype=response"
 
 CHUNKS = struct(
-    "record_id string, uri string, chunk_no long, data binary, end_byte long, sha1 string, last boolean"
+    "record_id string, uri string, chunk_no long, data binary, end_byte long, sha1 string, last boolean, "
+    "payload_digest string, row_no long"
 )
 #: What the reader knows of a record besides its chunks.
 READ = struct(
@@ -88,25 +89,28 @@ def _batch(rows: list[tuple], target: pa.Schema) -> pa.RecordBatch:
 def chunk_table(rows: DataFrame, record_id: str, uri: str, payload: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Rows of text or bytes as chunk rows. Null payloads are empty: one chunk of no bytes.
 
-    Null ids and addresses stay null. Two rows of one id are two records of
-    the same id; they must not be split over several chunks.
+    Null ids and addresses stay null. Rows of one id are records of their own:
+    every chunk carries its row's number and whole payload's digest, by which
+    they are told apart. ``sha1`` is the digest up to the chunk's end.
     """
 
     def run(batches):
         def rows_of():
             for batch in batches:
-                for rid, at, body in zip(*batch.columns, strict=True):
-                    digest = Digest()
-                    for k, data, last in pieces(body.as_py() or b"", chunk_bytes):
+                for rid, at, body, row in zip(*batch.columns, strict=True):
+                    digest, payload = Digest(), body.as_py() or b""
+                    whole = hashlib.sha1(payload).hexdigest()
+                    for k, data, last in pieces(payload, chunk_bytes):
                         size, sha = digest.add(data)
-                        yield rid.as_py(), at.as_py(), k, data, size, sha, last
+                        yield rid.as_py(), at.as_py(), k, data, size, sha, last, whole, row.as_py()
 
         yield from _batches(rows_of(), CHUNKS, 3)
 
     body = F.col(payload)
     if not isinstance(rows.schema[payload].dataType, T.BinaryType):
         body = F.encode(body.cast("string"), "UTF-8")
-    return rows.select(F.col(record_id).cast("string"), F.col(uri).cast("string"), body).mapInArrow(run, CHUNKS)
+    columns = F.col(record_id).cast("string"), F.col(uri).cast("string"), body, F.monotonically_increasing_id()
+    return rows.select(*columns).mapInArrow(run, CHUNKS)
 
 
 def heads(chunks: DataFrame) -> DataFrame:
@@ -214,7 +218,7 @@ class ArchiveWriter:
 def write(chunks: DataFrame, planned: DataFrame, folder: str, date: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write archives into ``folder``; returns the list of files (archive, records).
 
-    ``planned``: one row for each record: record_id, payload_bytes,
+    ``planned``: one row for each id and payload: record_id, payload_bytes,
     payload_digest, refers_to. Every attempt of a task writes files of its
     own; only those of the attempt that Spark accepted are in the list.
     Revisits need their record's first chunk only.
@@ -222,10 +226,14 @@ def write(chunks: DataFrame, planned: DataFrame, folder: str, date: str, archive
     listed = struct("archive string, records long")
     joined = (
         chunks.alias("c")
-        .join(planned.alias("p"), F.col("c.record_id").eqNullSafe(F.col("p.record_id")))
+        .join(
+            planned.alias("p"),
+            F.col("c.record_id").eqNullSafe(F.col("p.record_id")) & (F.col("c.payload_digest") == F.col("p.payload_digest")),
+        )
         .filter("p.refers_to is null or c.chunk_no = 0")
-        .select("c.record_id", "c.uri", "p.refers_to", "p.payload_bytes", "p.payload_digest", "c.chunk_no", "c.data", "c.last")
-        .sortWithinPartitions("record_id", "uri", "payload_digest", "chunk_no")
+        .select("c.record_id", "c.uri", "p.refers_to", "p.payload_bytes", "p.payload_digest", "c.chunk_no", "c.data", "c.last", "c.row_no")
+        .sortWithinPartitions("record_id", "payload_digest", "row_no", "chunk_no")
+        .drop("row_no")
     )
 
     def run(batches):
@@ -381,8 +389,8 @@ def archive_pages(pages: DataFrame, folder: str, date: str = "2000-01-01T00:00:0
     """Write a record for each page (page_id, url, html) and read all of them back.
 
     Returns the records as read: page_id, url, record_type, refers_to,
-    payload_bytes, payload_digest. Empty tables give no rows. Pages of one id
-    must have one payload each; equal ids with equal payloads are records of
+    payload_bytes, payload_digest. Empty tables give no rows. Every row is a
+    record of its own; rows of one id with equal payloads are records of
     the same kind. A null id counts as the smallest.
     """
     rows = pages.select("page_id", "url", "html")

@@ -124,3 +124,23 @@ def test_sample_pages_give_their_articles(spark):
     rows = queries.op3_html_text(spark, sf).collect()
     assert len(rows) == len(want)
     assert np.mean([r["text"] == want[r["page_id"]] for r in rows]) > 0.98
+
+
+def test_marked_sections_and_declarations_are_comments():
+    for odd in ("<![foo[bar]]>", "<![CDATA[ x ]]>", "<!foo bar>", "<![if IE]>", "<!DOCTYPE"):
+        found = [b.text for b in htmltext.blocks(f"<body><p>Before.</p>{odd}<p>After it.</p>")]
+        assert found[0] == "Before."
+    assert [b.text for b in htmltext.blocks("<p>One <![foo[bar]]> two.</p><![endless")] == ["One two."]
+
+
+def test_formulas_are_text():
+    assert [b.text for b in htmltext.blocks("<p>Let <math><mi>x</mi></math> be.</p>")] == ["Let x be."]
+
+
+def test_depth_does_not_hide_ancestors():
+    """A line is described alike directly under its footer and under many nested elements."""
+    names = []
+    for depth in (0, 30, 3000):
+        page = "<footer class='foot'>" + "<div>" * depth + "<p>All rights reserved.</p>"
+        names.append(set(htmltext.blocks(page)[0].path) - {"div"})
+    assert names[0] == names[1] == names[2] and "=foot" in names[0]

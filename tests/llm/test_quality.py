@@ -102,3 +102,14 @@ def test_labelled_clean_documents_are_kept(spark):
     clean = [r["kept"] for r in rows if labels[r["doc_id"]] == 1]
     junk = [r["kept"] for r in rows if labels[r["doc_id"]] == 0]
     assert sum(clean) >= 0.99 * len(clean) and sum(junk) <= 0.1 * len(junk)
+
+
+def test_estimates_are_drawn_by_size():
+    """The same rule for all sizes: a group of many documents keeps its own estimate, one of few has its language's."""
+    flat = [float(i == j) for i, j in quality.PAIRS]
+    level = lambda n, at: {"n": n, "centre": [at] * quality.DIMENSIONS, "scatter": flat}
+    for n, least, most in ((1, 0.0, 0.02), (quality.DRAWN, 0.49, 0.51), (10**6, 0.99, 1.0)):
+        centre, inverse = quality.drawn([level(n, 1.0), level(10**9, 0.0), level(10**9, 0.0)])
+        assert least <= centre[0] <= most
+        assert all(abs(a - b) < 1e-6 for a, b in zip(inverse, flat))
+    assert quality.drawn([None, None, level(5, 2.0)])[0][0] == 2.0

@@ -97,3 +97,24 @@ def test_damaged_archives_fail(spark, tmp_path):
 def test_query_equals_sql(spark, sf):
     con = sql_connection(sf)
     assert compare(spark, con, "op6", queries.op6_warc, queries.ORACLE["op6_warc"], sf) is None
+
+
+def test_rows_of_one_id_are_records_of_their_own(spark, tmp_path):
+    """Other payloads under one id, and a large payload that is there twice, with joins that sort."""
+    big = "x" * 1_600_000
+    rows = [(1, "http://a/1", "one"), (1, "http://a/2", "two" * 600), (2, "http://a/3", big), (2, "http://a/3", big), (3, "http://a/4", "two" * 600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = warc.archive_pages(pages, f"file://{tmp_path}/warc").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    got = sorted((r["page_id"], r["url"], r["record_type"], r["refers_to"] or 0, r["payload_bytes"]) for r in found)
+    assert got == [
+        (1, "http://a/1", "response", 0, 3),
+        (1, "http://a/2", "revisit", 3, 1800),
+        (2, "http://a/3", "response", 0, len(big)),
+        (2, "http://a/3", "response", 0, len(big)),
+        (3, "http://a/4", "response", 0, 1800),
+    ]
