@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marginlake import schemas
 from marginlake.functions.calendar import moment
+from marginlake.operators import marts, staging
 from marginlake.sources import files, merge, sinks, validate
 from tests.helpers import ad, ads_frame, dicts, one, order, orders_frame, plan_of
 
@@ -184,7 +185,7 @@ def test_orders_export_rename(spark, tmp_path):
     path = tmp_path / "export.csv"
     path.write_text('Name,Total,Buyer,Paid at,Notes\n#1,10.00,c,2025-01-01,"a, b"\n')
     raw = files.read_orders_export(spark, str(path), {"Name": "order_id", "Total": "gross_revenue", "Buyer": "customer_id", "Paid at": "order_date"})
-    assert set(raw.columns) == {"order_id", "gross_revenue", "customer_id", "order_date"}
+    assert set(raw.columns) == {"order_id", "gross_revenue", "customer_id", "order_date", "_corrupt_record"}
     assert one(validate.split_orders(raw, "export")[0])["order_id"] == "#1"
 
 
@@ -236,3 +237,50 @@ def test_workspace_adapters(spark):
     assert row["workspace_id"] == "5" and row["gross_revenue"] == Decimal("10.10") and row["status"] == "paid"
     a = spark.createDataFrame([(1, 5, "Meta", dt.datetime(2025, 1, 1), 2.5, 10, 1, 1)], "id int, user_id int, channel string, date timestamp, spend double, impressions int, clicks int, conversions int")
     assert one(schemas.workspace_ad_spend(a))["spend"] == Decimal("2.50")
+
+
+def test_surplus_cells_of_an_export_go_to_quarantine(spark, tmp_path):
+    path = tmp_path / "export.csv"
+    path.write_text("order_id,customer_id,order_date,gross_revenue\n1,a,2024-01-01,9.50\n2,b2,2024-01-01,1,234.50\n3,c,2024-01-01\n4,d,2024-01-02,100000000.00\n")
+    good, dead = validate.split_orders(files.read_orders_export(spark, str(path)), "export")
+    assert [(r["order_id"], float(r["gross_revenue"])) for r in dicts(good, "order_id")] == [("1", 9.5), ("4", 1e8)]
+    assert [r["error_reason"] for r in dicts(dead)] == ["malformed record"] * 2
+    # What validation lets in, staging and marts can hold.
+    staged = staging.stage_orders(good)
+    assert float(one(staged.where("order_id = '4'"))["gross_revenue"]) == 1e8
+    assert marts.channel_profitability(staged).count() == 1
+
+
+def test_line_breaks_in_quoted_cells(spark, tmp_path):
+    path = tmp_path / "export.csv"
+    path.write_text('order_id,customer_id,order_date,gross_revenue\n1,"Ann\nLee ""x""",2024-01-01,9.50\n2,b,2024-01-01,3\n')
+    good, dead = validate.split_orders(files.read_orders_export(spark, str(path), multi_line=True), "export")
+    assert [r["customer_id"] for r in dicts(good, "order_id")] == ['Ann\nLee "x"', "b"] and dead.count() == 0
+
+
+def test_alerts_are_saved_once(spark, tmp_path):
+    path = str(tmp_path / "alerts")
+    alerts = lambda *days: spark.createDataFrame([(dt.date(2025, 1, d), "CRITICAL", f"t{d}", "do") for d in days], "date date, severity string, title string, action string")
+    for batch, days in ((0, (1, 2, 2)), (0, (1, 2)), (1, (2, 3)), (1, (2, 3)), (2, (1, 3))):
+        sinks.save_alerts(alerts(*days), path, batch)
+    assert sorted((r["title"], r["batch"]) for r in dicts(sinks.read_alerts(spark, path))) == [("t1", 0), ("t2", 0), ("t3", 1)]
+
+
+def test_days_of_a_stored_mart_are_refreshed(spark, tmp_path):
+    path = str(tmp_path / "mart")
+    mart = lambda **days: spark.createDataFrame([(dt.date(2025, 1, int(d[1:])), v) for d, v in days.items()], "date date, total int")
+    sinks.save_mart(mart(d1=1, d2=2, d3=3), path, partition_by=["date"])
+    before = {f: (tmp_path / "mart" / f).stat().st_mtime_ns for f in ("date=2025-01-01",)}
+    # The second day has another value, the third none any more, the fourth is new.
+    sinks.refresh_days(mart(d2=20, d4=4), mart(d2=0, d3=0, d4=0).select("date"), path)
+    assert [(r["date"].day, r["total"]) for r in dicts(spark.read.parquet(path), "date")] == [(1, 1), (2, 20), (4, 4)]
+    assert before == {f: (tmp_path / "mart" / f).stat().st_mtime_ns for f in before}
+
+
+def test_counters_come_with_the_write(spark, tmp_path):
+    raw = spark.createDataFrame([("1", "c", "2025-01-01", "5"), ("2", "c", "2025-01-01", "x"), ("2", "c", "2025-01-01", "7")], "order_id string, customer_id string, order_date string, gross_revenue string")
+    counts = sinks.save_checked(validate.check_orders(raw), str(tmp_path / "out"), "feed")
+    assert counts == {"successful": 2, "quarantined": 1}
+    stored = spark.read.parquet(str(tmp_path / "out"))
+    assert stored.where("good").count() == 2 and one(stored.where("not good"))["error_reason"] == "gross_revenue: not a number: x"
+    assert sinks.save_checked(validate.check_orders(raw.limit(0)), str(tmp_path / "none"), "feed") == {"successful": 0, "quarantined": 0}
