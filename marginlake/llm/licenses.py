@@ -1,7 +1,9 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance along directories.
 
-Every line of every file is compared with licence templates; a file is a
-licence file if it is named so or is nothing but a licence text. Files without a
+Every line of every file, and every run of words that is aligned with a
+template wherever its lines break, is compared with licence templates; a file is a
+licence file if it is named so, is nothing but a licence text, or opens with the
+title of a licence. Files without a
 licence of their own inherit from the nearest directory above that has a
 licence file.
 """
@@ -52,10 +54,65 @@ TEMPLATES = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "Proprietary": ("All rights reserved. No part of this work may be reproduced without permission.",),
 }
+_MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+    '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
+    "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+    "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
+    "substantial portions of the Software. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE "
+    "FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION "
+    "WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD_HEAD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+    "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+    "disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+    "disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_NAMES = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+    "this software without specific prior written permission. "
+)
+_BSD_TAIL = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+    "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_ISC_TEXT = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+    "the above copyright notice and this permission notice appear in all copies. "
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES '
+    "OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR "
+    "ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS "
+    "ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+#: Whole licence texts.
+TEXTS = {
+    "MIT": _MIT_GRANT,
+    "BSD-3-Clause": _BSD_HEAD + _BSD_NAMES + _BSD_TAIL,
+    "BSD-2-Clause": _BSD_HEAD + _BSD_TAIL,
+    "ISC": _ISC_TEXT,
+}
+#: The titles that longer licences open with.
+TITLES = {
+    "GPL-3.0": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "GPL-2.0": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "LGPL-3.0": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "AGPL-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "Apache-2.0": "Apache License Version 2.0, January 2004",
+    "MPL-2.0": "Mozilla Public License Version 2.0",
+}
 LICENSE_FILE = r"(?i)^(un)?licen[cs]e|^copying|^notice"
 
-#: Least cosine of a line, and of a whole text that is nothing but a licence.
-LEAST_LINE, LEAST_FILE = 0.75, 0.9
+#: Least cosine of a line, of aligned words across lines, and of a whole text that is nothing but a licence.
+LEAST_LINE, LEAST_ALIGNED, LEAST_FILE = 0.75, 0.85, 0.9
+#: Share of a template's word pairs that must be in place for words to be aligned with it.
+ALIGNED = 0.6
 #: Lines of more terms are compared in overlapping pieces of so many.
 PIECE = 48
 
@@ -70,11 +127,33 @@ class Vocabulary:
     """Words and word pairs of the templates."""
 
     def __init__(self):
-        self.templates = [(name, t) for name, texts in TEMPLATES.items() for t in texts]
+        self.templates = [(name, t) for name, texts in TEMPLATES.items() for t in texts] + list(TEXTS.items())
+        self.words = [terms(t) for _, t in self.templates]
+        # Where each word pair stands in which template.
+        self.places: dict[tuple[str, str], list[tuple[int, int]]] = {}
+        for k, own in enumerate(self.words):
+            for j, pair in enumerate(zip(own, own[1:])):
+                self.places.setdefault(pair, []).append((k, j))
+        self.titles = [(name, terms(t)) for name, t in TITLES.items()]
         self.bags = [bag(terms(t)) for _, t in self.templates]
         self.known = frozenset(x for b in self.bags for x in b)
         self.pairs = frozenset(x for x in self.known if isinstance(x, tuple))
 
+    def aligned(self, words: list[str]) -> list[tuple[int, int]]:
+        """Template and first word of every run of words that has most of a template's pairs in their places."""
+        votes: Counter = Counter()
+        for i, pair in enumerate(zip(words, words[1:])):
+            for k, j in self.places.get(pair, ()):
+                votes[k, i - j] += 1
+        return [at for at, n in votes.items() if n >= max(2, ALIGNED * (len(self.words[at[0]]) - 1))]
+
+    def title(self, words: list[str]) -> str | None:
+        """The licence whose title the text opens with, a few words (such as a heading's) before it at most."""
+        for name, own in self.titles:
+            if any(words[i : i + len(own)] == own for i in range(4)):
+                return name
+        return None
+
     def shares_pair(self, words: list[str]) -> bool:
         return not self.pairs.isdisjoint(zip(words, words[1:]))
 
@@ -137,8 +216,30 @@ class Scorer:
         k = int(dots.argmax())
         return (dots[k] / math.sqrt(square), self.vocabulary.templates[k][0]) if dots[k] > 0 else (0.0, None)
 
+    def cosine(self, words: list[str], k: int) -> float:
+        """Cosine of words to one template; words that no template has weigh least."""
+        own, other = bag(words), self.vocabulary.bags[k]
+        weigh = lambda b: {t: c * self.idf.get(t, 1.0 if isinstance(t, str) else 0.0) for t, c in b.items()}
+        a, b = weigh(own), weigh(other)
+        dot = sum(w * b.get(t, 0.0) for t, w in a.items())
+        return dot / math.sqrt(sum(w * w for w in a.values()) * sum(w * w for w in b.values())) if dot else 0.0
+
+    def across_lines(self, words: list[str]) -> tuple[float, str | None]:
+        """Best cosine of words that are aligned with a template, in windows of the template's length; of equal ones the longest."""
+        best: tuple[float, int, str | None] = (0.0, 0, None)
+        for k, start in self.vocabulary.aligned(words):
+            size = len(self.vocabulary.words[k])
+            found = self.cosine(words[max(0, start) : start + size], k)
+            if found >= LEAST_ALIGNED and (round(found, 12), size) > best[:2]:
+                best = (round(found, 12), size, self.vocabulary.templates[k][0])
+        return best[0], best[2]
+
     def scan(self, text: str | None) -> tuple[str | None, float, str | None, float]:
-        """Best line's licence and cosine, and the whole text's; lines that share no word pair with a template count as 0."""
+        """Licence and cosine of the best line or aligned words, and of the whole text.
+
+        Lines that share no word pair with a template count as 0. A text that opens with
+        a licence's title is that licence as a whole.
+        """
         if not text:
             return None, 0.0, None, 0.0
         line_best: tuple[float, str | None] = (0.0, None)
@@ -149,8 +250,14 @@ class Scorer:
                     found = self.best(words[i : i + PIECE])
                     if found[0] > line_best[0]:
                         line_best = found
-        whole = terms(text) if line_best[1] else []
-        file_best = self.best(whole, self.unseen) if whole and len(whole) <= 4 * PIECE else (0.0, None)
+        words = terms(text)
+        aligned = self.across_lines(words)
+        if aligned[0] >= line_best[0]:
+            line_best = aligned
+        title = self.vocabulary.title(words)
+        if title:
+            return title, 1.0, title, 1.0
+        file_best = self.best(words, self.unseen) if line_best[1] else (0.0, None)
         return line_best[1], line_best[0], file_best[1], file_best[0]
 
 

@@ -103,3 +103,45 @@ def test_every_license_line_of_the_sample_is_found(spark):
     assert len(rows) == 1000 and len(want) > 30
     got = {r["doc_id"]: r["license"] for r in rows if r["how"] in ("header", "file")}
     assert set(got) == set(want) and all(got[i] in want[i] for i in want)
+
+
+WRAPPED_GPL_3 = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful.
+def f(x): return x
+"""
+
+
+def wrapped(text, width=60, lead=""):
+    import textwrap
+
+    return "\n".join(lead + line for line in textwrap.wrap(text, width))
+
+
+def test_headers_that_run_across_lines(spark):
+    rows = [
+        row("a/three.py", WRAPPED_GPL_3),
+        row("a/two.py", WRAPPED_GPL_3.replace("3 of", "2 of")),
+        row("a/mit.c", "/* Copyright 2020 Someone\n" + wrapped(licenses.TEXTS["MIT"], 50, " * ") + "\n */\n" + "int main;\n" * 500),
+        *[row(f"b/{k}.py", WRAPPED_GPL_3) for k in range(20)],  # a header that most rows carry
+    ]
+    got = found(files(spark, rows))
+    assert got["a/three.py"][:2] == ("GPL-3.0", "header") and got["a/two.py"][:2] == ("GPL-2.0", "header")
+    assert got["a/mit.c"][:2] == ("MIT", "header")
+    assert {got[f"b/{k}.py"][0] for k in range(20)} == {"GPL-3.0"}
+
+
+def test_full_texts_are_licence_files_whatever_their_name(spark):
+    rows = [row(f"{name}/terms.txt", f"{name}\n\nCopyright (c) 2021 Some One\n\n" + wrapped(text)) for name, text in licenses.TEXTS.items()]
+    rows += [row(f"{name}/code.py", "x = 1") for name in licenses.TEXTS]
+    rows += [row(f"t{k}/x", title + "\n" + "Everyone is permitted to copy. " * 400) for k, title in enumerate(licenses.TITLES.values())]
+    rows += [row(f"t{k}/deep/code.py", "y") for k in range(len(licenses.TITLES))]
+    got = found(files(spark, rows))
+    for name in licenses.TEXTS:
+        assert got[f"{name}/terms.txt"] == (name, "file", None)
+        assert got[f"{name}/code.py"] == (name, "inherited", f"{name}/terms.txt")
+    for k, name in enumerate(licenses.TITLES):
+        assert got[f"t{k}/x"][:2] == (name, "file") and got[f"t{k}/deep/code.py"][:2] == (name, "inherited")
