@@ -282,5 +282,5 @@ def test_counters_come_with_the_write(spark, tmp_path):
     counts = sinks.save_checked(validate.check_orders(raw), str(tmp_path / "out"), "feed")
     assert counts == {"successful": 2, "quarantined": 1}
     stored = spark.read.parquet(str(tmp_path / "out"))
-    assert stored.where("good").count() == 2 and one(stored.where("not good"))["error_reason"] == "gross_revenue: not a number: x"
+    assert stored.where("good = 'true'").count() == 2 and one(stored.where("good = 'false'"))["error_reason"] == "gross_revenue: not a number: x"
     assert sinks.save_checked(validate.check_orders(raw.limit(0)), str(tmp_path / "none"), "feed") == {"successful": 0, "quarantined": 0}
