@@ -10,6 +10,8 @@ less than a document, and a queue that ran dry leaves its share to the others.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from marginlake.llm.common import WORD, store
 WEIGHTS = (5, 2, 1)
 #: How often a document may be taken.
 EPOCHS = 3
+#: Turns of a range of the order of service, about: the range in which the budget ends is searched by one task.
+RANGE_TURNS = 20_000
 #: Parts that a queue's shuffled order is cut into; sums run within and over parts.
 PARTS = 4096
 
@@ -117,10 +121,11 @@ def cut(queued: DataFrame, epochs: int = EPOCHS) -> tuple | None:
     """
     turns = [F.struct(finish(e).alias("finish"), F.lit(e).alias("epoch")) for e in range(epochs)]
     served = queued.filter("size > 0").select("place", _queue().alias("queue"), "size", F.inline(F.array(*turns)))
-    parts = store(served.repartitionByRange(*SERVICE).withColumn("part", F.spark_partition_id()), "mix-turns")
-    budget = served.filter("epoch = 0").agg(F.sum("size")).first()[0]
+    budget, count = served.filter("epoch = 0").agg(F.sum("size"), F.count("*")).first()
     if budget is None:
         return None
+    ranges = math.ceil(epochs * count / RANGE_TURNS)
+    parts = store(served.repartitionByRange(ranges, *SERVICE).withColumn("part", F.spark_partition_id()), "mix-turns")
     running = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = parts.groupBy("part").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(running))
     last = sums.filter(F.col("upto") >= budget).orderBy("part").first()
