@@ -7,8 +7,7 @@ into plain types (decimals to double, dates to text) for comparison with SQL.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,7 +33,7 @@ from marginlake.operators import (
 from marginlake.plans import bindings as b
 from marginlake.plans import warehouse
 from marginlake.schemas import ORDER_EVENT
-from marginlake.session import work_dir
+from marginlake.session import setting, work_dir
 from marginlake.sources import files, merge, sinks, store, validate
 from marginlake.streaming import billing, changelog, ingest, live, throttle, throttle_live
 
@@ -882,17 +881,6 @@ def h22_report_text(spark, sf):
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-@contextmanager
-def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    """A setting of the session while the block runs."""
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
 # -- streaming ---------------------------------------------------------------------
 
 
@@ -1051,7 +1039,7 @@ def i4_stream(spark, sf):
     ends = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
     middle = ends["low"] + (ends["high"] - ends["low"]) / 2
     clock = spark.createDataFrame([("clock", ends["high"] + dt.timedelta(days=30))], "user_id string, ts timestamp")
-    with _setting(spark, "spark.sql.streaming.stateStore.providerClass", STATE_STORE):
+    with setting(spark, "spark.sql.streaming.stateStore.providerClass", STATE_STORE):
         for rows in (events.where(F.col("ts") <= middle), events.where(F.col("ts") > middle), clock):
             rows.write.mode("append").parquet(f"{root}/in")
             stream = spark.readStream.schema(events.schema).parquet(f"{root}/in")

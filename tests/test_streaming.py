@@ -272,3 +272,42 @@ def test_throttle_equals_brute_force(spark, tmp_path, window):
 def test_throttle_of_nothing(spark, tmp_path):
     df = spark.createDataFrame([], "who string, ts timestamp")
     assert throttle.audit(df, str(tmp_path / "t"), key="who", at="ts", limit=4, window=600).count() == 0
+
+
+def test_deltas_and_merges_do_not_sort_what_lies_sorted(spark, tmp_path):
+    root = str(tmp_path / "s")
+    for k in range(3):
+        land(spark, root, k, [(str(i), "c", "2025-01-01", str(k + 1), "Completed") for i in range(k, k + 40)])
+    content = buckets.latest_list(spark, root)[1]
+    plans = [plan_of(changelog._deltas(spark, content | {"runs": content["runs"][:2]}, content["runs"][2]))]
+    plans.append(plan_of(changelog._merged(spark, content, content["runs"][:2])))
+    for plan in plans:
+        assert "SortMergeJoin" in plan
+        assert not any(step in plan for step in ("Exchange", "Sort [", "SortAggregate"))
+
+
+def test_no_batch_is_cached(spark, tmp_path, monkeypatch):
+    """Neither whole batches nor payloads of good rows are held in memory."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(DataFrame, "persist", lambda *_: pytest.fail("a batch was cached"))
+    land(spark, str(tmp_path / "s"), 0, [("1", "c", "2025-01-01", "10", "Completed"), ("2", "c", "2025-01-01", "ten", "Completed")])
+    assert changelog.current_orders(spark, str(tmp_path / "s")).count() == 1
+    assert json.loads(one(changelog.dead_letters(spark, str(tmp_path / "s")))["raw_payload"])["gross_revenue"] == "ten"
+
+
+def test_deltas_of_many_runs(spark, tmp_path, monkeypatch):
+    """More runs than deltas join one by one, never merged: prices, first customers and sums as if by hand."""
+    monkeypatch.setattr(changelog, "JOINED", 3)
+    root, rng, want, sums = str(tmp_path / "s"), random.Random(4), {}, {}
+    for k in range(6):
+        chosen = rng.sample(range(12), 5)
+        land(spark, root, k, [(str(i), f"c{k}", f"2025-01-0{k + 1}", str(rng.randrange(3)), "Completed") for i in chosen])
+        held = {r["order_id"]: r for r in dicts(changelog.current_orders(spark, root))}
+        for r in dicts(changelog.deltas(spark, root, after=k - 1)):
+            sums[r["order_id"], r["order_date"]] = sums.get((r["order_id"], r["order_date"]), 0) + r["sign"] * r["gross_revenue"]
+        for i in map(str, chosen):
+            want[i] = (want.get(i, (f"c{k}",))[0], held[i]["gross_revenue"])
+        assert {i: (r["customer_id"], r["gross_revenue"]) for i, r in held.items()} == want
+        assert {i: v for (i, _), v in sums.items()} == {i: r["gross_revenue"] for i, r in held.items()}
+        assert set(sums) == {(i, r["order_date"]) for i, r in held.items()}
