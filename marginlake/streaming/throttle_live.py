@@ -8,6 +8,8 @@ holds one open window and the instants within the delay, for each key.
 
 from __future__ import annotations
 
+import datetime as dt
+from array import array
 from collections.abc import Iterator
 from typing import Any
 
@@ -28,8 +30,28 @@ WINDOWS = T.StructType(
 )
 
 
+#: Instants in one element of the state.
+CHUNK = 4096
+_MICRO = dt.timedelta(microseconds=1)
+_ZERO = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
+
+
+def _packed(instants: dict[int, int]) -> tuple[bytes]:
+    """Instants and their counts as one binary value."""
+    return (array("q", [*instants.keys(), *instants.values()]).tobytes(),)
+
+
+def _unpacked(chunk: tuple[bytes]) -> Iterator[tuple[int, int]]:
+    numbers = array("q", bytes(chunk[0]))
+    return zip(numbers[: len(numbers) // 2], numbers[len(numbers) // 2 :], strict=True)
+
+
 class Throttle(StatefulProcessor):
-    """One open window and the waiting instants of a key."""
+    """One open window and the waiting instants of a key.
+
+    Instants wait in chunks, one for what a batch brings, so that the calls to the state
+    store grow with the batches of a key, not with its events.
+    """
 
     def __init__(self, limit: int, span: int):
         self.limit, self.span = limit, span
@@ -37,39 +59,54 @@ class Throttle(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.window = handle.getValueState("window", "anchor long, events long")
-        self.waiting = handle.getMapState("waiting", "t long", "events long")
+        self.waiting = handle.getListState("waiting", "instants binary")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         came: dict[int, int] = {}
+        first = None
         for row in rows:
-            came[row["t"]] = came.get(row["t"], 0) + row["events"]
-        for t, n in came.items():
-            held = self.waiting.getValue((t,)) if self.waiting.containsKey((t,)) else (0,)
-            self.waiting.updateValue((t,), (held[0] + n,))
-        self._wake(min(came))
+            t = (row["at"] - _ZERO) // _MICRO
+            came[t] = came.get(t, 0) + 1
+            first = t if first is None else min(first, t)
+            if len(came) == CHUNK:
+                self.waiting.appendValue(_packed(came))
+                came = {}
+        if came:
+            self.waiting.appendValue(_packed(came))
+        self._wake(first)
         return iter([])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000  # the watermark has passed what lies before
-        due = sorted((t[0], n[0]) for t, n in self.waiting.iterator() if t[0] < now)
-        anchor, events = self.window.get() if self.window.exists() else (None, 0)
-        for t, n in due:
-            self.waiting.removeKey((t,))
+        held: dict[int, int] = {}
+        for chunk in self.waiting.get():
+            for t, n in _unpacked(chunk):
+                held[t] = held.get(t, 0) + n
+        due = sorted(t for t in held if t < now)
+        window = self.window.get()
+        anchor, events = window if window else (None, 0)
+        if not due and (anchor is None or anchor + self.span >= now):
+            return  # another timer of this watermark has done it all, and set the next one
+        for t in due:
             if anchor is None or t > anchor + self.span:
                 if anchor is not None:
                     yield self._row(key, anchor, events)
                 anchor, events = t, 0
-            events += n
+            events += held.pop(t)
         if anchor is not None and anchor + self.span < now:
             yield self._row(key, anchor, events)
             anchor = None
-        if anchor is None:
-            self.window.clear()
-        else:
+        if anchor is not None:
             self.window.update((anchor, events))
-        left = [t[0] for t in self.waiting.keys()]
-        if left or anchor is not None:
-            self._wake(min([*left, *([] if anchor is None else [anchor + self.span])]))
+        elif window:
+            self.window.clear()
+        if due and held:
+            left = sorted(held.items())
+            self.waiting.put([_packed(dict(left[k : k + CHUNK])) for k in range(0, len(left), CHUNK)])
+        elif due:
+            self.waiting.clear()
+        if held or anchor is not None:
+            self._wake(min([*held, *([] if anchor is None else [anchor + self.span])]))
 
     def _wake(self, t: int) -> None:
         """Call again once the watermark is later than ``t``."""
@@ -95,8 +132,7 @@ def audit_stream(events: DataFrame, *, key: str, at: str, limit: int, window: in
         F.when(none, "-").otherwise(F.concat(F.lit("="), F.col(key).cast("string"))).alias("key"),
         F.col(at).cast("timestamp").alias("at"),
     )
-    timed = named.withWatermark("at", delay).select("key", "at", F.unix_micros("at").alias("t"), F.lit(1).cast("long").alias("events"))
-    found = timed.groupBy("key").transformWithState(
+    found = named.withWatermark("at", delay).groupBy("key").transformWithState(
         statefulProcessor=Throttle(limit, window * MICROS), outputStructType=WINDOWS, outputMode="Append", timeMode="EventTime"
     )
     return found.select(
